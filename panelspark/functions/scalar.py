@@ -1,7 +1,7 @@
 """Scalar column functions. All of them stay inside whole-stage codegen and map undefined results to NULL."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,34 +116,44 @@ def _poly(coefficients: Sequence[float], x: Column, tail_one: bool = False) -> C
     return acc * x + F.lit(1.0) if tail_one else acc
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``; keeps the generated code small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm_cdf(x: ColumnOrName) -> Column:
     """Standard normal distribution function, absolute error below 1e-14."""
-    x = col(x)
-    z = F.abs(x)
-    body = F.exp(-z * z / 2) * _poly(HART_NUMERATOR, z) / _poly(HART_DENOMINATOR, z)
-    fraction = z + F.lit(0.65)
-    for n in (4.0, 3.0, 2.0, 1.0):
-        fraction = z + F.lit(n) / fraction
-    far = F.exp(-z * z / 2) / (fraction * F.lit(SQRT_TWO_PI))
-    tail = F.when(z > 37, F.lit(0.0)).when(z < 7.07106781186547, body).otherwise(far)
-    return F.when(x > 0, 1 - tail).otherwise(tail)
+
+    def tail(z: Column) -> Column:
+        near = F.exp(-z * z / 2) * _poly(HART_NUMERATOR, z) / _poly(HART_DENOMINATOR, z)
+        fraction = z + F.lit(0.65)
+        for n in (4.0, 3.0, 2.0, 1.0):
+            fraction = z + F.lit(n) / fraction
+        far = F.exp(-z * z / 2) / (fraction * F.lit(SQRT_TWO_PI))
+        return F.when(z > 37, F.lit(0.0)).when(z < 7.07106781186547, near).otherwise(far)
+
+    return _bind(col(x), lambda v: _bind(F.abs(v), lambda z: _bind(tail(z), lambda t: F.when(v > 0, 1 - t).otherwise(t))))
 
 
 def norm_ppf(p: ColumnOrName) -> Column:
     """Standard normal quantile: rational start value and one Halley step; NULL outside (0, 1)."""
-    p = col(p)
-    q = p - F.lit(0.5)
-    r = q * q
-    middle = _poly(ACKLAM_A, r) * q / _poly(ACKLAM_B, r, tail_one=True)
 
     def side(prob: Column) -> Column:
-        t = F.sqrt(F.lit(-2.0) * F.ln(prob))
-        return _poly(ACKLAM_C, t) / _poly(ACKLAM_D, t, tail_one=True)
+        return _bind(F.sqrt(F.lit(-2.0) * F.ln(prob)), lambda t: _poly(ACKLAM_C, t) / _poly(ACKLAM_D, t, tail_one=True))
+
+    def middle(q: Column) -> Column:
+        return _bind(q * q, lambda r: _poly(ACKLAM_A, r) * q / _poly(ACKLAM_B, r, tail_one=True))
+
+    def refined(prob: Column) -> Column:
+        start = F.when(prob < ACKLAM_LOW, side(prob)).when(prob > 1 - ACKLAM_LOW, -side(1 - prob)).otherwise(middle(prob - F.lit(0.5)))
+
+        def halley(s: Column) -> Column:
+            step = (norm_cdf(s) - prob) * F.lit(SQRT_TWO_PI) * F.exp(s * s / 2)
+            return _bind(step, lambda u: s - u / (1 + s * u / 2))
+
+        return F.when((prob > 0) & (prob < 1), _bind(start, halley))
 
-    start = F.when(p < ACKLAM_LOW, side(p)).when(p > 1 - ACKLAM_LOW, -side(1 - p)).otherwise(middle)
-    err = norm_cdf(start) - p
-    u = err * F.lit(SQRT_TWO_PI) * F.exp(start * start / 2)
-    return F.when((p > 0) & (p < 1), start - u / (1 + start * u / 2))
+    return _bind(col(p), refined)
 
 
 def two_sided_p(t: ColumnOrName) -> Column:

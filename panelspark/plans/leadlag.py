@@ -30,12 +30,20 @@ H_GRID = (1, 2, 3, 4, 6)
 MIN_OBSERVATIONS = 10
 
 
-def universe_preset(name: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+PRESETS = {"majors": (PREDICTORS, MAJORS), "midcap": (PREDICTORS, (*PREDICTORS, *MIDCAPS))}
+
+
+def universe_preset(name: str, presets: dict[str, tuple[Sequence[str], Sequence[str]]] = PRESETS) -> tuple[Sequence[str], Sequence[str]]:
     """(predictors, symbols) of a named universe."""
-    presets = {"majors": MAJORS, "midcap": (*PREDICTORS, *MIDCAPS)}
     if name not in presets:
         raise ValueError(f"unknown universe {name!r}; choose one of {sorted(presets)}")
-    return PREDICTORS, presets[name]
+    return presets[name]
+
+
+def select_universe(bars: DataFrame, name: str, presets: dict[str, tuple[Sequence[str], Sequence[str]]] = PRESETS) -> DataFrame:
+    """Rows of the named universe with an ``is_predictor`` flag; the symbol filter reaches the scan."""
+    predictors, symbols = universe_preset(name, presets)
+    return bars.filter(F.col("symbol").isin(*symbols)).withColumn("is_predictor", F.col("symbol").isin(*predictors))
 
 
 def preregister_grid(spark, predictors: Sequence[str], ks: Sequence[int] = K_GRID, hs: Sequence[int] = H_GRID) -> DataFrame:
