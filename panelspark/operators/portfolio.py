@@ -6,12 +6,13 @@ daily rebalance to target without cash, lots or drift; they are not an account s
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import ratio
-from panelspark.layout import group_stats, trailing
+from panelspark.layout import group_stats, settle, trailing
 from panelspark.operators.aggregates import cross_sectional_median
 from panelspark.operators.asof import asof_month
 from panelspark.operators.joins import leg_entries
@@ -34,27 +35,46 @@ def inverse_vol_weights(df: DataFrame, vol: str = "vol", keys: Sequence[str] = (
     return stats.withColumn(out, w).drop("_inv", "_sum", "_n")
 
 
-def tilt(
-    df: DataFrame, signal: str, k: float | Column, sign: int, *, keys: Sequence[str] = ("date",), weight: str = "weight",
-    active: Column | None = None,
-) -> DataFrame:
-    """Multiply weights by exp(sign * k * z) of the signal over the names still present and renormalise.
+class Tilt(NamedTuple):
+    """Multiply weights by exp(sign * k * z) of ``signal``; rows where ``active`` is not true switch the date off."""
+
+    signal: str
+    k: float | Column
+    sign: int
+    active: Column | None = None
+
 
-    The z-score uses the population deviation; a NULL signal is neutral; below two signals, at zero deviation, or where
-    ``active`` is false the weights stay as they are. Two aggregates: the signal moments, then the new total.
+def tilt_chain(df: DataFrame, tilts: Sequence[Tilt], *, keys: Sequence[str] = ("date",), weight: str = "weight") -> DataFrame:
+    """Apply tilts in order, renormalising after each.
+
+    z-scores use the population deviation over the names present; a NULL signal is neutral; below two signals, or at
+    zero deviation, a tilt does nothing. Tilts never remove names, so the moments of all signals come from one
+    aggregate, and as renormalising only rescales a date, one final total replaces the totals in between.
     """
-    moments = group_stats(df, keys, F.count(signal).alias("_n"), F.avg(signal).alias("_m"), F.stddev_pop(signal).alias("_s"))
-    use = (F.col("_n") >= 2) & (F.col("_s") > 0)
-    if active is not None:
-        use = use & F.coalesce(active, F.lit(False))
-    strength = k if isinstance(k, Column) else F.lit(float(k))
-    factor = F.coalesce(F.exp(sign * strength * ratio(F.col(signal) - F.col("_m"), "_s")), F.lit(1.0))
-    raised = moments.withColumn("_use", F.coalesce(use, F.lit(False))).withColumn(
-        "_w", F.when(F.col("_use"), F.col(weight) * factor).otherwise(F.col(weight))
-    ).drop("_n", "_m", "_s")
-    total = group_stats(raised, keys, F.sum("_w").alias("_t"))
-    new = F.when(F.col("_use") & (F.col("_t") > 0), F.col("_w") / F.col("_t")).otherwise(F.col("_w"))
-    return total.withColumn(weight, new).drop("_use", "_w", "_t")
+    if not tilts:
+        return df
+    aggs = []
+    for n, t in enumerate(tilts):
+        aggs += [F.count(t.signal).alias(f"_n{n}"), F.avg(t.signal).alias(f"_m{n}"), F.stddev_pop(t.signal).alias(f"_s{n}")]
+    both = group_stats(df, keys, *aggs)
+    raised, any_use = F.col(weight), F.lit(False)
+    for n, t in enumerate(tilts):
+        use = (F.col(f"_n{n}") >= 2) & (F.col(f"_s{n}") > 0)
+        if t.active is not None:
+            use = use & t.active
+        use = F.coalesce(use, F.lit(False))
+        k = t.k if isinstance(t.k, Column) else F.lit(float(t.k))
+        factor = F.coalesce(F.exp(t.sign * k * ratio(F.col(t.signal) - F.col(f"_m{n}"), f"_s{n}")), F.lit(1.0))
+        raised, any_use = F.when(use, raised * factor).otherwise(raised), any_use | use
+    moved = both.withColumns({"_w": raised, "_use": any_use}).drop(*[f"_{x}{n}" for n in range(len(tilts)) for x in "nms"])
+    total = group_stats(moved, keys, F.sum("_w").alias("_t"))
+    return total.withColumn(
+        weight, F.when(F.col("_use") & (F.col("_t") > 0), F.col("_w") / F.col("_t")).otherwise(F.col("_w"))
+    ).drop("_use", "_w", "_t")
+
+
+def tilt(df: DataFrame, signal: str, k: float | Column, sign: int, *, keys: Sequence[str] = ("date",), active: Column | None = None) -> DataFrame:
+    return tilt_chain(df, [Tilt(signal, k, sign, active)], keys=keys)
 
 
 def trend_filter(panel: DataFrame, n: int) -> DataFrame:
@@ -131,17 +151,15 @@ def target_weights(
     signals: DataFrame, *, crowding_k: float | None = None, oi_k: float | None = None, smart_k: float | None = None,
     momentum_k: float | None = None, oi_active: Column | None = None, keys: Sequence[str] = ("date",),
 ) -> DataFrame:
-    """Inverse-vol weights of the names left by the filters, then crowding, OI, smart-money and momentum tilts."""
-    w = inverse_vol_weights(signals, "vol", keys)
-    if crowding_k is not None:
-        w = tilt(w, "crowding", crowding_k, -1, keys=keys)
-    if oi_k is not None:
-        w = tilt(w, "oi_div", oi_k, +1, keys=keys, active=oi_active)
-    if smart_k is not None:
-        w = tilt(w, "smart", smart_k, +1, keys=keys)
-    if momentum_k is not None:
-        w = tilt(w, "mom", momentum_k, +1, keys=keys)
-    return w.filter(F.col("weight") > 0)
+    """Inverse-vol weights of the names left by the filters, then crowding, OI, smart-money and momentum tilts.
+
+    The filtered signals are written once, because every cross-sectional step reads them again.
+    """
+    w = inverse_vol_weights(settle(signals, "signals"), "vol", keys)
+    chain = [
+        Tilt("crowding", crowding_k, -1), Tilt("oi_div", oi_k, +1, oi_active), Tilt("smart", smart_k, +1), Tilt("mom", momentum_k, +1),
+    ]
+    return tilt_chain(w, [t for t in chain if t.k is not None], keys=keys).filter(F.col("weight") > 0)
 
 
 def apply_exposure(weights: DataFrame, exposure: DataFrame, base: float = 0.95, gate: bool = True, gate_lag: int = 0) -> DataFrame:

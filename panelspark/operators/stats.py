@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import expected_max_normal, norm_cdf, ratio
-from panelspark.layout import group_quantiles, group_stats, value_ranks
+from panelspark.layout import group_quantiles, group_stats, settle, value_ranks
 from panelspark.operators.windows import drawdown, equity_curve
 
 
@@ -68,8 +68,10 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
 def rank_ic(scored: DataFrame, pred: str = "pred", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """Spearman correlation of prediction and label per date; dates with one pair are skipped."""
     by = [*keys, "date"]
-    pairs = scored.filter(F.col(pred).isNotNull() & F.col(label).isNotNull()).select(*by, "instrument", pred, label)
-    ranked = average_ranks(average_ranks(pairs, by, pred, "_rp"), by, label, "_rl")
+    pairs = settle(scored.filter(F.col(pred).isNotNull() & F.col(label).isNotNull()).select(*by, "instrument", pred, label), "pairs")
+    ranked = average_ranks(pairs, by, pred, "_rp").join(
+        average_ranks(pairs, by, label, "_rl").select(*by, "instrument", "_rl"), [*by, "instrument"]
+    )
     daily = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.corr("_rp", "_rl").alias("_c"),
         F.var_samp("_rp").alias("_vp"), F.var_samp("_rl").alias("_vl"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import change, col, ratio, safe_ln
-from panelspark.layout import value_ranks
+from panelspark.layout import settle, value_ranks
 
 DAYS_PER_YEAR = 365.0
 
@@ -98,11 +98,12 @@ def roll_corr(x: str, y: str, n: int, w: WindowSpec) -> Column:
 def cs_rank_pct(panel: DataFrame, columns: dict[str, str], by: str = "date") -> DataFrame:
     """Add ``out: source`` cross-sectional ranks: average-tie rank over the count of non-NULL values of the date.
 
-    All sources travel as one long table, are ranked through the value histogram and come back in one aggregate, so
-    neither a date with very many instruments nor a value shared by most of them lands in a single task.
+    The panel is written once, because ranking reads it again. All sources travel as one long table, are ranked through
+    the value histogram and come back in one aggregate, so neither a date with very many instruments nor a value shared by most of them lands in a single task.
     """
     key = ["instrument", by]
     pairs = F.explode(F.array(*[F.struct(F.lit(o).alias("_out"), col(s).cast("double").alias("_x")) for o, s in columns.items()]))
+    panel = settle(panel, "cross")
     tall = panel.select(*key, pairs.alias("_p")).select(*key, "_p._out", "_p._x").filter(F.col("_x").isNotNull())
     ranks = value_ranks(tall, [by, "_out"], "_x").select(
         by, "_out", "_x", ((F.col("below") + (F.col("copies") + 1) / 2) / F.col("total")).alias("_pct")

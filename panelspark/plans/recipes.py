@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.functions.scalar import ratio
-from panelspark.layout import trailing
+from panelspark.layout import settle, trailing
 from panelspark.operators.asof import asof_month
-from panelspark.operators.portfolio import froth_signal, inverse_vol_weights, strong_trend, tilt
+from panelspark.operators.portfolio import Tilt, froth_signal, inverse_vol_weights, strong_trend, tilt_chain
 from panelspark.operators.ranking import liquidity_schedule
 from panelspark.operators.windows import momentum, oi_divergence, ref, regime_exposure, roll_mean, roll_std
 
@@ -181,13 +181,15 @@ def recipe_sweep(panel: DataFrame, benchmark: str, onchain: DataFrame | None = N
     ma = pick("ma_window")[0]
     rows = rows.filter("keep").join(strong_trend(panel, benchmark, ma), "date", "left")
     by = ["recipe", "date"]
-    w = inverse_vol_weights(rows, "vol", by)
+    w = inverse_vol_weights(settle(rows, "sweep"), "vol", by)
     has = lambda c: F.col(c).isNotNull()
     margin = F.col("oi_trend_margin")
-    w = tilt(w, "crowding", F.col("crowding_k"), -1, keys=by, active=has("crowding_k"))
-    w = tilt(w, "oi_div", F.col("oi_k"), +1, keys=by, active=has("oi_k") & (margin.isNull() | (F.col("trend") > margin)))
-    w = tilt(w, "smart", F.col("smart_k"), +1, keys=by, active=has("smart_k"))
-    w = tilt(w, "mom", F.col("momentum_k"), +1, keys=by, active=has("momentum_k")).filter(F.col("weight") > 0)
+    chain = [
+        Tilt("crowding", F.col("crowding_k"), -1, has("crowding_k")),
+        Tilt("oi_div", F.col("oi_k"), +1, has("oi_k") & (margin.isNull() | (F.col("trend") > margin))),
+        Tilt("smart", F.col("smart_k"), +1, has("smart_k")), Tilt("mom", F.col("momentum_k"), +1, has("momentum_k")),
+    ]
+    w = tilt_chain(w, chain, keys=by).filter(F.col("weight") > 0)
     exposure = sweep_exposure(panel, benchmark, names, onchain)
     return w.select("recipe", "date", "instrument", "weight").join(exposure, by, "left").withColumn(
         "target", F.col("weight") * F.coalesce("exposure", F.lit(1.0))
