@@ -34,8 +34,8 @@ def rank_trials(trials: DataFrame, register: DataFrame | None = None, splits: in
 
 def book(scored: DataFrame, fwd: DataFrame, k: int, cost: float, keys: Sequence[str]) -> DataFrame:
     """Daily returns of an equal-weight top-k book per key from (keys, date, instrument, score) rows."""
-    dates = scored.select(*keys, "date").distinct()
-    return portfolio_returns(topk_members(scored, k, keys), fwd, dates, cost, keys)
+    scored = scored.select(*keys, "date", "instrument", "score")
+    return portfolio_returns(topk_members(scored, k, keys), fwd, scored.select(*keys, "date").distinct(), cost, keys)
 
 
 def cpcv_predictions(panel: DataFrame, features: Sequence[str], label: str, *, groups: int, tests: int, purge: int, embargo: int,
@@ -126,8 +126,8 @@ def stress_report(
     periods: float = DAYS, resamples: int = 200, reg: float = 1e-3,
 ) -> tuple[DataFrame, DataFrame]:
     """(per-window rows, aggregate): candidate against a constant-score null over windows x seeds, in keyed plans."""
-    plan = window_roles(windows)
-    keys = ["label", "seed"]
+    plan = window_roles(windows).withColumnRenamed("label", "window")
+    keys = ["window", "seed"]
     seeded = seeded_plan(plan, seeds)
     fwd = panel.select("instrument", "date", "fwd")
     run = lambda model, **o: fit_predict(panel, seeded, features, label, model, keys=keys, **o).select(
@@ -142,20 +142,21 @@ def stress_report(
     ls = long_short_spread(scored.filter(F.col("arm") == "cand"), k, cost, keys).groupBy(*keys).agg(
         (sharpe("ret") * F.sqrt(F.lit(periods))).alias("ls")
     )
-    mean = seed_mean_series(daily, ["arm", "label"])
-    pairs = mean.filter(F.col("arm") == "cand").select("label", "date", F.col("ret").alias("cand")).join(
-        mean.filter(F.col("arm") == "null").select("label", "date", F.col("ret").alias("null_ret")), ["label", "date"]
+    mean = seed_mean_series(daily, ["arm", "window"])
+    pairs = mean.filter(F.col("arm") == "cand").select("window", "date", F.col("ret").alias("cand")).join(
+        mean.filter(F.col("arm") == "null").select("window", "date", F.col("ret").alias("null_ret")), ["window", "date"]
     )
-    ci = paired_bootstrap_delta_ci(pairs, block=10, resamples=resamples, seed=0, keys=["label"]).select(
-        "label", F.col("lo").alias("delta_lo"), F.col("hi").alias("delta_hi"), F.col("se").alias("delta_se")
+    ci = paired_bootstrap_delta_ci(pairs, block=10, resamples=resamples, seed=0, keys=["window"]).select(
+        "window", F.col("lo").alias("delta_lo"), F.col("hi").alias("delta_hi"), F.col("se").alias("delta_se")
     )
     rows = (
-        sharpes.groupBy("label").agg(
+        sharpes.groupBy("window").agg(
             F.avg(F.when(F.col("arm") == "cand", F.col("sr"))).alias("sharpe_mean"),
             F.avg(F.when(F.col("arm") == "null", F.col("sr"))).alias("null_sharpe_mean"),
         )
         .withColumn("delta_sharpe", F.col("sharpe_mean") - F.col("null_sharpe_mean"))
-        .join(ls.groupBy("label").agg(F.avg("ls").alias("ls_sharpe_mean"), F.min("ls").alias("ls_sharpe_min")), "label")
-        .join(ci, "label", "left")
+        .join(ls.groupBy("window").agg(F.avg("ls").alias("ls_sharpe_mean"), F.min("ls").alias("ls_sharpe_min")), "window")
+        .join(ci, "window", "left")
+        .withColumnRenamed("window", "label")
     )
     return rows, stress_aggregate(rows)

@@ -53,45 +53,38 @@ def read_lines(files: DataFrame) -> DataFrame:
     schema = "path string, line_no long, line string, header string, error string"
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(path, first, lines, header, error=None):
-            return pd.DataFrame(
-                {"path": path, "line_no": range(first, first + len(lines)), "line": lines, "header": header, "error": error},
-                columns=["path", "line_no", "line", "header", "error"],
-            ).astype({"line_no": "int64", "line": object, "header": object, "error": object})
+        names = ("path", "line_no", "line", "header", "error")
+        rows: list[tuple] = []
+
+        def flush() -> pd.DataFrame:
+            frame = pd.DataFrame(rows, columns=names, dtype=object).astype({"line_no": "int64"})
+            rows.clear()
+            return frame
 
         for batch in batches:
-            small: list[pd.DataFrame] = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
-                    names = archive.namelist()
-                    if len(names) != 1:
-                        raise ValueError(f"expected one member, found {len(names)}")
-                    if archive.getinfo(names[0]).file_size == 0:
-                        raise ValueError("empty member")
-                    header, lines, first = None, [], 0
-                    with archive.open(names[0]) as member:
-                        for n, raw in enumerate(io.TextIOWrapper(member, "utf-8")):
-                            line = raw.rstrip("\r\n")
+                    members = archive.namelist()
+                    if len(members) != 1:
+                        raise ValueError(f"expected one member, found {len(members)}")
+                    header, count = None, 0
+                    with archive.open(members[0]) as member:
+                        for n, raw in enumerate(member):
+                            line = raw.decode("utf-8").rstrip("\r\n")
                             if n == 0 and not line.split(",", 1)[0].strip().lstrip("-").isdigit():
                                 header = line
-                                continue
-                            if line:
-                                lines.append(line)
-                            if len(lines) >= LINES_PER_BATCH:
-                                yield frame(path, first, lines, header)
-                                first, lines = first + len(lines), []
-                    if lines:
-                        small.append(frame(path, first, lines, header))
-                    elif first == 0:
+                            elif line:
+                                rows.append((path, count, line, header, None))
+                                count += 1
+                                if len(rows) >= LINES_PER_BATCH:
+                                    yield flush()
+                    if count == 0:
                         raise ValueError("no data rows")
                 except (ValueError, zipfile.BadZipFile) as err:
-                    small.append(frame(path, 0, [None], None, str(err)))
-                if sum(map(len, small)) >= LINES_PER_BATCH:
-                    yield pd.concat(small)
-                    small = []
-            if small:
-                yield pd.concat(small)
+                    rows.append((path, 0, None, None, str(err)))
+        if rows:
+            yield flush()
 
     return files.select("path", "content").mapInPandas(decode, schema)
 
