@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -172,3 +172,10 @@ def hash_uniform(*parts: ColumnOrName) -> Column:
     """Uniform in [0, 1) from an md5 prefix of the parts: the same draw wherever the row is computed."""
     text = F.concat_ws("-", *[col(p).cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def pearson(x: str, y: str, over: WindowSpec | None = None) -> Column:
+    """Correlation of the complete pairs; NULL where a side is constant (the built-in would raise on 0 / 0)."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    put = lambda agg: agg if over is None else agg.over(over)
+    return ratio(put(F.covar_samp(a, b)), F.sqrt(put(F.var_samp(a)) * put(F.var_samp(b))))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.scalar import expected_max_normal, norm_cdf, ratio
+from panelspark.functions.scalar import expected_max_normal, norm_cdf, pearson, ratio
 from panelspark.layout import group_quantiles, group_stats, settle, value_ranks
 from panelspark.operators.windows import drawdown, equity_curve
 
@@ -73,10 +73,9 @@ def rank_ic(scored: DataFrame, pred: str = "pred", label: str = "label", keys: S
         average_ranks(pairs, by, label, "_rl").select(*by, "instrument", "_rl"), [*by, "instrument"]
     )
     daily = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("_rp", "_rl").alias("_c"),
-        F.var_samp("_rp").alias("_vp"), F.var_samp("_rl").alias("_vl"),
+        F.count(F.lit(1)).alias("n"), pearson("_rp", "_rl").alias("ic")
     )
-    return daily.filter(F.col("n") > 1).select(*by, "n", F.when((F.col("_vp") > 0) & (F.col("_vl") > 0), F.col("_c")).alias("ic"))
+    return daily.filter(F.col("n") > 1)
 
 
 def rank_ic_summary(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from panelspark.functions.scalar import change, col, ratio, safe_ln
+from panelspark.functions.scalar import change, col, pearson, ratio, safe_ln
 from panelspark.layout import settle, value_ranks
 
 DAYS_PER_YEAR = 365.0
@@ -88,11 +88,9 @@ def roll_beta(ret: str, bench: str, n: int, w: WindowSpec) -> Column:
 
 
 def roll_corr(x: str, y: str, n: int, w: WindowSpec) -> Column:
-    """Pearson correlation; NULL when either side is constant in the frame (Spark's corr would divide 0 by 0)."""
+    """Pearson correlation of a full frame; NULL when either side is constant in it."""
     both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.lit(1))
-    f = frame(w, n)
-    moved = (F.var_samp(x).over(f) > 0) & (F.var_samp(y).over(f) > 0)
-    return F.when(full(both, w, n) & moved, F.corr(x, y).over(f))
+    return F.when(full(both, w, n), pearson(x, y, frame(w, n)))
 
 
 def cs_rank_pct(panel: DataFrame, columns: dict[str, str], by: str = "date") -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.scalar import expected_max_normal, ratio, two_sided_p
+from panelspark.functions.scalar import expected_max_normal, pearson, ratio, two_sided_p
 from panelspark.layout import group_quantiles, group_stats, trailing
 from panelspark.operators.ranking import best_cell
 from panelspark.operators.windows import forward_sum, log_return, roll_sum
@@ -307,12 +307,8 @@ def cross_correlation(panel: DataFrame, predictor: str, lags: Sequence[int] = tu
     shifted = aligned.select("symbol", "ts", "p", *[moved(l).alias(f"r{i}") for i, l in enumerate(lags)])
     cells = F.array(*[F.struct(F.lit(l).alias("lag"), F.col(f"r{i}").alias("r")) for i, l in enumerate(lags)])
     tall = shifted.select("symbol", "p", F.explode(cells).alias("_c")).select("symbol", "p", "_c.*")
-    there = F.when(F.col("r").isNotNull(), F.col("p"))
-    out = tall.groupBy("symbol", "lag").agg(
-        F.count(F.lit(1)).alias("_all"), F.count("r").alias("n"), F.corr("p", "r").alias("_c"),
-        F.var_samp(there).alias("_vp"), F.var_samp("r").alias("_vr"),
-    )
-    ok = (F.col("_all") >= 20) & (F.col("n") >= 10) & (F.col("_vp") > 0) & (F.col("_vr") > 0)
+    out = tall.groupBy("symbol", "lag").agg(F.count(F.lit(1)).alias("_all"), F.count("r").alias("n"), pearson("p", "r").alias("_c"))
+    ok = (F.col("_all") >= 20) & (F.col("n") >= 10)
     return out.select("symbol", "lag", F.when(ok, F.col("_c")).alias("corr"))
 
 
