@@ -16,8 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096  # grid positions per window block
-CHUNKS = 256  # value ranges a hot group is cut into
+BLOCK_ROWS = 1024  # grid positions per window block
+CHUNKS = 128  # value ranges a hot group is cut into
 HOT_GROUP = 200_000  # distinct values from which a group is cut
 
 
@@ -69,8 +69,11 @@ def trailing(
     ``body(frame, w)`` adds columns that look at most ``lookback`` rows back and ``ahead`` rows forward. Rows near a
     block edge are copied to the neighbour as halo and dropped afterwards, so results equal one window over the whole
     series, while the longest sort any task sees is one block. The frame must be dense on the grid.
+
+    Sliding frames cost look-back x rows of CPU but few bytes, so the partition count is fixed: AQE would merge these
+    small partitions and leave the work to a few cores.
     """
-    size = max(block, lookback + 1, ahead + 1)
+    size = max(block, 4 * lookback, 4 * ahead)
     idx = grid_index(pos, seconds)
     home = F.floor(idx / F.lit(size)).cast("long")
     offset = idx - home * F.lit(size)
@@ -80,6 +83,7 @@ def trailing(
     if ahead:
         copies.append(F.when(offset < F.lit(ahead), home - 1))
     spread = df.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(F.array(*copies))))
+    spread = spread.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_block")
     w = Window.partitionBy(*keys, "_block").orderBy(pos)
     return body(spread, w).filter(F.col("_block") == F.col("_home")).drop("_home", "_block")
 
@@ -103,7 +107,7 @@ def value_ranks(
     cuts = hist.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_distinct"),
         F.sum("copies").alias("total"),
-        F.percentile_approx(value, F.array(*marks), chunks * 8).alias("_cuts"),
+        F.percentile_approx(value, F.array(*marks), chunks * 4).alias("_cuts"),
     )
     cuts = cuts.select(
         *keys, "total", F.when(F.col("_distinct") > hot, F.array_distinct("_cuts")).otherwise(F.array()).alias("_cuts")
@@ -116,7 +120,9 @@ def value_ranks(
     ).drop("_cuts")
     inside = Window.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = split.withColumn("_inside", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-    offsets = split.groupBy(*keys, "_chunk").agg(F.sum("copies").alias("_rows")).withColumn(
+    # Taken from the ranked rows with the same columns, so Spark reuses their shuffle instead of repeating it.
+    tops = ranked.groupBy(*keys, "_chunk").agg(F.max(F.col("_inside") + F.col("copies")).alias("_rows"), F.max("total").alias("_total"))
+    offsets = tops.filter(F.col("_total") > 0).drop("_total").withColumn(
         "_offset",
         F.coalesce(
             F.sum("_rows").over(
@@ -165,7 +171,7 @@ def running_total(
     keys = list(keys)
     marks = [F.lit(i / chunks) for i in range(1, chunks)]
     cuts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx(cut_on, F.array(*marks), chunks * 8).alias("_cuts")
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(cut_on, F.array(*marks), chunks * 4).alias("_cuts")
     )
     cuts = cuts.select(*keys, F.when(F.col("_n") > hot, F.array_distinct("_cuts")).otherwise(F.array()).alias("_cuts"))
     split = df.withColumn("_value", value).join(cuts, keys).withColumn(

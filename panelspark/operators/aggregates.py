@@ -99,8 +99,10 @@ def book_walk_impact(
     )
     walked = running_total(ticks, keys, order, order[0], value, "_before").join(bar, list(keys))
     target = F.col("_bar") * F.lit(fraction)
-    taken = F.least(F.col("price") * F.col("quantity"), target - F.col("_before"))
-    used = walked.filter((F.col("_before") < target) & (F.col("_bar") > 0)).groupBy(*keys).agg(
+    taken = F.when(
+        (F.col("_before") < target) & (F.col("_bar") > 0), F.least(F.col("price") * F.col("quantity"), target - F.col("_before"))
+    )
+    used = walked.groupBy(*keys).agg(
         F.sum(taken).alias("_value"), F.sum(ratio(taken, "price")).alias("_qty"), F.first("_first").alias("_first")
     )
     slip = ratio(F.abs(ratio("_value", "_qty") - F.col("_first")), "_first")

@@ -41,7 +41,7 @@ def _(spark, sf):
     return raw.select("path", "line_no", ar.number("close").alias("close"), F.col("count").cast("long").alias("trades"))
 
 
-@query("S2_read_daily_bars", sql("SELECT instrument, date, close, close + 1 AS high, close - 1 AS low, volume, amount, n AS trades, round(CASE WHEN volume = 0 THEN close ELSE amount / volume END, 4) AS vwap, 1.0::DOUBLE AS factor FROM o WHERE NOT bad", "orders_panel", o=ORD))
+@query("S2_read_daily_bars", sql("SELECT instrument, date, close, round(close + 1, 6) AS high, round(close - 1, 6) AS low, volume, amount, n AS trades, round(CASE WHEN volume = 0 THEN close ELSE amount / volume END, 4) AS vwap, 1.0::DOUBLE AS factor FROM o WHERE NOT bad", "orders_panel", o=ORD))
 def _(spark, sf):
     bars, _ = ar.read_daily_bars(daily_files(spark, sf))
     return bars.select("instrument", "date", "close", F.round("high", 6).alias("high"), F.round("low", 6).alias("low"), "volume", "amount", "trades", F.round("vwap", 4).alias("vwap"), "factor")

@@ -44,7 +44,7 @@ def fit_sql(keys, src="dm"):
 
 
 FIT = DM | {"fit": fit_sql(CELL)}
-SCORED = FIT | {"sc": f"SELECT *, x1 * e AS s1, x2 * e AS s2 FROM (SELECT d.*, y - beta * x1 - gamma * x2 AS e FROM dm d JOIN fit USING ({CELL}))"}
+SCORED = FIT | {"sc": f"SELECT *, x1 * e AS s1, x2 * e AS s2 FROM (SELECT d.*, y - beta * x1 - gamma * x2 AS e FROM dm d JOIN fit USING ({CELL}) WHERE beta IS NOT NULL)"}
 CLUSTER = {"cl": f"""SELECT {CELL}, count(*) AS g, sum(g1 * g1) AS m11, sum(g1 * g2) AS m12, sum(g2 * g2) AS m22 FROM (SELECT {CELL}, ts, sum(s1) AS g1, sum(s2) AS g2 FROM sc GROUP BY {CELL}, ts) GROUP BY {CELL}""",
     "vcl": f"SELECT {CELL}, g * 1.0 / (g - 1) * (n_obs - 1) / (n_obs - 2) * (i11 * i11 * m11 + 2 * i11 * i12 * m12 + i12 * i12 * m22) AS var_cluster FROM cl JOIN fit USING ({CELL})"}
 
