@@ -83,7 +83,7 @@ def trailing(
     if ahead:
         copies.append(F.when(offset < F.lit(ahead), home - 1))
     spread = df.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(F.array(*copies))))
-    spread = spread.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_block")
+    spread = spread_over(spread, *keys, "_block")
     w = Window.partitionBy(*keys, "_block").orderBy(pos)
     return body(spread, w).filter(F.col("_block") == F.col("_home")).drop("_home", "_block")
 
@@ -136,9 +136,44 @@ def value_ranks(
     )
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation quantiles per group; NULL values are skipped."""
-    ranks = value_ranks(df, keys, value)
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group: one column-pruned, map-side combined pass, one number back."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
+def with_ranks(df: DataFrame, keys: Sequence[str], value: str, *, hot: int = HOT_GROUP) -> DataFrame:
+    """Attach ``below``, ``copies`` and ``total`` to every row with a non-NULL value.
+
+    The largest group is measured first. Within the bound one shuffle and one sort per group are cheapest; beyond it
+    the ranks come from ``value_ranks``, which cuts hot groups. Pass a written table: it is read more than once.
+    """
+    keys = list(keys)
+    there = df.filter(F.col(value).isNotNull())
+    if largest_group(there, keys) > hot:
+        return there.join(value_ranks(there, keys, value, hot=hot), [*keys, value])
+    group = Window.partitionBy(*keys)
+    return there.withColumns(
+        {
+            "below": (F.rank().over(group.orderBy(value)) - 1).cast("long"),
+            "copies": F.count(F.lit(1)).over(Window.partitionBy(*keys, value)),
+            "total": F.count(F.lit(1)).over(group),
+        }
+    )
+
+
+def group_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], *, hot: int = HOT_GROUP
+) -> DataFrame:
+    """Exact linear-interpolation quantiles per group; NULL values are skipped.
+
+    Groups are measured first: within the bound Spark's exact ``percentile`` holds a group's distinct values in one
+    buffer; beyond it the quantiles are read off the chunked value histogram.
+    """
+    there = df.filter(F.col(value).isNotNull())
+    if largest_group(there, keys) <= hot:
+        found = there.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(q) for q in quantiles.values()])).alias("_q"))
+        return found.select(*keys, *[F.get("_q", F.lit(n)).alias(name) for n, name in enumerate(quantiles)])
+    ranks = value_ranks(there, keys, value, hot=hot)
     aggs = []
     for name, q in quantiles.items():
         place = (F.col("total") - 1) * F.lit(q)
@@ -159,16 +194,25 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     )
 
 
+def spread_over(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows that will be expanded or are CPU-heavy over all shuffle partitions; AQE keeps a stated count."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], cut_on: str, value: Column, out: str,
     *, chunks: int = CHUNKS, hot: int = HOT_GROUP,
 ) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the group, ordered by ``order`` whose first column is ``cut_on``.
 
-    Groups above ``hot`` rows are cut along ``cut_on``; each chunk is summed by its own task and the chunk totals,
-    at most ``chunks`` rows per group, carry over.
+    The largest group is measured first; within the bound one window per group does. Beyond it groups above ``hot``
+    rows are cut along ``cut_on``; each chunk is summed by its own task and the chunk totals, at most ``chunks`` rows
+    per group, carry over.
     """
     keys = list(keys)
+    if largest_group(df, keys) <= hot:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0.0)))
     marks = [F.lit(i / chunks) for i in range(1, chunks)]
     cuts = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx(cut_on, F.array(*marks), chunks * 4).alias("_cuts")

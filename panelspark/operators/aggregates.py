@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import ratio
 from panelspark.layout import group_quantiles, running_total
+from panelspark.operators.panel import order_key
 
 TAKER_PREMIUM = 0.0002
 PROBE_FRACTION = 0.005
@@ -19,11 +20,9 @@ def daily_funding(settlements: DataFrame, symbol: str = "perp_symbol") -> DataFr
 
 
 def last_of_day(metrics: DataFrame, fields: Sequence[str], symbol: str = "symbol", tie: str | None = None) -> DataFrame:
+    """Fields of the latest row per (symbol, day). Without ``tie`` (times are unique) the aggregate hashes, not sorts."""
     order = F.struct("create_time", tie) if tie else F.col("create_time")
-    last = metrics.groupBy(symbol, F.to_date("create_time").alias("date")).agg(
-        F.max_by(F.struct(*fields), order).alias("_last")
-    )
-    return last.select(symbol, "date", "_last.*")
+    return metrics.groupBy(symbol, F.to_date("create_time").alias("date")).agg(*[F.max_by(f, order).alias(f) for f in fields])
 
 
 def mapped_fields(cells: DataFrame, source: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -95,7 +94,7 @@ def book_walk_impact(
     """
     value = F.col("price") * F.col("quantity")
     bar = ticks.groupBy(*keys).agg(
-        F.sum(value).alias("_bar"), F.min_by("price", F.struct(*order)).alias("_first")
+        F.sum(value).alias("_bar"), F.min_by("price", order_key(order)).alias("_first")
     )
     walked = running_total(ticks, keys, order, order[0], value, "_before").join(bar, list(keys))
     target = F.col("_bar") * F.lit(fraction)

@@ -18,8 +18,12 @@ ZERO_WHEN_SUSPENDED = ("volume", "amount", "trades", "taker_buy_base", "taker_bu
 
 
 def bars_from_ticks(ticks: DataFrame, keys: Sequence[str], order: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
-    """One bar per key from (price, quantity, is_buyer_maker) ticks; a single map-side combined aggregate."""
-    seq = F.struct(*order)
+    """One bar per key from (price, quantity, is_buyer_maker) ticks; a single map-side combined aggregate.
+
+    With one numeric order column every buffer is fixed-width and Spark hashes; several columns need a struct, which
+    makes it sort the ticks, so a single tick id is the fast form.
+    """
+    seq = order_key(order)
     taker = ~F.col("is_buyer_maker")
     value = F.col("price") * F.col("quantity")
     bars = ticks.groupBy(*keys).agg(
@@ -37,6 +41,10 @@ def bars_from_ticks(ticks: DataFrame, keys: Sequence[str], order: Sequence[str],
     return bars.withColumn("vwap", vwap("amount", "volume", "close")).withColumn("factor", F.lit(1.0))
 
 
+def order_key(order: Sequence[str]) -> Column:
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def calendar(df: DataFrame) -> DataFrame:
     """Every day between the first and the last row of the panel."""
     span = df.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))

@@ -217,7 +217,7 @@ def portfolio_returns(
 def long_short_spread(scored: DataFrame, k: int, cost: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
     """Daily dollar-neutral spread of (date, instrument, score, fwd) rows, net of entry costs per leg."""
     by = [*keys, "date"]
-    usable = scored.filter(F.col("score").isNotNull() & F.col("fwd").isNotNull())
+    usable = settle(scored.filter(F.col("score").isNotNull() & F.col("fwd").isNotNull()), "scored")
     legs = top_bottom_k(usable, k, keys)
     dates = usable.select(*by).distinct()
     entries = leg_entries(legs, dates, keys).groupBy(*by).agg(F.count(F.lit(1)).alias("entries"))

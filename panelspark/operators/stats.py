@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import expected_max_normal, norm_cdf, pearson, ratio
-from panelspark.layout import group_quantiles, group_stats, settle, value_ranks
+from panelspark.layout import group_quantiles, group_stats, settle, with_ranks
 from panelspark.operators.windows import drawdown, equity_curve
 
 
@@ -60,9 +60,9 @@ def deflated_sharpe(returns: DataFrame, trial: str = "trial", register: DataFram
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Average-tie ranks inside each group through the value histogram."""
-    ranks = value_ranks(df, keys, value).select(*keys, value, (F.col("below") + (F.col("copies") + 1) / 2).alias(out))
-    return df.join(ranks, [*keys, value])
+    """Average-tie ranks inside each group."""
+    ranked = with_ranks(df, keys, value)
+    return ranked.withColumn(out, F.col("below") + (F.col("copies") + 1) / 2).drop("below", "copies", "total")
 
 
 def rank_ic(scored: DataFrame, pred: str = "pred", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:

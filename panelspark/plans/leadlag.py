@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import expected_max_normal, pearson, ratio, two_sided_p
-from panelspark.layout import group_quantiles, group_stats, trailing
+from panelspark.layout import group_quantiles, group_stats, settle, trailing
 from panelspark.operators.ranking import best_cell
 from panelspark.operators.windows import forward_sum, log_return, roll_sum
 from panelspark.plans.resampling import bootstrap_ci
@@ -321,8 +321,8 @@ def beta_grid(cells: DataFrame, predictor: str, hs: Sequence[int]) -> DataFrame:
 
 def run_cells(panel: DataFrame, predictors: Sequence[str], ks: Sequence[int], hs: Sequence[int], stacked: bool = False) -> DataFrame:
     """beta, t, p, IC and q of every cell of the grid in one plan."""
-    rows = demeaned(observations(panel, predictors, ks, hs))
-    fit = pooled_ols(rows)
+    rows = settle(demeaned(observations(panel, predictors, ks, hs)), "demeaned")
+    fit = settle(pooled_ols(rows), "fit")
     scored = scores(rows, fit)
     tested = combined_test(fit, newey_west_variance(scored, fit, hs, stacked=stacked), clustered_variance(scored, fit))
     return bh_fdr(tested.join(sign_ic(rows), list(CELL), "left"))
@@ -333,7 +333,7 @@ def analyze(
 ) -> DataFrame:
     """All statistics per cell, one row each."""
     n_trials = len(predictors) * len(ks) * len(hs)
-    obs = observations(panel, predictors, ks, hs)
+    obs = settle(observations(panel, predictors, ks, hs), "observations")
     ci = bootstrap_ci(
         ic_series(obs), block=F.greatest(F.col("h"), F.lit(1)).cast("double"), resamples=resamples, seed=seed, statistic=F.avg, keys=CELL
     ).select(*CELL, F.col("lo").alias("ic_ci_lo"), F.col("hi").alias("ic_ci_hi"))

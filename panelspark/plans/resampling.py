@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import hash_uniform
-from panelspark.layout import group_quantiles
+from panelspark.layout import group_quantiles, settle, spread_over
 from panelspark.operators.stats import sharpe, sharpe_of
 
 
@@ -31,7 +31,7 @@ def bootstrap_indices(lengths: DataFrame, block: int | Column, resamples: int, s
     """
     keys = list(keys)
     b = lengths.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    t = b.repartition(*keys, "b").select(*keys, "n", "b", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("t"))
+    t = spread_over(b, *keys, "b").select(*keys, "n", "b", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("t"))
     size = block if isinstance(block, Column) else F.lit(float(block))
     u = hash_uniform(F.lit(f"u{seed}"), "b", "t")
     start = F.floor(hash_uniform(F.lit(f"s{seed}"), "b", "t") * F.col("n"))
@@ -64,7 +64,7 @@ def bootstrap_ci(
 ) -> DataFrame:
     """point, lo, hi, se of an aggregate expression; series below two rows give no row."""
     draws = bootstrap_draws(series, [ret], block, resamples, seed, keys)
-    stats = draws.groupBy(*keys, "b").agg(statistic(ret).alias("stat"))
+    stats = settle(draws.groupBy(*keys, "b").agg(statistic(ret).alias("stat")), "resamples")
     point = series.groupBy(*keys).agg(statistic(ret).alias("point"), F.count(F.lit(1)).alias("_n"))
     return _interval(stats, point, keys, alpha)
 
@@ -76,7 +76,7 @@ def paired_bootstrap_delta_ci(
     """Interval of statistic(cand) - statistic(null) with one index matrix for both series."""
     delta = statistic(cand) - statistic(null)
     draws = bootstrap_draws(pairs, [cand, null], block, resamples, seed, keys)
-    stats = draws.groupBy(*keys, "b").agg(delta.alias("stat"))
+    stats = settle(draws.groupBy(*keys, "b").agg(delta.alias("stat")), "resamples")
     point = pairs.groupBy(*keys).agg(delta.alias("point"), F.count(F.lit(1)).alias("_n"))
     return _interval(stats, point, keys, alpha)
 
@@ -111,8 +111,11 @@ def cscv_sharpes(returns: DataFrame, splits: int, trial: str = "trial") -> DataF
             for g in groups for name in ("n", "s1", "s2")
         ],
     )
-    masks = F.expr(f"filter(sequence(0L, {2**splits - 1}L), m -> bit_count(m) = {splits // 2})")
-    each = wide.withColumn("combo", F.explode(masks))
+    # Few trials still fill the cluster: each trial's row is copied once per slice of the combinations.
+    slices = 4 * int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = spread_over(wide.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), trial, "_slice")
+    masks = F.sequence(F.col("_slice").cast("long"), F.lit(2**splits - 1).cast("long"), F.lit(slices).cast("long"))
+    each = sliced.filter(F.col("_slice") < 2**splits).withColumn("combo", F.explode(masks)).filter(F.bit_count("combo") == splits // 2)
     inside = lambda name: sum(
         (F.getbit("combo", F.lit(g)) * F.col(f"{name}_{g}") for g in groups[1:]), F.getbit("combo", F.lit(0)) * F.col(f"{name}_0")
     )

@@ -24,7 +24,7 @@ LAST = "SELECT event_type AS perp_symbol, CAST(ts AS DATE) AS date, arg_max(valu
 
 def last_metrics(spark, sf):
     m = i.events(spark, sf).select(F.col("event_type").alias("perp_symbol"), F.col("ts").alias("create_time"), "value", "user_id", "event_id")
-    return ag.last_of_day(m, ["value", "user_id"], "perp_symbol", "event_id")
+    return ag.last_of_day(m, ["value", "user_id"], "perp_symbol")
 
 
 @query("A2_last_of_day", LAST)
@@ -230,8 +230,8 @@ def _(spark, sf):
 
 IMPACT = {
     "walk": """SELECT instrument, date, price, price * quantity AS v, sum(price * quantity) OVER (PARTITION BY instrument, date) AS bar,
- coalesce(sum(price * quantity) OVER (PARTITION BY instrument, date ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice, quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
- first_value(price) OVER (PARTITION BY instrument, date ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice, quantity) AS p0 FROM ticks""",
+ coalesce(sum(price * quantity) OVER (PARTITION BY instrument, date ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+ first_value(price) OVER (PARTITION BY instrument, date ORDER BY seq) AS p0 FROM ticks""",
     "impact": """SELECT instrument, date, abs(sum(take) / sum(take / price) - min(p0)) / min(p0) / (0.4 * 0.4) AS impact
  FROM (SELECT *, least(v, bar * 0.4 - before) AS take FROM walk WHERE before < bar * 0.4) GROUP BY instrument, date"""}
 

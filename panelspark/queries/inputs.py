@@ -17,7 +17,7 @@ from panelspark.operators.windows import forward_return, momentum
 
 # Prices are in an irrational unit, so that no rounded result can be an exact decimal tie.
 PRICE_UNIT = 314.1592653589793
-TICK_ORDER = ("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "quantity")
+TICK_ORDER = ("seq",)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,7 +33,8 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_extendedprice") / F.col("l_quantity") / F.lit(PRICE_UNIT)).alias("price"),
         F.col("l_quantity").alias("quantity"),
         (F.col("l_returnflag") == "N").alias("is_buyer_maker"),
-        "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax",
+        (F.col("l_orderkey") * 4096 + F.pmod("l_partkey", F.lit(4096))).alias("seq"),
+        "l_orderkey", "l_partkey", "l_suppkey", "l_discount", "l_tax",
     )
 
 
@@ -76,7 +77,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly bars (symbol, ts, OHLCV) of the event types."""
-    seq = F.struct("ts", "event_id")
+    seq = F.unix_micros("ts")
     return events(spark, sf).groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("hour")).agg(
         F.min_by("value", seq).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", seq).alias("close"),
         F.count(F.lit(1)).cast("double").alias("volume"),

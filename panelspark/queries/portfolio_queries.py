@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.layout import trailing
+from panelspark.layout import settle, trailing
 from panelspark.operators import joins, portfolio as pf, stats, windows as wo
 from panelspark.queries import inputs as i
 from panelspark.queries.registry import lagged, over, pct, query, rmean, rstd, sql, zsql
@@ -120,7 +120,7 @@ FULL = VOL | {
 
 
 def weights(spark, sf):
-    s = pf.trend_filter(signals(spark, sf), 15)
+    s = pf.trend_filter(settle(signals(spark, sf), "signals"), 15)
     s = pf.membership_filter(s, i.bars(spark, sf), 5, 30)
     return pf.target_weights(s, crowding_k=1.0, momentum_k=0.5)
 

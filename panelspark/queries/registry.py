@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-SEQ = "row(l_orderkey, l_partkey, l_suppkey, l_extendedprice, quantity)"
+SEQ = "seq"
 BAR_SELECT = f"""arg_min(price, {SEQ}) AS open, max(price) AS high, min(price) AS low, arg_max(price, {SEQ}) AS close,
  sum(quantity) AS volume, sum(price * quantity) AS amount, CAST(count(*) AS DOUBLE) AS trades,
  sum(CASE WHEN NOT is_buyer_maker THEN quantity ELSE 0 END) AS taker_buy_base,
@@ -34,7 +34,7 @@ BAR_SELECT = f"""arg_min(price, {SEQ}) AS open, max(price) AS high, min(price) A
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "ticks": ((), """SELECT 'L' || l_linenumber AS instrument, 'S' || l_suppkey AS supplier, CAST(l_shipdate AS DATE) AS date,
  l_extendedprice / l_quantity / 314.1592653589793::DOUBLE AS price, l_quantity AS quantity, l_returnflag = 'N' AS is_buyer_maker,
- l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax FROM lineitem"""),
+ l_orderkey * 4096 + l_partkey % 4096 AS seq, l_orderkey, l_partkey, l_suppkey, l_discount, l_tax FROM lineitem"""),
     "bars": (("ticks",), f"""SELECT instrument, date, {BAR_SELECT},
  round(sum(l_tax - 0.04), 12) AS funding, CAST(sum(l_partkey) + 1 AS DOUBLE) AS oi, round(sum(l_partkey * l_discount), 12) AS oi_value,
  round(avg(l_discount) + 0.5, 12) AS ls_top, round(avg(l_tax), 12) AS ls_global,

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.functions import scalar as sc
-from panelspark.layout import trailing
+from panelspark.layout import settle, trailing
 from panelspark.operators import asof, joins, panel as pn, quality, ranking, windows as wo
 from panelspark.plans import leadlag, recipes
 from panelspark.queries import inputs as i
@@ -440,7 +440,7 @@ def _(spark, sf):
     n = i.names(spark, sf).select("instrument", "date", F.when(F.col("trades") > 1, F.col("close")).alias("close"), "volume")
     late = n.filter((F.col("instrument") != "S1") | (F.col("date") >= D("2001-01-01")))
     broken = late.unionByName(late.filter((F.col("instrument") == "S3") & (F.col("volume") > 60)))
-    return quality.verify_panel(broken, ["close", "volume"], fail_on_gap=True)
+    return quality.verify_panel(settle(broken, "panel"), ["close", "volume"], fail_on_gap=True)
 
 
 @query("D2_synthetic_days", sql(ISLANDS.format(src="(SELECT * FROM dense WHERE close IS NULL)"), "dense"))

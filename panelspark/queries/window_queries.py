@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.layout import trailing
+from panelspark.layout import settle, trailing
 from panelspark.operators import features, windows as wo
 from panelspark.operators.panel import with_benchmark
 from panelspark.plans import leadlag
@@ -227,7 +227,7 @@ def exposure_sql(body: str, **more):
  UNION ALL SELECT 'vol_target', instrument, date, round(coalesce(raw, 1.0) * scale, 6) FROM gate JOIN scaled USING (instrument, date)""",
     scaled=f"SELECT instrument, date, {SCALE} AS scale FROM returns"))
 def _(spark, sf):
-    close = i.dense(spark, sf).select("instrument", "date", "close")
+    close = settle(i.dense(spark, sf).select("instrument", "date", "close"), "close")
     kinds = {
         "binary": {}, "confirmed": {"confirm": 3}, "graded": {"mode": "graded", "band": 0.05}, "cross": {"mode": "cross", "ma_fast": 5},
         "vol_target": {"vol_target": 12.0, "vol_lookback": 10},

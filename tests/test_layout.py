@@ -36,9 +36,19 @@ def test_value_ranks_match_pandas(skewed, hot):
 
 def test_quantiles_match_numpy(skewed):
     pdf, df = skewed
-    got = layout.group_quantiles(df, ["key"], "v", {"a": 0.0, "b": 0.137, "c": 0.5, "d": 1.0}).toPandas().set_index("key")
-    for k, part in pdf.groupby("key"):
-        assert np.allclose(got.loc[k, list("abcd")].astype(float), np.quantile(part["v"], [0, 0.137, 0.5, 1]))
+    for hot in (20, 10**9):
+        got = layout.group_quantiles(df, ["key"], "v", {"a": 0.0, "b": 0.137, "c": 0.5, "d": 1.0}, hot=hot).toPandas().set_index("key")
+        for k, part in pdf.groupby("key"):
+            assert np.allclose(got.loc[k, list("abcd")].astype(float), np.quantile(part["v"], [0, 0.137, 0.5, 1]))
+
+
+def test_row_ranks_do_not_depend_on_the_path(skewed):
+    pdf, df = skewed
+    a, b = (layout.with_ranks(df, ["key"], "v", hot=hot).orderBy("id").toPandas() for hot in (10, 10**9))
+    pd.testing.assert_frame_equal(a[["id", "below", "copies", "total"]], b[["id", "below", "copies", "total"]])
+    panel = df.select(F.col("id").cast("string").alias("instrument"), F.col("key").alias("date"), "v")
+    x, y = (wo.cs_rank_pct(panel, {"r": "v"}, hot=hot).orderBy("instrument").toPandas() for hot in (10, 10**9))
+    assert np.allclose(x["r"], y["r"]) and np.allclose(x.set_index(x.instrument.astype(int))["r"].sort_index(), pdf.groupby("key")["v"].rank(pct=True))
 
 
 def test_running_total_in_chunks(skewed):
