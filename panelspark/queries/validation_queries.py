@@ -413,12 +413,32 @@ def _(spark, sf):
     return i.rounded(rows.drop("ls_sharpe_mean", "ls_sharpe_min"), 5)
 
 
-@query("V12_stress_aggregate")
+LSW = MEANS | {
+    "lsu": "SELECT * FROM ps WHERE arm = 'cand' AND fwd IS NOT NULL",
+    "lsr": """SELECT *, least(2, count(*) OVER (PARTITION BY label, seed, date) // 2) AS kk, row_number() OVER (PARTITION BY label, seed, date ORDER BY score DESC, instrument DESC) AS rd,
+ row_number() OVER (PARTITION BY label, seed, date ORDER BY score, instrument) AS ra FROM lsu""",
+    "lsl": "SELECT label, seed, date, instrument, fwd, kk, 'long' AS leg FROM lsr WHERE rd <= kk UNION ALL SELECT label, seed, date, instrument, fwd, kk, 'short' FROM lsr WHERE ra <= kk",
+    "lsd": "SELECT *, lag(date) OVER (PARTITION BY label, seed ORDER BY date) AS prev FROM (SELECT DISTINCT label, seed, date FROM lsu)",
+    "lse": """SELECT d.label, d.seed, d.date, count(l.instrument) AS entries FROM lsd d LEFT JOIN (SELECT l.*, p.instrument AS was FROM lsl l JOIN lsd d ON d.label = l.label AND d.seed = l.seed AND d.date = l.date
+ LEFT JOIN lsl p ON p.label = l.label AND p.seed = l.seed AND p.date = d.prev AND p.leg = l.leg AND p.instrument = l.instrument) l ON l.label = d.label AND l.seed = d.seed AND l.date = d.date AND l.was IS NULL GROUP BY ALL""",
+    "lsx": """SELECT e.label, e.seed, e.date, coalesce(x.sp - 0.001 * entries / x.kk, 0) AS ret FROM lse e LEFT JOIN (SELECT label, seed, date, max(kk) AS kk, avg(fwd) FILTER (leg = 'long') - avg(fwd) FILTER (leg = 'short') AS sp
+ FROM lsl GROUP BY ALL) x ON x.label = e.label AND x.seed = e.seed AND x.date = e.date""",
+    "lsw": "SELECT label, avg(s) AS ls FROM (SELECT label, seed, avg(ret) / stddev_samp(ret) * sqrt(365) AS s FROM lsx GROUP BY ALL) GROUP BY label",
+    "dlt": "SELECT label, avg(sr) FILTER (arm = 'cand') - avg(sr) FILTER (arm = 'null') AS d FROM shp GROUP BY label"}
+
+
+@query("V12_stress_aggregate", sql("SELECT count(*) AS n_windows, count(*) FILTER (ls > 0) AS windows_positive, round(min(ls), 5) AS ls_sharpe_worst, round(avg(ls), 5) AS ls_sharpe_mean, round(avg(d), 5) AS delta_mean FROM lsw JOIN dlt USING (label)", "returns", **LSW))
 def _(spark, sf):
     return i.rounded(stress(spark, sf)[1], 5)
 
 
-@query("R1_recipe_table")
+def recipe_rows():
+    one = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return ", ".join(f"('{n}', {one(r['model'])}, {r['label_horizon']}, {r['purge_days']}, {one(r.get('topk'))}, CAST({one(r.get('vol_target'))} AS DOUBLE))" for n, r in recipes.RECIPES.items())
+
+
+@query("R1_recipe_table", sql(f"""SELECT recipe, model, label_horizon, purge_days, topk, vol_target, (SELECT count(close) FROM dense) - (SELECT count(DISTINCT instrument) FROM dense) * (label_horizon + 1) AS usable_rows
+ FROM (VALUES {recipe_rows()}) t(recipe, model, label_horizon, purge_days, topk, vol_target)""", "dense"))
 def _(spark, sf):
     """Recipes joined to the data they run on: how many panel rows each recipe's label horizon leaves usable."""
     usable = i.dense(spark, sf).groupBy("instrument").agg(F.count("close").alias("rows"))
