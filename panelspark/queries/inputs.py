@@ -21,6 +21,7 @@ TICK_ORDER = ("seq",)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold UTC wall-clock times
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

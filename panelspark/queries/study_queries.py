@@ -115,11 +115,10 @@ def _(spark, sf):
     return i.rounded(ll.sign_ic(ll.demeaned(obs(spark, sf))))
 
 
-@query("A28_bh_fdr", sql("""SELECT o_orderkey AS cell, round(q, 6) AS q FROM (SELECT o_orderkey, min(raw) OVER (ORDER BY rk DESC) AS q FROM (
- SELECT o_orderkey, rk, least(1, p * count(*) OVER () / rk) AS raw FROM (SELECT o_orderkey, o_totalprice / 600000 AS p, row_number() OVER (ORDER BY o_totalprice / 600000, o_orderkey) AS rk FROM orders)))"""))
+@query("A28_bh_fdr", sql(f"SELECT {CELL}, round(p_value, 5) AS p_value, round(bh_q, 5) AS bh_q FROM fdr", "hourly", **TESTS, **FDR))
 def _(spark, sf):
-    o = i.table(spark, sf, "orders").select(F.col("o_orderkey").alias("cell"), (F.col("o_totalprice") / 600000).alias("p"))
-    return i.rounded(ll.bh_fdr(o, "p", ["cell"], "q").select("cell", "q"))
+    cells = ll.run_cells(panel(spark, sf), PREDS, KS, HS)
+    return i.rounded(cells.select("predictor", "k", "h", "p_value", "bh_q"), 5)
 
 
 @query("A29_deflated_ic", sql(f"SELECT {CELL}, round(rank_ic - e / sqrt(greatest(n_obs, 400)), 6) AS deflated_ic FROM {emax(f'(SELECT *, {NTRIALS} AS nt FROM ic JOIN fit USING ({CELL}))', 'nt', 'e')}", "hourly", **FIT, **IC))

@@ -53,15 +53,13 @@ def _(spark, sf):
     return joins.perp_symbols(i.dense(spark, sf).select("instrument", "date"), mapping(spark))
 
 
-@query("P4_with_pit_universe", sql(
-    """SELECT instrument, min(position) AS position FROM (SELECT instrument, CAST(row_number() OVER (ORDER BY total DESC, instrument) AS INTEGER) AS position
- FROM (SELECT instrument, sum(trades) AS total FROM names GROUP BY instrument)
- UNION ALL SELECT s, CAST(k + (SELECT count(DISTINCT instrument) FROM names) AS INTEGER) FROM (VALUES """
-    + ", ".join(f"('{s}', {k + 1})" for k, s in enumerate(recipes.PIT_ADDITIONS)) + ") t(s, k)) GROUP BY instrument", "names"))
-def _(spark, sf):
-    totals = i.names(spark, sf).groupBy("instrument").agg(F.sum("trades").alias("total"))
-    ordered = totals.select("instrument", F.row_number().over(wo.Window.orderBy(F.desc("total"), "instrument")).alias("position"))
-    return recipes.with_pit_universe(ordered)
+@query("P4_with_pit_universe", """SELECT instrument, min(position) AS position FROM (SELECT 'S' || s_suppkey AS instrument, CAST(s_suppkey + 1 AS INTEGER) AS position FROM supplier
+ UNION ALL SELECT s, CAST(k + (SELECT max(s_suppkey) + 1 FROM supplier) AS INTEGER) FROM (VALUES """
+    + ", ".join(f"('{s}', {k + 1})" for k, s in enumerate(recipes.PIT_ADDITIONS)) + ") t(s, k)) GROUP BY instrument")
+def _(spark, sf):
+    s = i.table(spark, sf, "supplier")
+    return recipes.with_pit_universe(
+        s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("instrument"), (F.col("s_suppkey") + 1).cast("int").alias("position")))
 
 
 @query("P5_slice_dates", sql("SELECT instrument, date, round(close, 6) AS close FROM names WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-06-30'", "names"))

@@ -21,6 +21,7 @@ EVENT_SCHEMA = T.StructType(
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_trigger: int = 64) -> DataFrame:
     """File stream of events with a zoned timestamp (watermarks need one)."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the files hold UTC wall-clock times
     return (
         spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger)
         .parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
