@@ -8,6 +8,7 @@ ids up in the inverse mapping.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 500_000  # chunks a worker remembers; beyond it the memory is emptied, results do not change
+CACHE_PIECES = 1_000_000  # chunks a worker remembers; beyond it the memory is emptied, results do not change
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -92,11 +93,14 @@ class Codec:
         self.first: dict[str, str] = {}  # chunk as it stands: its ids
 
     def learn(self, new: set[str], prefix: str, known: dict[str, str]) -> None:
+        gc.disable()  # many small lists at once, none in a cycle
         split = [(c, self.pieces.findall(prefix + c)) for c in new]
         pieces = list({p for _, found in split for p in found})
         ids = self.model.encode([p.encode().decode("latin-1").translate(self.table) for p in pieces], num_threads=1)
         by_piece = {p: " ".join(map(str, some)) for p, some in zip(pieces, ids)}
         known.update((c, " ".join([by_piece[p] for p in found])) for c, found in split)
+        del split, by_piece, ids
+        gc.enable()
 
     def encode(self, texts: list[str]) -> list[str]:
         """Ids in decimal, joined by one space, of each text; pre-tokens that are new to the worker are encoded in one call.
@@ -124,6 +128,17 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(" "))) if ids else b""
 
 
+_codecs: dict[tuple[bytes, str], Codec] = {}
+
+
+def worker_codec(model: bytes, pattern: str) -> Codec:
+    """The worker's one codec, which serves all tasks that it runs."""
+    if (model, pattern) not in _codecs:
+        _codecs.clear()
+        _codecs[model, pattern] = Codec(model, pattern)
+    return _codecs[model, pattern]
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes of text, at least a row each."""
     for batch in batches:
@@ -145,7 +160,7 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, wi
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]) + extra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = worker_codec(*shared.value)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in small_batches(batches, len(kept)):
             n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
