@@ -6,6 +6,7 @@ total budget is spent, so at any point of the mix, and at its end, every source
 """
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
@@ -18,7 +19,7 @@ from panelspark.llm.common import word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 EPOCHS = 2
-CHUNK_ROWS = 8192
+CHUNK_ROWS = 512
 SEED = "mix"
 
 
@@ -73,7 +74,9 @@ def schedule(docs: DataFrame, *, size: Column | None = None, weights=WEIGHTS, sh
     named = settle(named.withColumn("draw", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))), "mix-queue")
     sizes = named.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights=weights, share=share, epochs=epochs)
-    pieces = max(1, -(-named.count() // CHUNK_ROWS))
+    rows = named.count()
+    # slices of a few rows; on very many rows they grow with their number, so that neither a slice nor the list of slices is large
+    pieces = max(1, math.ceil(min(rows / CHUNK_ROWS, 16 * math.sqrt(rows))))
     # equal slices of the draw: a source is shuffled, so its slices are even however large it is
     slice_of = F.floor(share_of(F.col("draw")) * F.lit(pieces)).cast("long")
     queued = named.withColumn("chunk", slice_of).withColumn("one", F.lit(1).cast("long"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import byte_bpe, embedding_lsh, langid, mixing, separator_scan, simhash, warc
+from panelspark.llm import byte_bpe, embedding_lsh, langid, minhash, mixing, secret_scan, separator_scan, simhash, warc
 from panelspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,32 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query()
+def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _span_sql(rule: secret_scan.Rule, rank: int) -> str:
+    """Matches of a rule with places from alternating pieces, as a list of structs."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""list_filter(list_transform(range(len(m_{rule.kind})), lambda i: {{
+ 'start': list_sum(list_transform(p_{rule.kind}[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m_{rule.kind}[1:i], lambda x: length(x))), 0),
+ 'rank': {rank}, 'kind': '{rule.kind}', 'end': list_sum(list_transform(p_{rule.kind}[1:i + 1], lambda x: length(x))) + list_sum(list_transform(m_{rule.kind}[1:i + 1], lambda x: length(x)))}}),
+ lambda s: length(regexp_extract(m_{rule.kind}[list_position(list_transform(range(len(m_{rule.kind})), lambda i: list_sum(list_transform(p_{rule.kind}[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m_{rule.kind}[1:i], lambda x: length(x))), 0)), s.start)], '{pattern}', {rule.group})) >= {rule.least})"""
+
+
+_MATCHES = ", ".join(f"regexp_extract_all(t, '{p}') AS m_{r.kind}, regexp_split_to_array(t, '{p}') AS p_{r.kind}" for r in secret_scan.RULES for p in [r.pattern.replace("'", "''")])
+_JOIN = "coalesce(list_aggregate(list_transform(list_sort({0}), lambda s: s.kind || ':' || CAST(s.start AS BIGINT) || ':' || CAST(s.end AS BIGINT)), 'string_agg', ','), '')"
+_BASE = " || ".join(_span_sql(r, i) for i, r in enumerate(secret_scan.BASE_RULES))
+_MORE = " || ".join(_span_sql(r, i) for i, r in enumerate(secret_scan.RULES) if i >= len(secret_scan.BASE_RULES))
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {_MATCHES} FROM d),
+s AS (SELECT doc_id, {_BASE} AS base, {_MORE} AS more FROM m)
+SELECT doc_id, {", ".join(f"CAST(len(list_filter(base, lambda s: s.kind = '{r.kind}')) AS BIGINT) AS n_{r.kind}" for r in secret_scan.BASE_RULES)},
+ sha256({_JOIN.format('base')}) AS base_sha256, {_JOIN.format('base || more')} AS spans FROM s""")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = secret_scan.Ledger(spark)
+    return secret_scan.digest(ledger.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
