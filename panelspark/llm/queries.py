@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import byte_bpe, embedding_lsh, langid, minhash, mixing, secret_scan, separator_scan, simhash, warc
+from panelspark.llm import byte_bpe, embedding_lsh, langid, minhash, mixing, secret_scan, separator_scan, sharding, simhash, warc
 from panelspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ SELECT doc_id, {", ".join(f"CAST(len(list_filter(base, lambda s: s.kind = '{r.ki
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = secret_scan.Ledger(spark)
     return secret_scan.digest(ledger.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+
+
+@query()
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
