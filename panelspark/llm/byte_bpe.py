@@ -13,6 +13,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,32 +152,31 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, wi
     """Encode every whole text and decode its ids: n_tokens, ids_sha256, decoded_sha256 beside all columns but text.
 
     NULL and empty texts have no ids and decode to no bytes; both digests are then those of the empty string. ``with_ids`` adds
-    ``ids`` (array<int>) and ``decoded`` (string). Every row is encoded by itself; there is no shuffle.
+    ``ids`` (array<int>). Columns named like the added ones are replaced. Every row is encoded by itself; there is no shuffle.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((serialise_model(ranks), pattern))  # a fixed vocabulary of about a megabyte
-    kept = [c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")]
-    extra = ", ids array<int>, decoded string" if with_ids else ""
+    kept = [c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256", "ids")]
+    extra = ", ids array<int>" if with_ids else ""
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]) + extra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(*shared.value)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in small_batches(batches, len(kept)):
-            n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
+            n, ids_sha, text_sha, all_ids = [], [], [], []
             for ids in codec.encode([text or "" for text in batch.column(len(kept)).to_pylist()]):
                 decoded = codec.decode(ids)
                 n.append(ids.count(" ") + 1 if ids else 0)
                 ids_sha.append(sha(ids.encode()))
                 text_sha.append(sha(decoded))
                 if with_ids:
-                    all_ids.append([int(i) for i in ids.split()])
-                    texts.append(decoded.decode())
+                    all_ids.append(np.array(ids.split(), np.int32))
             columns = [*batch.columns[: len(kept)], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

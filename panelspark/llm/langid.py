@@ -21,6 +21,7 @@ ORDER = 4
 SAMPLE_DOCS = 20_000  # labelled documents a model is trained on; a hash of doc_id chooses them where there are more
 TEXT_STEP = 1 << 20
 UNKNOWN = "und"
+MOST_BITS = 7.5
 
 
 def held_out(doc_id: str) -> Column:
@@ -170,6 +171,7 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
     """
     added = ("lang_pred", "score", "bits_per_byte")
     kept = [c for c in docs.columns if c not in added]
+    at = kept.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was trained on
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
@@ -179,8 +181,7 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
         letter, ppm = regex.compile(r"\p{L}"), shared.value
         for batch in batches:
             names, scores, rates = [], [], []
-            for text in batch.column(len(kept)):
-                text = text.as_py()
+            for text in batch.column(at).to_pylist():
                 if not text or not ppm.langs or not letter.search(text):
                     names.append(UNKNOWN), scores.append(0.0), rates.append(None)
                     continue
@@ -192,7 +193,17 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
                 rates.append(float(bits[best] / len(data)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*kept, *added])
 
-    return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    return docs.select(*kept).mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double")
+
+
+def keep_identified(docs: DataFrame, model: PpmModel, *, most_bits: float = MOST_BITS) -> DataFrame:
+    """Documents in a language the model knows, with their columns as they are but ``lang`` filled where it is NULL.
+
+    Rejected are those without a letter and those whose code is longer than ``most_bits`` a byte, which is as long as text that no
+    language predicts at all. An empty model rejects everything, for it knows no language.
+    """
+    found = predict(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= most_bits))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -101,3 +101,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     copies = schedule(docs, **options)
     same = ["source", "place", "doc_id", "size", "source_size", "target"]
     return copies.groupBy(*same).agg(F.sum("taken").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, with all their columns, once for each time that it takes them.
+
+    The document at the cut is whole if the budget covers half of it or more. Documents without words are not taken. Wholly
+    repeated rows keep their number of turns each.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source")).alias("_key")
+    keyed = docs.withColumn("_key", key)
+    turns = schedule(keyed, keep=("_key",), **options).groupBy("_key", "source", "place").agg(F.sum(((F.col("size") > 0) & (F.col("taken") * 2 >= F.col("size"))).cast("int")).alias("turns"))
+    turns = turns.groupBy(F.col("_key").alias("_of")).agg(F.sort_array(F.collect_list("turns"), asc=False).alias("_turns"))  # one number a repeated row
+    joined = keyed.join(turns, F.col("_key") == F.col("_of"))
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
+    out = joined.withColumn("_turn", F.get("_turns", number - 1)).filter("_turn > 0")
+    return out.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turn")))).select(*docs.columns)

@@ -108,14 +108,17 @@ class Ledger:
         texts.select("blob", F.col("todo").alias("rules"), F.concat(*found).alias("spans")).write.mode("append").parquet(self.path)
         return self.findings(named, rules)
 
-    def findings(self, named: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-        """(path, blob, spans) for rows of (path, blob): what the given rule versions have found in the blob so far."""
+    def hits(self, rules: Sequence[Rule] = RULES) -> DataFrame:
+        """(blob, spans) of the blobs in which the given rule versions have found something."""
         kinds = {r.kind: (r.key, i) for i, r in enumerate(rules)}
         current = lambda x: F.array_contains("rules", F.element_at(F.create_map(*[F.lit(v) for k, (key, _) in kinds.items() for v in (k, key)]), x["kind"]))
-        hits = self.read().filter(F.size("spans") > 0).select("blob", F.filter("spans", current).alias("spans"))
+        hits = self.read().select("blob", F.filter("spans", current).alias("spans")).filter(F.size("spans") > 0)
         # a repeated path and content was scanned as often as it stands there: equal spans are one
-        hits = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-        return named.join(hits, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+        return hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+
+    def findings(self, named: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+        """(path, blob, spans) for rows of (path, blob): what the given rule versions have found in the blob so far."""
+        return named.join(self.hits(rules), "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def joined(found: Column) -> Column:
@@ -140,3 +143,17 @@ def redact(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
 
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     return F.when(F.size(found) > 0, F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))).otherwise(text)
+
+
+def redact_documents(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Documents with every secret in ``text`` replaced and ``n_chars`` counted anew; all rows and columns stay.
+
+    New blobs are scanned into the ledger first; documents meet its findings by content. NULL text stays NULL.
+    """
+    ledger.scan(docs.select("doc_id", "text"), "doc_id", rules)
+    named = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    found = named.join(ledger.hits(rules).withColumnsRenamed({"blob": "_found", "spans": "_spans"}), F.col("_blob") == F.col("_found"), "left")
+    clean = found.withColumn("text", F.when(F.col("_spans").isNotNull(), redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean.select(*docs.columns)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.layout import settle
@@ -47,15 +47,23 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits((seen @ BYTE_BITS).ravel() * 2 > len(hashes)).tobytes(), "big")
 
 
+def row_hash():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. NULL, empty and word-free texts have fingerprint 0."""
+    """(doc_id, fp, row): fingerprint as a signed long, and a hash of id and text that tells rows with one id apart.
+
+    NULL, empty and word-free texts have fingerprint 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(t, shingle) if t else 0 for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64)), batch.column(2)], ["doc_id", "fp", "row"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash().alias("row"))
+    return named.mapInArrow(run, "doc_id long, fp long, row long")
 
 
 def wildcard_keys(fps: DataFrame) -> DataFrame:
@@ -101,6 +109,15 @@ def links(fps: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long")
 
 
+def classes(marked: DataFrame) -> DataFrame:
+    """(fp, component_id, root) of written fingerprints: the smallest doc_id and the class over links, one row per fingerprint."""
+    fps = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    roots = connected_components(links(fps.select("fp")), "simhash-links")
+    named = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.join(firsts, "root").select("fp", "component_id", "root")
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id): the hexadecimal fingerprint and the smallest doc_id reachable over links.
 
@@ -108,10 +125,16 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     all its members are NULL. Word-free texts all have fingerprint zero and are linked like any other.
     """
     marked = settle(fingerprints(docs), "simhash")
-    fps = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = connected_components(links(fps.select("fp")), "simhash-links")
-    named = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(firsts, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marked.join(classes, "fp").select("doc_id", digits, "component_id")
+    return marked.join(classes(marked), "fp").select("doc_id", digits, "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component with all its columns: the one of smallest doc_id (NULL last), of a repeated id that with the
+    smallest row hash; of wholly repeated rows one stays."""
+    marked = settle(fingerprints(docs), "simhash")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("best")
+    named = marked.join(classes(marked), "fp").groupBy("root").agg(best).select(F.col("best.row").alias("_row"), F.col("best.doc_id").alias("_id"))
+    kept = docs.withColumn("_key", row_hash()).join(named, (F.col("_key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    first = Window.partitionBy("_key").orderBy("doc_id")
+    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
