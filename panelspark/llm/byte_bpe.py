@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CACHE_PIECES = 1_000_000  # chunks a worker remembers; beyond it the memory is emptied, results do not change
 
@@ -157,8 +158,9 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, wi
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((serialise_model(ranks), pattern))  # a fixed vocabulary of about a megabyte
     kept = [c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256", "ids")]
-    extra = ", ids array<int>" if with_ids else ""
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]) + extra
+    schema = T.StructType([docs.schema[c] for c in kept]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(*shared.value)

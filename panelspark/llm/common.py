@@ -27,6 +27,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(whole, doc_id, text): each row as one struct beside what operators look at, so further columns of any name do no harm."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def open_store(uri: str):
     """(file system, path) of a folder or file in the shared store, local or remote; used inside tasks."""
     from pyarrow import fs
@@ -117,10 +122,12 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        # minima are written before they are joined: then both sides of a join are plain shuffles, which can be split at hubs
+        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), label)
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = settle(large, label)
         # a node's smaller neighbours and the node itself all point to the smallest
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        floor = settle(large.groupBy("a").agg(F.min("b").alias("m")), label)
         small = large.join(floor, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         now = settle(small.select("e.a", "e.b").filter("a <> b").distinct(), label)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelspark.llm.common import packed
 
 ORDER = 4
 SAMPLE_DOCS = 20_000  # labelled documents a model is trained on; a hash of doc_id chooses them where there are more
@@ -173,7 +176,9 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
     kept = [c for c in docs.columns if c not in added]
     at = kept.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was trained on
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    schema = T.StructType([docs.schema[c] for c in kept])
+    for name, kind in zip(added, (T.StringType(), T.DoubleType(), T.DoubleType())):
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -193,7 +198,7 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
                 rates.append(float(bits[best] / len(data)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*kept, *added])
 
-    return docs.select(*kept).mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    return docs.select(*kept).mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, model: PpmModel, *, most_bits: float = MOST_BITS) -> DataFrame:
@@ -202,8 +207,9 @@ def keep_identified(docs: DataFrame, model: PpmModel, *, most_bits: float = MOST
     Rejected are those without a letter and those whose code is longer than ``most_bits`` a byte, which is as long as text that no
     language predicts at all. An empty model rejects everything, for it knows no language.
     """
-    found = predict(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= most_bits))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = predict(packed(docs).select("whole", "text"), model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= most_bits))
+    column = lambda c: F.coalesce(F.col("whole").getField(c), "lang_pred") if c == "lang" else F.col("whole").getField(c)
+    return found.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.layout import settle
-from panelspark.llm.common import word_count
+from panelspark.llm.common import packed, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -109,11 +109,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The document at the cut is whole if the budget covers half of it or more. Documents without words are not taken. Wholly
     repeated rows keep their number of turns each.
     """
-    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source")).alias("_key")
-    keyed = docs.withColumn("_key", key)
-    turns = schedule(keyed, keep=("_key",), **options).groupBy("_key", "source", "place").agg(F.sum(((F.col("size") > 0) & (F.col("taken") * 2 >= F.col("size"))).cast("int")).alias("turns"))
-    turns = turns.groupBy(F.col("_key").alias("_of")).agg(F.sort_array(F.collect_list("turns"), asc=False).alias("_turns"))  # one number a repeated row
-    joined = keyed.join(turns, F.col("_key") == F.col("_of"))
-    number = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
-    out = joined.withColumn("_turn", F.get("_turns", number - 1)).filter("_turn > 0")
-    return out.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turn")))).select(*docs.columns)
+    named = packed(docs).withColumn("source", F.col("whole").getField("source").cast("string"))
+    keyed = named.withColumn("key", F.xxhash64("doc_id", "text", "source"))
+    turn = ((F.col("size") > 0) & (F.col("taken") * 2 >= F.col("size"))).cast("int")
+    turns = schedule(keyed, keep=("key",), **options).groupBy("key", "source", "place").agg(F.sum(turn).alias("turns"))
+    turns = turns.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list("turns"), asc=False).alias("turns"))  # one number a repeated row
+    number = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
+    out = keyed.join(turns, F.col("key") == F.col("_key")).withColumn("turn", F.get("turns", number - 1)).filter("turn > 0")
+    return out.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("turn")))).select("whole.*")

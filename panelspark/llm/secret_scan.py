@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.layout import fresh_path
+from panelspark.llm.common import packed
 from panelspark.llm.minhash import let
 
 
@@ -151,9 +152,10 @@ def redact_documents(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RU
     New blobs are scanned into the ledger first; documents meet its findings by content. NULL text stays NULL.
     """
     ledger.scan(docs.select("doc_id", "text"), "doc_id", rules)
-    named = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    found = named.join(ledger.hits(rules).withColumnsRenamed({"blob": "_found", "spans": "_spans"}), F.col("_blob") == F.col("_found"), "left")
-    clean = found.withColumn("text", F.when(F.col("_spans").isNotNull(), redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    named = packed(docs).withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    found = named.join(ledger.hits(rules), F.col("_blob") == F.col("blob"), "left")
+    clean = found.withColumn("clean", F.when(F.col("spans").isNotNull(), redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("spans").isNotNull(), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("whole.n_chars"))
+    return clean.select(*[new.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns])

@@ -108,7 +108,7 @@ def scan_token_files(files: DataFrame, *, eod: int = EOD, dtype: str = "<u2", bl
     found = settle(blocks.repartition(tasks, "file", "block").mapInArrow(scan, "file string, block long, tokens long, ends array<long>"), "token-ends")
 
     group = F.floor(F.col("block") / F.lit(BLOCKS_A_GROUP)).alias("group")
-    brief = found.select("file", "block", group, F.size("ends").cast("long").alias("n"), F.element_at("ends", -1).alias("last"))
+    brief = found.select("file", "block", group, F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     inner = before("file", "group").orderBy("block")
     brief = brief.withColumns({"_n": F.sum("n").over(inner), "_last": F.max("last").over(inner)})
@@ -127,7 +127,7 @@ def scan_token_files(files: DataFrame, *, eod: int = EOD, dtype: str = "<u2", bl
     whole = ends.select("file", (F.col("base") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), F.lit(True).alias("terminated"))
     tails = found.groupBy("file").agg(
         F.sum(F.size("ends")).cast("long").alias("ordinal"),
-        (F.coalesce(F.max(F.element_at("ends", -1)), F.lit(-1).cast("long")) + 1).alias("start"),
+        (F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))), F.lit(-1).cast("long")) + 1).alias("start"),
         F.sum("tokens").alias("_total"),
     )
     tails = tails.select("file", "ordinal", "start", (F.col("_total") - F.col("start")).alias("n_tokens"), F.lit(False).alias("terminated")).filter("n_tokens > 0")

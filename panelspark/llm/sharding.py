@@ -95,8 +95,9 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUN
     total = rows.count()
     pieces = pieces_for(total)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
-    marked = settle(rows.join(groups.withColumn("linked", F.lit(True)), "group", "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "shard-linked")
+    # written, so that the join's two sides are plain shuffles and a group of very many rows can be split
+    groups = settle(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group", F.lit(True).alias("linked")), "shard-groups")
+    marked = settle(rows.join(groups, "group", "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "shard-linked")
     moved = propagate(marked.filter("linked"), quota, rounds=rounds)
     every = settle(marked.filter(~F.col("linked")).unionByName(moved), "shard-moved")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.layout import settle
-from panelspark.llm.common import block_roots, connected_components, pair_blocks, sorted_groups
+from panelspark.llm.common import block_roots, connected_components, packed, pair_blocks, sorted_groups
 
 SHINGLE = 3
 SEED = 42
@@ -135,6 +135,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = settle(fingerprints(docs), "simhash")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("best")
     named = marked.join(classes(marked), "fp").groupBy("root").agg(best).select(F.col("best.row").alias("_row"), F.col("best.doc_id").alias("_id"))
-    kept = docs.withColumn("_key", row_hash()).join(named, (F.col("_key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    first = Window.partitionBy("_key").orderBy("doc_id")
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+    kept = packed(docs).withColumn("key", row_hash()).join(named, (F.col("key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    first = Window.partitionBy("key").orderBy("doc_id")
+    return kept.withColumn("n", F.row_number().over(first)).filter("n = 1").select("whole.*")
