@@ -75,7 +75,9 @@ def pack(hashes: Column) -> Column:
             best = F.array_min(F.transform(listed, lambda b: F.when(filled(F.get(first, b)), rank(b))))
             return F.get(first, best.bitwiseAND(F.lit(BINS - 1)))
 
-        return F.transform(first, lambda x, j: F.when(filled(x), x).otherwise(F.coalesce(*[taken(at(p, j)) for p in probes], by_rank(j))).bitwiseAND(F.lit((1 << BITS) - 1)))
+        # a borrowed value is hashed with its bin, so that the stored bits of its many borrowers tell more than those of one
+        borrowed = lambda j: F.xxhash64(F.coalesce(*[taken(at(p, j)) for p in probes], by_rank(j)), j)
+        return F.transform(first, lambda x, j: F.when(filled(x), x).otherwise(borrowed(j)).bitwiseAND(F.lit((1 << BITS) - 1)))
 
     def of_sorted(z: Column) -> Column:
         return let(F.filter(z, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(z, i - 1)))), of_first)

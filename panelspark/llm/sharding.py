@@ -60,8 +60,9 @@ def propagate(linked: DataFrame, capacity: list[int], *, rounds: int = ROUNDS) -
         if not any(r > 0 for r in room):
             break
         parts = linked.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("held"))
-        worth = F.struct("held", F.xxhash64("group", "shard").alias("tie"), "shard")
         open_ = F.get(table_of([r > 0 for r in room]), F.col("shard")) > 0
+        # members leave a full part for an open one of equal size, for the others cannot come to them
+        worth = F.struct("held", F.when(open_, F.xxhash64("group", "shard")).otherwise(F.lit(-(1 << 63))).alias("tie"), "shard")
         # the group's best shard may be full; its own members stay, the others choose among those with room
         best = parts.groupBy("group").agg(F.max(F.when(open_, worth)).alias("best")).filter("best is not null")
         own = parts.select(F.col("group").alias("_g"), F.col("shard").alias("_s"), worth.alias("own"))

