@@ -47,8 +47,8 @@ def alignment_report(trials: DataFrame, trial: str = "trial") -> DataFrame:
 
 
 def union_trial_sharpes(in_run: DataFrame, register: DataFrame, key: str = "config_hash") -> DataFrame:
-    """In-run Sharpes first, then register entries whose configuration is not already there."""
-    extra = register.join(in_run.select(key), key, "left_anti")
+    """In-run Sharpes, then the register's whose exact value is not already there."""
+    extra = register.join(in_run.select("sharpe").distinct(), "sharpe", "left_anti")
     return in_run.select(key, "sharpe").unionByName(extra.select(key, "sharpe"))
 
 
@@ -109,6 +109,19 @@ def position_diff(positions: DataFrame) -> DataFrame:
     )
 
 
+def trades(positions: DataFrame) -> DataFrame:
+    """(line, date, side, symbol, qty, price, value) of a holding's changes, numbered by date and symbol.
+
+    Each date is numbered by itself and the dates' counts carry over, so no task orders all trades.
+    """
+    t = position_diff(positions)
+    per_day = t.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    base = per_day.select("date", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    line = F.row_number().over(Window.partitionBy("date").orderBy("symbol")) + F.col("_base")
+    return t.join(base, "date").select(line.cast("long").alias("line"), "date", "side", "symbol", "qty", "price", "value")
+
+
 def cross_params(panel: DataFrame, grid: Sequence[dict]) -> DataFrame:
     """Every row under every parameter set of a hand-written grid: an explode of literals, so no join and no shuffle."""
     rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in params.items()]) for params in grid])

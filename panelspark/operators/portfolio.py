@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.scalar import ratio
 from panelspark.layout import group_stats, settle, trailing
 from panelspark.operators.aggregates import cross_sectional_median
-from panelspark.operators.asof import asof_month
+from panelspark.operators.asof import asof, asof_month
 from panelspark.operators.joins import leg_entries
 from panelspark.operators.ranking import liquidity_schedule, top_bottom_k, top_per_group
 from panelspark.operators.windows import (
@@ -105,12 +105,15 @@ def froth_signal(panel: DataFrame, field: str, lookback: int) -> DataFrame:
     return trailing(one, lookback, lambda df, w: df.withColumn("z", zscore("median", lookback, w))).select("date", "z")
 
 
-def derisk(exposure: DataFrame, signal: DataFrame, threshold: float, factor: float, *, strict: bool) -> DataFrame:
-    """Scale exposure where the as-of z exceeds the threshold; a NULL z does nothing.
+def carried(rows: DataFrame, series: DataFrame, value: str, *, strict: bool = False, default: Column | None = None) -> DataFrame:
+    """(date, value): the series' latest row at or before (``strict``: before) each date of ``rows``; a NULL in it stays NULL."""
+    days = rows.select("date").distinct().withColumn("_k", F.lit(1))
+    return asof(days, series.select("date", value).withColumn("_k", F.lit(1)), [value], keys=["_k"], strict=strict, default=default).drop("_k")
 
-    Both sides are dense one-row-per-day series, so as-of is equality on the same or the following day.
-    """
-    at = signal.select(F.date_add("date", 1 if strict else 0).alias("date"), F.col("z").alias("_z"))
+
+def derisk(exposure: DataFrame, signal: DataFrame, threshold: float, factor: float, *, strict: bool) -> DataFrame:
+    """Scale exposure where the as-of z exceeds the threshold; a NULL z and a date before the first signal do nothing."""
+    at = carried(exposure, signal.withColumnRenamed("z", "_z"), "_z", strict=strict)
     return exposure.join(at, "date", "left").withColumn(
         "exposure", F.when(F.col("_z") > threshold, F.col("exposure") * factor).otherwise(F.col("exposure"))
     ).drop("_z")
@@ -163,11 +166,14 @@ def target_weights(
 
 
 def apply_exposure(weights: DataFrame, exposure: DataFrame, base: float = 0.95, gate: bool = True, gate_lag: int = 0) -> DataFrame:
-    """Weight times base times the market exposure of the date (``gate_lag`` days earlier); missing exposure is 1."""
+    """Weight times base times the market exposure as of the date (``gate_lag`` days earlier).
+
+    A date without an exposure of its own has the latest one; before the first, and where it is NULL, exposure is 1.
+    """
     if not gate:
         return weights.withColumn("target", F.col("weight") * base)
-    at = exposure.select(F.date_add("date", gate_lag).alias("date"), F.col("exposure").alias("_e"))
-    return weights.join(at, "date", "left").withColumn(
+    shifted = exposure.select(F.date_add("date", gate_lag).alias("date"), F.col("exposure").alias("_e"))
+    return weights.join(carried(weights, shifted, "_e"), "date", "left").withColumn(
         "target", F.col("weight") * base * F.coalesce("_e", F.lit(1.0))
     ).drop("_e")
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import expected_max_normal, norm_cdf, pearson, ratio
 from panelspark.layout import group_quantiles, group_stats, settle, with_ranks
+from panelspark.operators.joins import union_trial_sharpes
+from panelspark.operators.ranking import dedupe_trials
 from panelspark.operators.windows import drawdown, equity_curve
 
 
@@ -49,9 +51,16 @@ def expected_max_sharpe(trials: DataFrame, sharpe_col: str = "sharpe") -> DataFr
 
 
 def deflated_sharpe(returns: DataFrame, trial: str = "trial", register: DataFrame | None = None) -> DataFrame:
-    """PSR of the best trial (first name on ties) against the expected maximum over all trial Sharpes."""
+    """PSR of the best trial (first name on ties) against the expected maximum over all trial Sharpes.
+
+    Of a register the last value of each configuration counts, and only if the returns have no trial of that exact Sharpe.
+    """
     m = moment_table(returns, [trial]).withColumn("sharpe", sharpe_of(F.col("mean"), F.col("sd")))
-    population = m.select("sharpe") if register is None else m.select("sharpe").unionByName(register.select("sharpe"))
+    population = m.select("sharpe")
+    if register is not None:
+        last = dedupe_trials(register) if {"config_hash", "seq"} <= set(register.columns) else register
+        own = m.select(F.col(trial).cast("string").alias("config_hash"), "sharpe")
+        population = union_trial_sharpes(own, last.select(F.lit("register").alias("config_hash"), "sharpe"))
     best = m.agg(F.min_by(F.struct(*m.columns), F.struct(-F.col("sharpe"), F.col(trial))).alias("_b")).select("_b.*")
     return best.join(F.broadcast(expected_max_sharpe(population))).select(
         F.col(trial).alias("best_trial"), "sharpe", "n_trials", "expected_max",
@@ -78,7 +87,10 @@ def rank_ic(scored: DataFrame, pred: str = "pred", label: str = "label", keys: S
     return daily.filter(F.col("n") > 1)
 
 
-def rank_ic_summary(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def rank_ic_summary(daily: DataFrame, keys: Sequence[str] = (), split: str = "split_id") -> DataFrame:
+    """Mean, deviation and ratio of the rank IC; with a ``split`` column over the splits' means of their days."""
+    if split in daily.columns:
+        daily = daily.groupBy(*keys, split).agg(F.avg("ic").alias("ic"))
     return daily.groupBy(*keys).agg(F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std")).withColumn(
         "icir", ratio("mean", "std")
     )

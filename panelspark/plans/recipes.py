@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from panelspark.functions.scalar import ratio
 from panelspark.layout import settle, trailing
 from panelspark.operators.asof import asof_month
-from panelspark.operators.portfolio import Tilt, froth_signal, inverse_vol_weights, strong_trend, tilt_chain
+from panelspark.operators.portfolio import Tilt, carried, froth_signal, inverse_vol_weights, strong_trend, tilt_chain
 from panelspark.operators.ranking import liquidity_schedule
 from panelspark.operators.windows import momentum, oi_divergence, ref, regime_exposure, roll_mean, roll_std
 
@@ -215,12 +215,12 @@ def sweep_exposure(panel: DataFrame, benchmark: str, names: Sequence[str], oncha
         out = part if out is None else out.unionByName(part)
     froth = {n: resolve_recipe(n) for n in names if "froth_lookback" in resolve_recipe(n)}
     chain = {n: resolve_recipe(n) for n in names if "onchain_window" in resolve_recipe(n)} if onchain is not None else {}
-    for overlays, signal, shift, zkey, dkey in (
-        (froth, lambda k: froth_signal(panel, "basis", k["froth_lookback"]), 0, "froth_z", "froth_derisk"),
-        (chain, lambda k: onchain, 1, "onchain_z", "onchain_derisk"),
+    for overlays, signal, strict, zkey, dkey in (
+        (froth, lambda k: froth_signal(panel, "basis", k["froth_lookback"]), False, "froth_z", "froth_derisk"),
+        (chain, lambda k: onchain, True, "onchain_z", "onchain_derisk"),
     ):
         for n, k in overlays.items():
-            z = signal(k).select(F.date_add("date", shift).alias("date"), F.lit(n).alias("recipe"), F.col("z").alias("_z"))
+            z = carried(bench, signal(k).withColumnRenamed("z", "_z"), "_z", strict=strict).withColumn("recipe", F.lit(n))
             out = out.join(z, ["recipe", "date"], "left").withColumn(
                 "exposure", F.when(F.col("_z") > k[zkey], F.col("exposure") * k[dkey]).otherwise(F.col("exposure"))
             ).drop("_z")

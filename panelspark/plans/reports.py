@@ -17,7 +17,7 @@ from panelspark.operators.stats import (
 )
 from panelspark.operators.windows import equity_curve
 from panelspark.plans.resampling import paired_bootstrap_delta_ci, pbo_cscv
-from panelspark.plans.validation import assemble_paths, cpcv_splits, wf_periods, window_roles
+from panelspark.plans.validation import assemble_paths, cpcv_splits, starved_splits, wf_periods, window_roles
 
 DAYS = 365.0
 
@@ -40,7 +40,10 @@ def book(scored: DataFrame, fwd: DataFrame, k: int, cost: float, keys: Sequence[
 
 def cpcv_predictions(panel: DataFrame, features: Sequence[str], label: str, *, groups: int, tests: int, purge: int, embargo: int,
                      model: str = "ridge", **options) -> DataFrame:
-    plan = cpcv_splits(panel.select("date").distinct(), groups, tests, purge, embargo)
+    plan = settle(cpcv_splits(panel.select("date").distinct(), groups, tests, purge, embargo), "splits")
+    starved = starved_splits(plan)
+    if not starved.isEmpty():
+        raise ValueError(f"{starved.count()} splits without a training day: fewer groups, or a smaller purge or embargo")
     return fit_predict(panel, plan, features, label, model, **options)
 
 

@@ -100,6 +100,8 @@ def cscv_sharpes(returns: DataFrame, splits: int, trial: str = "trial") -> DataF
     """
     if splits % 2:
         raise ValueError("the number of splits must be even")
+    if returns.select("date").distinct().limit(splits).count() < splits:
+        raise ValueError(f"{splits} splits need as many days")
     groups = range(splits)
     days = returns.select("date").distinct().select("date", (F.ntile(splits).over(Window.orderBy("date")) - 1).alias("grp"))
     stats = group_moments(returns, days, trial)

@@ -84,10 +84,10 @@ def _(spark, sf):
 
 @query("A7_separation", sql("""SELECT metric, round(gap, 6) AS mean_gap, round(pooled, 6) AS pooled_std, CASE WHEN pooled > 0 THEN round(gap / pooled, 6) WHEN gap <> 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END AS z
  FROM (SELECT a.metric, a.mean - b.mean AS gap, sqrt((a.std * a.std + b.std * b.std) / 2) AS pooled FROM sa a JOIN sb b USING (metric))""", "trials", **RUNS,
-    sa=summary_sql("WHERE trial IN ('L1', 'L2', 'L4')"), sb=summary_sql("WHERE trial IN ('L5', 'L6', 'L7')")))
+    sa=summary_sql("WHERE trial IN ('L1', 'L2', 'L3', 'L4')"), sb=summary_sql("WHERE trial IN ('L5', 'L6', 'L7')")))
 def _(spark, sf):
     half = lambda names: ag.seed_summary(runs(spark, sf).filter(F.col("trial").isin(*names)), ["mean_ret", "vol", "best"])
-    return i.rounded(ag.separation(half(["L1", "L2", "L4"]), half(["L5", "L6", "L7"])))
+    return i.rounded(ag.separation(half(["L1", "L2", "L3", "L4"]), half(["L5", "L6", "L7"])))
 
 
 @query("A8_sharpe", sql("SELECT trial, round(mean / sd, 6) AS sharpe FROM moments", "moments"))
@@ -136,9 +136,9 @@ def _(spark, sf):
     return i.rounded(stats.rank_ic(scored(spark, sf)))
 
 
-@query("A13_rank_ic_summary", sql("SELECT round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std, round(avg(ic) / stddev_samp(ic), 6) AS icir FROM daily", "returns", **IC))
+@query("A13_rank_ic_summary", sql("SELECT round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std, round(avg(ic) / stddev_samp(ic), 6) AS icir FROM (SELECT year(date) AS split_id, avg(ic) AS ic FROM daily GROUP BY ALL)", "returns", **IC))
 def _(spark, sf):
-    return i.rounded(stats.rank_ic_summary(stats.rank_ic(scored(spark, sf))))
+    return i.rounded(stats.rank_ic_summary(stats.rank_ic(scored(spark, sf)).withColumn("split_id", F.year("date"))))
 
 
 YEARS = {"paths": "SELECT trial || '-' || year(date) AS path, avg(ret) / stddev_samp(ret) AS sharpe FROM trials GROUP BY trial, year(date)"}

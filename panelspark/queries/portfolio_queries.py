@@ -89,12 +89,21 @@ def chain_signal(spark, sf):
     return trailing(one, 40, lambda df, w: df.withColumn("z", wo.zscore("nvm", 40, w))).select("date", "z")
 
 
+SOME_DAYS = "((date - DATE '1990-01-01') % 7) IN (0, 2)"
+
+
+def some_days(df):
+    return df.filter(F.pmod(F.datediff("date", F.lit("1990-01-01").cast("date")), F.lit(7)).isin(0, 2))
+
+
 @query("F5_froth_onchain_overlays", sql(
     """SELECT e.date, round(e.exposure * CASE WHEN f.z > 0.8 THEN 0.5 ELSE 1 END * CASE WHEN c.z > 0.5 THEN 0.25 ELSE 1 END, 6) AS exposure FROM expo e
- LEFT JOIN froth f ON f.date = e.date LEFT JOIN chain c ON c.date = e.date - 1""", "dense", **GATE, **FROTH))
+ ASOF LEFT JOIN f ON e.date >= f.date ASOF LEFT JOIN c ON e.date > c.date""", "dense", **GATE, **FROTH,
+    f=f"SELECT * FROM froth WHERE {SOME_DAYS}", c=f"SELECT * FROM chain WHERE {SOME_DAYS}"))
 def _(spark, sf):
-    e = pf.derisk(gate_l1(spark, sf), pf.froth_signal(i.dense(spark, sf), "basis", 30), 0.8, 0.5, strict=False)
-    return i.rounded(pf.derisk(e, chain_signal(spark, sf), 0.5, 0.25, strict=True))
+    """Signals that lack most days, so that values are carried over gaps."""
+    e = pf.derisk(gate_l1(spark, sf), some_days(pf.froth_signal(i.dense(spark, sf), "basis", 30)), 0.8, 0.5, strict=False)
+    return i.rounded(pf.derisk(e, some_days(chain_signal(spark, sf)), 0.5, 0.25, strict=True))
 
 
 TREND = {"trend": f"SELECT date + 1 AS date, close / nullif({rmean('close', 20)}, 0) - 1 AS trend FROM dense WHERE instrument = 'L1'",
@@ -130,11 +139,11 @@ def _(spark, sf):
     return i.rounded(weights(spark, sf).select("instrument", "date", "weight"))
 
 
-@query("F8_apply_exposure", sql("SELECT instrument, date, round(weight * 0.95 * coalesce(e.exposure, 1), 6) AS target FROM (SELECT instrument, date, w0 AS weight FROM iv) w LEFT JOIN expo e USING (date)", "returns",
-    **VOL, iv=inverse_sql("sig"), **GATE, expo=FROTH["expo"]))
+@query("F8_apply_exposure", sql("SELECT instrument, w.date, round(weight * 0.95 * coalesce(e.exposure, 1), 6) AS target FROM (SELECT instrument, date, w0 AS weight FROM iv) w ASOF LEFT JOIN e ON w.date >= e.date", "returns",
+    **VOL, iv=inverse_sql("sig"), **GATE, expo=FROTH["expo"], e=f"SELECT date, exposure FROM expo WHERE {SOME_DAYS}"))
 def _(spark, sf):
     w = pf.inverse_vol_weights(signals(spark, sf))
-    return i.rounded(pf.apply_exposure(w, gate_l1(spark, sf)).select("instrument", "date", "target"))
+    return i.rounded(pf.apply_exposure(w, some_days(gate_l1(spark, sf))).select("instrument", "date", "target"))
 
 
 @query("F9_cost_model", sql("""SELECT t.date, t.symbol, t.side, round((0.0006 + 0.00021654821992135172 + 85.14243442280177 * (t.value / 1000 / b.amount) * (t.value / 1000 / b.amount)) * t.value / 1000, 6) AS cost

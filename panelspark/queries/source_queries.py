@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from panelspark.layout import fresh_path, settle
 from panelspark.operators import aggregates as ag, panel as pn, stats
+from panelspark.operators.joins import union_trial_sharpes
+from panelspark.operators.ranking import dedupe_trials
 from panelspark.queries import inputs as i
+from panelspark.queries.fixtures import BROKEN_SQL, damage_on, pack_archives
 from panelspark.queries.registry import query, sql
 from panelspark.queries.table_queries import D
 from panelspark.sources import archives as ar, tables as tb
@@ -29,7 +32,7 @@ def daily_files(spark, sf):
     shifted = F.when(bad, epoch + F.when(F.year("date") < 1998, F.lit(86_400_000)).otherwise(F.lit(86_400_000_000))).otherwise(epoch)
     c = F.col("close")
     line = text(shifted, c, c + 1, c - 1, c, F.when(F.pmod("volume", F.lit(3)) == 0, F.lit(0.0)).otherwise(F.col("volume")), epoch, F.round("amount", 2), F.col("volume").cast("long"), F.lit(0.5), F.lit(0.25), F.lit(0))
-    return ar.pack_archives(o.select(day_path(F.col("instrument"), "1d", F.col("date").cast("string")).alias("path"), F.lit(0).alias("line_no"), line.alias("line")))
+    return pack_archives(o.select(day_path(F.col("instrument"), "1d", F.col("date").cast("string")).alias("path"), F.lit(0).alias("line_no"), line.alias("line")))
 
 
 ORD = "SELECT 'P' || substr(instrument, 1, 1) AS instrument, date, close, round(amount, 2) AS amount, volume AS n, CASE WHEN volume % 3 = 0 THEN 0.0 ELSE volume END AS volume, (date - DATE '1995-01-01') % 50 = 0 AS bad FROM orders_panel"
@@ -52,71 +55,133 @@ def _(spark, sf):
     return ar.read_daily_bars(daily_files(spark, sf))[1]
 
 
-@query("S3_read_hourly_bars", sql("SELECT symbol, ts, open, high, low, close, volume FROM hourly", "hourly"))
-def _(spark, sf):
+def hourly_files(spark, sf):
+    """One zip per symbol and day with 24 bars at most; some days' archives are damaged."""
     h = i.hourly(spark, sf)
     epoch = F.unix_millis("ts")
     line = text(epoch, *[F.col(c) for c in ("open", "high", "low", "close", "volume")], epoch, F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0))
-    files = ar.pack_archives(h.select(day_path(F.col("symbol"), "1h", F.to_date("ts").cast("string")).alias("path"), F.hour("ts").alias("line_no"), line.alias("line")), header=",".join(ar.BAR_COLUMNS))
-    return ar.read_hourly_bars(files).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    lines = h.select(day_path(F.col("symbol"), "1h", F.to_date("ts").cast("string")).alias("path"), F.hour("ts").alias("line_no"), line.alias("line"), F.to_date("ts").alias("day"))
+    return pack_archives(lines, header=",".join(ar.BAR_COLUMNS), damage=damage_on(F.col("day")))
+
+
+HOUR_BROKEN = BROKEN_SQL.format(day="CAST(ts AS DATE)")
 
 
-FUND = "SELECT l_linenumber AS x, CAST(l_shipdate AS DATE) AS d, round(sum(l_tax), 4) AS rate FROM lineitem GROUP BY ALL"
+@query("S3_read_hourly_bars", sql(f"SELECT symbol, ts, open, high, low, close, volume FROM hourly WHERE NOT {HOUR_BROKEN}", "hourly"))
+def _(spark, sf):
+    return ar.read_hourly_bars(hourly_files(spark, sf))[0].withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("S4_read_funding", sql("SELECT 'L' || x AS perp_symbol, CAST(d AS TIMESTAMP) + INTERVAL 8 HOUR AS ts, rate FROM f", f=FUND))
+@query("S3_bad_records", sql(f"SELECT DISTINCT 'spot/daily/klines/' || symbol || '/1h/' || symbol || '-1h-' || CAST(ts AS DATE) || '.zip' AS path, true AS told FROM hourly WHERE {HOUR_BROKEN}", "hourly"))
 def _(spark, sf):
-    """Monthly funding archives, one settlement per day at 08:00 with a few ms of jitter."""
+    return told(ar.read_hourly_bars(hourly_files(spark, sf))[1])
+
+
+def told(bad):
+    return bad.select("path", (F.length("reason") > 0).alias("told"))
+
+
+FUND = "SELECT l_linenumber AS x, CAST(l_shipdate AS DATE) AS d, CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS m, round(sum(l_tax), 4) AS rate FROM lineitem GROUP BY ALL"
+
+
+def funding_files(spark, sf):
+    """Monthly funding archives, one settlement per day at 08:00 with a few ms of jitter; some months' are damaged."""
     f = i.ticks(spark, sf).groupBy("instrument", "date").agg(F.round(F.sum("l_tax"), 4).alias("rate"))
     epoch = F.unix_millis(F.col("date").cast("timestamp")) + 8 * 3_600_000 + 7
     path = F.concat(F.lit("futures/um/monthly/fundingRate/"), "instrument", F.lit("/"), "instrument", F.lit("-fundingRate-"), F.date_format("date", "yyyy-MM"), F.lit(".zip"))
-    files = ar.pack_archives(f.select(path.alias("path"), F.dayofmonth("date").alias("line_no"), text(epoch, F.lit(8), F.col("rate")).alias("line")), header="calc_time,funding_interval_hours,last_funding_rate")
-    return ar.read_funding(files).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    lines = f.select(path.alias("path"), F.dayofmonth("date").alias("line_no"), text(epoch, F.lit(8), F.col("rate")).alias("line"), F.trunc("date", "MM").alias("day"))
+    return pack_archives(lines, header="calc_time,funding_interval_hours,last_funding_rate", damage=damage_on(F.col("day")))
 
 
-SLOTS = "SELECT event_type AS s, time_bucket(INTERVAL 5 MINUTE, ts) AS slot, arg_max(value, row(ts, event_id)) AS v, arg_max(user_id, row(ts, event_id)) AS u FROM events GROUP BY ALL"
+@query("S4_read_funding", sql(f"SELECT 'L' || x AS perp_symbol, CAST(d AS TIMESTAMP) + INTERVAL 8 HOUR AS ts, rate FROM f WHERE NOT {BROKEN_SQL.format(day='m')}", f=FUND))
+def _(spark, sf):
+    return ar.read_funding(funding_files(spark, sf))[0].withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("S5_read_metrics", sql("SELECT s AS perp_symbol, CAST(slot AS DATE) AS date, arg_max(v, slot) AS oi, arg_max(v, slot) * 2 AS oi_value, CAST(arg_max(u, slot) AS DOUBLE) AS ls_top, 0.5::DOUBLE AS ls_global, CAST(NULL AS DOUBLE) AS taker_ratio FROM m GROUP BY ALL", m=SLOTS))
+@query("S4_bad_records", sql(f"SELECT DISTINCT 'futures/um/monthly/fundingRate/L' || x || '/L' || x || '-fundingRate-' || strftime(m, '%Y-%m') || '.zip' AS path, true AS told FROM f WHERE {BROKEN_SQL.format(day='m')}", f=FUND))
 def _(spark, sf):
-    """Five-minute metrics, last of the day; the columns are in another order than expected and one holds text."""
+    return told(ar.read_funding(funding_files(spark, sf))[1])
+
+
+SLOTS = "SELECT event_type AS s, time_bucket(INTERVAL 5 MINUTE, ts) AS slot, arg_max(value, row(ts, event_id)) AS v, arg_max(user_id, row(ts, event_id)) AS u FROM events GROUP BY ALL"
+
+
+def metrics_files(spark, sf):
+    """Five-minute metrics; the columns are in another order than expected and one holds a text for missing.
+
+    Some days' archives are damaged, and on one day of 37 the header lacks a column.
+    """
     e = i.events(spark, sf)
     seq = F.struct("ts", "event_id")
     m = e.groupBy("event_type", F.window("ts", "5 minutes").start.alias("slot")).agg(F.max_by("value", seq).alias("v"), F.max_by("user_id", seq).alias("u"))
     line = text(F.lit("n/a"), F.date_format("slot", "yyyy-MM-dd HH:mm:ss"), F.col("event_type"), F.col("v"), F.col("v") * 2, F.lit(9), F.col("u"), F.lit(0.5))
     path = F.concat(F.lit("futures/um/daily/metrics/"), "event_type", F.lit("/"), "event_type", F.lit("-metrics-"), F.to_date("slot").cast("string"), F.lit(".zip"))
     header = "sum_taker_long_short_vol_ratio,create_time,symbol,sum_open_interest,sum_open_interest_value,count_toptrader_long_short_ratio,sum_toptrader_long_short_ratio,count_long_short_ratio"
-    files = ar.pack_archives(m.select(path.alias("path"), (F.hour("slot") * 60 + F.minute("slot")).alias("line_no"), line.alias("line")), header=header)
-    return ag.last_of_day(ar.read_metrics(files), list(ar.METRIC_FIELDS), "perp_symbol")
+    lines = m.select(path.alias("path"), (F.hour("slot") * 60 + F.minute("slot")).alias("line_no"), line.alias("line"), F.to_date("slot").alias("day"))
+    lacking = F.pmod(F.datediff("day", D("1995-01-01")), F.lit(37)) == 6
+    whole = pack_archives(lines.filter(~lacking), header=header, damage=damage_on(F.col("day")))
+    return whole.unionByName(pack_archives(lines.filter(lacking), header=header.replace("sum_open_interest,", "something_else,")))
+
+
+SLOT_DAY = BROKEN_SQL.format(day="CAST(slot AS DATE)")
+SLOT_BROKEN = f"({SLOT_DAY} OR {SLOT_DAY.replace('BETWEEN 1 AND 4', '= 6')})"
+
+
+@query("S5_read_metrics", sql(f"SELECT s AS perp_symbol, CAST(slot AS DATE) AS date, arg_max(v, slot) AS oi, arg_max(v, slot) * 2 AS oi_value, CAST(arg_max(u, slot) AS DOUBLE) AS ls_top, 0.5::DOUBLE AS ls_global, CAST(NULL AS DOUBLE) AS taker_ratio FROM m WHERE NOT {SLOT_BROKEN} GROUP BY ALL", m=SLOTS))
+def _(spark, sf):
+    return ag.last_of_day(ar.read_metrics(metrics_files(spark, sf))[0], list(ar.METRIC_FIELDS), "perp_symbol")
 
 
-@query("S6_read_basis", sql("SELECT instrument AS perp_symbol, date, close AS basis FROM o", "orders_panel", o=ORD.replace("close,", "close / 1000000 AS close,")))
+@query("S5_bad_records", sql(f"SELECT DISTINCT 'futures/um/daily/metrics/' || s || '/' || s || '-metrics-' || CAST(slot AS DATE) || '.zip' AS path, true AS told FROM m WHERE {SLOT_BROKEN}", m=SLOTS))
 def _(spark, sf):
+    return told(ar.read_metrics(metrics_files(spark, sf))[1])
+
+
+def basis_files(spark, sf):
     o = i.orders_panel(spark, sf).withColumn("instrument", F.concat(F.lit("P"), F.substring("instrument", 1, 1)))
     epoch, c = F.unix_millis(F.col("date").cast("timestamp")), F.col("close") / 1_000_000
     line = text(epoch, c, c, c, c, F.lit(0), epoch, F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0))
-    files = ar.pack_archives(o.select(day_path(F.col("instrument"), "1d", F.col("date").cast("string")).alias("path"), F.lit(0).alias("line_no"), line.alias("line")))
-    return ar.read_basis(files)
+    lines = o.select(day_path(F.col("instrument"), "1d", F.col("date").cast("string")).alias("path"), F.lit(0).alias("line_no"), line.alias("line"), F.col("date").alias("day"))
+    return pack_archives(lines, damage=damage_on(F.col("day")))
+
+
+BASIS_SQL, DAY_BROKEN = ORD.replace("close,", "close / 1000000 AS close,"), BROKEN_SQL.format(day="date")
+
+
+@query("S6_read_basis", sql(f"SELECT instrument AS perp_symbol, date, close AS basis FROM o WHERE NOT {DAY_BROKEN}", "orders_panel", o=BASIS_SQL))
+def _(spark, sf):
+    return ar.read_basis(basis_files(spark, sf))[0]
 
 
-@query("S7_read_ticks", sql("SELECT instrument AS symbol, date, count(*) AS ticks, round(sum(price * quantity), 2) AS amount, round(sum(CASE WHEN is_buyer_maker THEN quantity ELSE 0 END), 2) AS maker_qty FROM ticks GROUP BY ALL", "ticks"))
+@query("S6_bad_records", sql(f"SELECT 'spot/daily/klines/' || instrument || '/1d/' || instrument || '-1d-' || date || '.zip' AS path, true AS told FROM o WHERE {DAY_BROKEN}", "orders_panel", o=BASIS_SQL))
 def _(spark, sf):
+    return told(ar.read_basis(basis_files(spark, sf))[1])
+
+
+def tick_files(spark, sf):
+    """One zip of trades per instrument and day, without a header; some days' archives are damaged."""
     t = i.ticks(spark, sf)
-    path = fresh_path(spark, "ticks")
-    t.select(
-        F.col("l_orderkey").alias("agg_id"), "price", "quantity", F.col("l_orderkey").alias("first_id"), F.col("l_orderkey").alias("last_id"),
-        F.unix_micros(F.col("date").cast("timestamp")).alias("ts"), "is_buyer_maker", F.lit(True).alias("is_best_match"), F.col("instrument").alias("symbol"), F.col("date").alias("date"),
-    ).withColumn("day", F.col("date")).drop("day").write.partitionBy("symbol").csv(path)
-    ticks = tb.read_ticks(spark, path)
-    day = F.to_date(F.timestamp_micros("ts")).alias("date")
-    return ticks.select("symbol", day, "price", "quantity", "is_buyer_maker").groupBy("symbol", "date").agg(
+    line = text(F.col("l_orderkey"), F.col("price"), F.col("quantity"), F.col("l_orderkey"), F.col("l_orderkey"), F.unix_micros(F.col("date").cast("timestamp")), F.col("is_buyer_maker"), F.lit(True))
+    path = F.concat(F.lit("spot/daily/aggTrades/"), "instrument", F.lit("/"), "instrument", F.lit("-aggTrades-"), F.col("date").cast("string"), F.lit(".zip"))
+    return pack_archives(t.select(path.alias("path"), F.col("l_orderkey").alias("line_no"), line.alias("line"), F.col("date").alias("day")), damage=damage_on(F.col("day")))
+
+
+@query("S7_read_ticks", sql(f"SELECT instrument AS symbol, date, count(*) AS ticks, round(sum(price * quantity), 2) AS amount, round(sum(CASE WHEN is_buyer_maker THEN quantity ELSE 0 END), 2) AS maker_qty FROM ticks WHERE NOT {DAY_BROKEN} GROUP BY ALL", "ticks"))
+def _(spark, sf):
+    ticks, _ = ar.read_ticks(tick_files(spark, sf))
+    return ticks.groupBy("symbol", "date").agg(
         F.count(F.lit(1)).alias("ticks"), F.round(F.sum(F.col("price") * F.col("quantity")), 2).alias("amount"),
         F.round(F.sum(F.when(F.col("is_buyer_maker"), F.col("quantity")).otherwise(0.0)), 2).alias("maker_qty"))
 
 
-@query("S8_read_onchain", sql("SELECT date, CASE WHEN n % 5 = 0 THEN NULL ELSE amount END AS market_cap, CASE WHEN n % 7 = 0 THEN NULL ELSE n END AS active_addr FROM o WHERE instrument = 'P1'", "orders_panel", o=ORD))
+@query("S7_bad_records", sql(f"SELECT DISTINCT 'spot/daily/aggTrades/' || instrument || '/' || instrument || '-aggTrades-' || date || '.zip' AS path, true AS told FROM ticks WHERE {DAY_BROKEN}", "ticks"))
+def _(spark, sf):
+    return told(ar.read_ticks(tick_files(spark, sf))[1])
+
+
+@query("S8_read_onchain", sql("SELECT date, CASE WHEN n % 5 = 0 THEN NULL ELSE amount END AS market_cap, CASE WHEN n % 7 = 0 THEN NULL ELSE n END AS active_addr FROM o", "orders_panel", o=ORD))
 def _(spark, sf):
-    o = i.orders_panel(spark, sf).filter(F.col("instrument").startswith("1"))
+    o = i.orders_panel(spark, sf)
     path = fresh_path(spark, "onchain")
     n = F.col("volume")
     o.select(
@@ -128,13 +193,12 @@ def _(spark, sf):
 
 @query("S9_read_returns", sql("SELECT trial AS recipe, 'run' || (year(date) % 2) AS run, date, round(ret, 6) AS ret FROM trials", "trials"))
 def _(spark, sf):
-    """A tree <root>/<recipe>/<run>/*.csv, written by one job per recipe name; the folder mlruns is ignored."""
-    t = settle(i.trials(spark, sf).withColumn("run", F.concat(F.lit("run"), F.pmod(F.year("date"), F.lit(2)).cast("string"))), "trials")
+    """A tree <root>/<recipe>/<run>/returns.csv with trades.csv beside it, written in two jobs; the folder mlruns is ignored."""
+    t = i.trials(spark, sf).withColumn("run", F.concat(F.lit("run"), F.pmod(F.year("date"), F.lit(2)).cast("string")))
+    t = t.unionByName(t.filter("trial = 'L1'").withColumn("trial", F.lit("mlruns"))).select("trial", "run", "date", F.round("ret", 6).alias("ret"))
     root = fresh_path(spark, "runs")
-    for recipe in ("L1", "L2", "L3", "L4", "L5", "L6", "L7", "mlruns"):
-        for run in ("run0", "run1"):
-            part = t.filter((F.col("trial") == ("L1" if recipe == "mlruns" else recipe)) & (F.col("run") == run)).select("date", F.round("ret", 6).alias("ret"))
-            tb.write_results(part, f"{root}/{recipe}/{run}", "csv")
+    for kind, rows in (("returns.csv", t), ("trades.csv", t.filter("ret > 0").withColumnRenamed("ret", "price"))):
+        rows.withColumn("file", F.lit(kind)).repartition("trial", "run").write.partitionBy("trial", "run", "file").mode("append").option("header", "true").csv(root)
     return tb.read_returns(spark, root)
 
 
@@ -151,7 +215,23 @@ REG = "SELECT md5(CAST(o_orderkey AS VARCHAR)) AS id, 'c' || o_custkey AS recipe
 def _(spark, sf):
     path = fresh_path(spark, "register")
     tb.append_trial(register(spark, sf), path)
-    return tb.read_trials(spark, path)
+    return tb.read_trials(spark, path).drop("seq")
+
+
+@query("S10_T5_J8_register", """WITH reg AS (SELECT sha256(CAST(o_custkey AS VARCHAR)) AS config_hash, arg_max(o_totalprice, o_orderkey % 2 * 1000000000000 + o_orderkey) AS sharpe FROM orders GROUP BY o_custkey),
+ run AS (SELECT 'run' || c_custkey AS config_hash, coalesce(r.sharpe, c_acctbal) AS sharpe FROM customer LEFT JOIN reg r ON r.config_hash = sha256(CAST(c_custkey AS VARCHAR)) AND c_custkey % 3 = 0)
+SELECT config_hash, sharpe FROM run UNION ALL SELECT config_hash, sharpe FROM reg WHERE sharpe NOT IN (SELECT sharpe FROM run)""")
+def _(spark, sf):
+    """A register in two appends with repeated configurations, some of whose last Sharpes are already in the run."""
+    path = fresh_path(spark, "register")
+    r = register(spark, sf)
+    for half in (0, 1):
+        tb.append_trial(r.filter(F.pmod("o_orderkey", F.lit(2)) == half).repartition(1).sortWithinPartitions("o_orderkey"), path)
+    last = settle(dedupe_trials(tb.read_trials(spark, path)), "register")
+    c = i.table(spark, sf, "customer").withColumn("config_hash", F.sha2(F.col("c_custkey").cast("string"), 256))
+    run = c.join(last.select("config_hash", "sharpe"), "config_hash", "left").select(
+        F.concat(F.lit("run"), F.col("c_custkey").cast("string")).alias("config_hash"), F.when(F.pmod("c_custkey", F.lit(3)) == 0, F.coalesce("sharpe", "c_acctbal")).otherwise(F.col("c_acctbal")).alias("sharpe"))
+    return union_trial_sharpes(run, last)
 
 
 @query("S17_append_trial", f"SELECT recipe, count(*) AS n, max(sharpe) AS best FROM ({REG}) GROUP BY recipe")
@@ -206,13 +286,13 @@ def _(spark, sf):
     return spark.read.schema(out.schema).json(path)
 
 
-@query("S16_sample_manifest", """SELECT 'L' || l_linenumber AS pair, count(DISTINCT CAST(l_shipdate AS DATE)) AS days, min(CAST(l_shipdate AS DATE)) AS first_day, max(CAST(l_shipdate AS DATE)) AS last_day, CAST(sum(l_quantity) AS BIGINT) AS total_bytes
+@query("S16_sample_manifest", """SELECT 'L' || l_linenumber AS pair, array_to_string(list_sort(list(DISTINCT CAST(l_shipdate AS DATE))), ',') AS present_dates, count(DISTINCT CAST(l_shipdate AS DATE)) AS days, min(CAST(l_shipdate AS DATE)) AS first_day, max(CAST(l_shipdate AS DATE)) AS last_day, CAST(sum(l_quantity) AS BIGINT) AS total_bytes
  FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND l_linenumber <= 5 GROUP BY l_linenumber""")
 def _(spark, sf):
     """A listing with one file per (pair, day); its length is that day's quantity."""
     t = i.ticks(spark, sf).groupBy("instrument", "date").agg(F.sum("quantity").cast("long").alias("length"))
     path = F.concat(F.lit("spot/daily/aggTrades/"), "instrument", F.lit("/"), "instrument", F.lit("-aggTrades-"), F.col("date").cast("string"), F.lit(".zip"))
-    return ar.sample_manifest(t.select(path.alias("path"), "length"), ["L1", "L2", "L3", "L4", "L5"], "1996-01-01", "1999-12-31")
+    return ar.sample_manifest(t.select(path.alias("path"), "length"), ["L1", "L2", "L3", "L4", "L5"], "1996-01-01", "1999-12-31").withColumn("present_dates", F.array_join(F.col("present_dates").cast("array<string>"), ","))
 
 
 @query("ST1_daily_sums", "SELECT event_type, CAST(ts AS DATE) AS date, round(sum(value), 4) AS total, count(*) AS n FROM events GROUP BY ALL")

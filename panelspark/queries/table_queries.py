@@ -220,9 +220,10 @@ def _(spark, sf):
 
 
 @query("J6_asof_month", sql("SELECT l.instrument, l.date, r.m AS schedule_month FROM dense l ASOF LEFT JOIN months r ON date_trunc('month', l.date) >= r.m", "dense",
-    months="SELECT DISTINCT CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS m FROM orders WHERE o_totalprice > 499000"))
+    months="SELECT m FROM (SELECT CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS m, count(*) AS n FROM orders GROUP BY ALL) WHERE n % 3 = 0"))
 def _(spark, sf):
-    months = i.table(spark, sf, "orders").filter(F.col("o_totalprice") > 499000).select(F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month")).distinct()
+    """Months of all orders whose number of orders is a multiple of three, so that the schedule has gaps."""
+    months = i.table(spark, sf, "orders").groupBy(F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month")).agg(F.count(F.lit(1)).alias("n")).filter("n % 3 = 0")
     return asof.asof_month(i.dense(spark, sf).select("instrument", "date"), months)
 
 
@@ -238,10 +239,10 @@ def _(spark, sf):
 
 
 @query("J8_union_trial_sharpes", """SELECT CAST(o_custkey AS VARCHAR) AS config_hash, round(avg(o_totalprice), 6) AS sharpe FROM orders GROUP BY o_custkey
- UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+ UNION ALL SELECT 'r' || o_orderkey, o_totalprice FROM orders WHERE o_totalprice NOT IN (SELECT round(avg(o_totalprice), 6) FROM orders GROUP BY o_custkey)""")
 def _(spark, sf):
     run = i.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("config_hash")).agg(F.round(F.avg("o_totalprice"), 6).alias("sharpe"))
-    reg = i.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("config_hash"), F.col("c_acctbal").alias("sharpe"))
+    reg = i.table(spark, sf, "orders").select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("config_hash"), F.col("o_totalprice").alias("sharpe"))
     return joins.union_trial_sharpes(run, reg)
 
 
@@ -297,13 +298,9 @@ def _(spark, sf):
     return i.rounded(joins.position_diff(positions(spark, sf)), 6, value=4)
 
 
-@query("F12_trades", sql("SELECT date, side, symbol, qty, round(value, 4) AS value, row_number() OVER (ORDER BY date, symbol) AS line FROM tr", "bars", **POSITIONS))
+@query("F12_trades", sql("SELECT row_number() OVER (ORDER BY date, symbol) AS line, date, side, symbol, qty, round(price, 6) AS price, round(value, 4) AS value FROM tr", "bars", **POSITIONS))
 def _(spark, sf):
-    t = joins.position_diff(positions(spark, sf)).orderBy("date", "symbol")
-    per_day = t.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    before = per_day.withColumn("base", F.coalesce(F.sum("n").over(wo.Window.orderBy("date").rowsBetween(wo.Window.unboundedPreceding, -1)), F.lit(0)))
-    line = F.row_number().over(wo.Window.partitionBy("date").orderBy("symbol")) + F.col("base")
-    return t.join(before, "date").select("date", "side", "symbol", "qty", F.round("value", 4).alias("value"), line.alias("line"))
+    return i.rounded(joins.trades(positions(spark, sf)), 6, value=4)
 
 
 GRID = [{"predictor": p, "k": k, "h": h} for p in ("view", "purchase") for k in (1, 2) for h in (1, 3)]

@@ -7,18 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TICK_SCHEMA = "agg_id long, price double, quantity double, first_id long, last_id long, ts long, is_buyer_maker boolean, is_best_match boolean"
 ONCHAIN_SCHEMA = "time string, CapMrktCurUSD string, AdrActCnt string"
 TRIAL_SCHEMA = "id string, recipe string, config_hash string, sharpe double, created string"
 OHLCV_SCHEMA = "date date, symbol string, open double, high double, low double, close double, volume double"
 
 
-def read_ticks(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless tick CSV under ``symbol=.../`` folders; only the columns a query uses are parsed."""
-    schema = T.StructType.fromDDL(TICK_SCHEMA).add("symbol", "string").add("date", "date")
-    return spark.read.schema(schema).csv(path)
-
-
 def read_onchain(spark: SparkSession, path: str) -> DataFrame:
     """(date, market_cap, active_addr) from JSON rows with numbers as text; unparsable values are NULL."""
     finite = lambda c: F.when(F.abs(F.col(c).try_cast("double")) < float("inf"), F.col(c).try_cast("double"))
@@ -28,23 +21,35 @@ def read_onchain(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_returns(spark: SparkSession, root: str) -> DataFrame:
-    """(recipe, run, date, ret) from <root>/<recipe>/<run>/returns*.csv; recipe and run are the folder names."""
-    parts = F.split(F.input_file_name(), "/")
-    return (
-        spark.read.schema("date date, ret double").option("header", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv").csv(root)
-        .select(F.element_at(parts, -3).alias("recipe"), F.element_at(parts, -2).alias("run"), "date", "ret")
-        .filter(F.col("recipe") != "mlruns")
+    """(recipe, run, date, ret) from <root>/<recipe>/<run>/returns.csv, a file or a folder of part files.
+
+    Recipe and run are the names of the two folders above, without the ``key=`` of partition folders. Other files of a run, such
+    as trades.csv, and the folder mlruns are not read.
+    """
+    above = r"([^/]+)/([^/]+)/(?:[^/=]+=)?returns\.csv(?:/[^/]+)?$"
+    name = lambda n: F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), above, n), "^[^=]+=", "")
+    rows = (
+        spark.read.schema("date date, ret double").option("header", "true").option("recursiveFileLookup", "true").csv(root)
+        .filter(F.col("_metadata.file_path").rlike(above)).select(name(1).alias("recipe"), name(2).alias("run"), "date", "ret")
     )
+    return rows.filter(F.col("recipe") != "mlruns")
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    """The trial register; a missing path is an empty register."""
+    """The trial register with ``seq``, the order in which trials were appended; a missing path is an empty register.
+
+    ``seq`` orders by the appended file's time, its name and the place in it.
+    """
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
     if not exists:
-        return spark.createDataFrame([], TRIAL_SCHEMA)
-    return spark.read.schema(TRIAL_SCHEMA).json(path)
+        return spark.createDataFrame([], f"{TRIAL_SCHEMA}, seq struct<time timestamp, file string, block long, place long>")
+    lines = spark.read.schema(TRIAL_SCHEMA).json(path)
+    seq = F.struct(
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    return lines.withColumn("seq", seq)
 
 
 def append_trial(trials: DataFrame, path: str) -> None:
@@ -79,16 +84,21 @@ def validate_symbols(symbols: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def require_known(validated: DataFrame) -> DataFrame:
-    missing = [r["symbol"] for r in validated.filter(~F.col("known")).select("symbol").orderBy("symbol").limit(20).collect()]
-    if missing:
-        raise ValueError(f"unknown symbols: {missing}")
+    """All symbols, if every one is listed; the unknown ones are ``validated.filter("not known")``."""
+    unknown = validated.filter(~F.col("known")).select("symbol")
+    first = [r["symbol"] for r in unknown.orderBy("symbol").limit(20).collect()]
+    if first:
+        raise ValueError(f"{unknown.count()} unknown symbols, the first are {first}")
     return validated.drop("known")
 
 
 def write_panel(panel: DataFrame, path: str) -> None:
-    """Parquet by year; only the years present are replaced. Rows are ordered inside a year for min/max pruning."""
+    """Parquet by year; only the years present are replaced. Rows are ordered inside a file for min/max pruning.
+
+    The rebalance hint lets Spark size the writers by the data: small years share none, large ones get as many as they need.
+    """
     (
-        panel.withColumn("year", F.year("date")).repartition("year", F.pmod(F.xxhash64("instrument"), F.lit(16)))
+        panel.withColumn("year", F.year("date")).hint("rebalance", "year")
         .sortWithinPartitions("year", "instrument", "date")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
     )

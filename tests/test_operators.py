@@ -42,33 +42,64 @@ def test_scalar_edge_cases(spark):
     assert tuple(r) == (None, None, None, day(0), day(-1), None, 3.0)
 
 
-def test_long_short_hand_numbers(spark):
-    rets = {"A": 0.05, "B": 0.03, "C": 0.01, "D": -0.01, "E": -0.03, "F": -0.05}
-    df = panel(spark, [(k, day(t), r, r) for t in (0, 1) for k, r in rets.items()], "instrument string, date date, score double, fwd double")
-    assert [round(r["ret"], 6) for r in pf.long_short_spread(df, 2).orderBy("date").collect()] == [0.08, 0.08]
-    flip = [("A", 0, 1.0), ("B", 0, 0.0), ("C", 0, -1.0), ("A", 1, -1.0), ("B", 1, 0.0), ("C", 1, 1.0)]
-    df = panel(spark, [(k, day(t), s, 0.0) for k, t, s in flip], "instrument string, date date, score double, fwd double")
-    assert [round(r["ret"], 6) for r in pf.long_short_spread(df, 1, 0.001).orderBy("date").collect()] == [-0.002, -0.002]
-    thin = panel(spark, [("A", day(0), 1.0, 0.02), ("B", day(0), -1.0, -0.02), ("A", day(1), 1.0, 0.02), ("B", day(1), None, 0.02)], "instrument string, date date, score double, fwd double")
-    assert [round(r["ret"], 6) for r in pf.long_short_spread(thin, 5).orderBy("date").collect()] == [0.04, 0.0]
-
-
-def test_positions_to_trades(spark):
-    pos = [(day(0), "BTC", 1.0, 50000.0), (day(0), "ETH", 2.0, 3000.0), (day(1), "BTC", 1.5, 52000.0), (day(1), "ETH", 2.0, 3100.0), (day(2), "ETH", 1.0, 3200.0)]
-    trades = joins.position_diff(spark.createDataFrame(pos, "date date, symbol string, amount double, price double"))
-    assert rows(trades, "date", "symbol") == [
-        (day(0), "buy", "BTC", 1.0, 50000.0, 50000.0), (day(0), "buy", "ETH", 2.0, 3000.0, 6000.0), (day(1), "buy", "BTC", 0.5, 52000.0, 26000.0),
-        (day(2), "sell", "BTC", 1.5, 52000.0, 78000.0), (day(2), "sell", "ETH", 1.0, 3200.0, 3200.0)]
-    assert tuple(ag.trade_summary(trades).first()) == (5, 3, 2, 163200.0)
-
-
-def test_liquidity_schedule_constant_amounts(spark):
-    names = ["AAA", "BBB", "CCC", "DDD", "EEE"]
-    df = panel(spark, [(k, day(t), 100.0 * (j + 1)) for j, k in enumerate(names) for t in range(120)], "instrument string, date date, amount double")
-    got = ranking.liquidity_schedule(df, 3, 30).filter("month = '2025-03-01'").orderBy("rank")
-    assert [r["instrument"] for r in got.collect()] == ["EEE", "DDD", "CCC"]
-    strict = ranking.liquidity_schedule(df, 3, 30, strict=True)
-    assert strict.filter("month = '2025-01-01'").count() == 0
+def test_long_short_legs_ties_and_costs(spark):
+    schema = "instrument string, date date, score double, fwd double"
+    # scores 5..1 over five names: the two best earn 7 % and 1 %, the two worst -4 % and 2 %; the middle one is in no leg
+    fwd = {"KILO": 0.07, "LIMA": 0.01, "MIKE": 0.50, "NOVA": 0.02, "OSCAR": -0.04}
+    df = panel(spark, [(k, day(3), 5.0 - n, f) for n, (k, f) in enumerate(fwd.items())], schema)
+    assert [round(r["ret"], 6) for r in pf.long_short_spread(df, 2).collect()] == [0.05]
+    # equal scores are settled by name, whatever the order of arrival: same legs on both days, so costs fall due once
+    tied = [(k, day(t), 1.0, 0.0) for t in (0, 1) for k in (("PAPA", "ROMEO") if t else ("ROMEO", "PAPA"))]
+    got = [round(r["ret"], 6) for r in pf.long_short_spread(panel(spark, tied, schema), 1, 0.01).orderBy("date").collect()]
+    assert got[1] == 0.0 and got[0] < 0
+    # three names allow one a leg however many are asked for, one name none
+    few = panel(spark, [("UNIT", day(0), 3.0, 0.06), ("VIGOR", day(0), 2.0, 0.9), ("WHISKY", day(0), 1.0, 0.01), ("UNIT", day(1), 3.0, 0.06)], schema)
+    assert [round(r["ret"], 6) for r in pf.long_short_spread(few, 4).orderBy("date").collect()][:1] == [0.05]
+
+
+def test_trades_of_a_holding(spark):
+    """Opening, adding, cutting, closing and reopening; an unchanged holding trades nothing."""
+    held = {"GOLD": [4.0, 4.0, 10.0, 2.5, None, 1.0], "TIN": [None, 100.0, 100.0, None, 40.0, 40.0]}
+    price = {"GOLD": 20.0, "TIN": 0.5}
+    pos = [(day(t), s, q, price[s] + t) for s, quantities in held.items() for t, q in enumerate(quantities) if q is not None]
+    df = spark.createDataFrame(pos, "date date, symbol string, amount double, price double")
+    got = [(r.line, (r.date - day(0)).days, r.side, r.symbol, r.qty, r.value) for r in joins.trades(df).orderBy("line").collect()]
+    assert [g[:5] for g in got] == [
+        (1, 0, "buy", "GOLD", 4.0), (2, 1, "buy", "TIN", 100.0), (3, 2, "buy", "GOLD", 6.0), (4, 3, "sell", "GOLD", 7.5), (5, 3, "sell", "TIN", 100.0),
+        (6, 4, "sell", "GOLD", 2.5), (7, 4, "buy", "TIN", 40.0), (8, 5, "buy", "GOLD", 1.0)]
+    assert got[0][5] == 80.0 and got[2][5] == 6.0 * 22.0
+    n, buys, sells, _ = ag.trade_summary(joins.position_diff(df)).first()
+    assert (n, buys, sells) == (8, 5, 3)
+
+
+def test_liquidity_schedule_follows_turnover(spark):
+    """A name that doubles in the second month enters the third month's list; before a full look-back strict has none."""
+    amount = lambda name, t: {"ash": 50.0, "birch": 40.0, "cedar": 10.0 if t < 31 else 80.0}[name]
+    df = panel(spark, [(k, day(t), amount(k, t)) for k in ("ash", "birch", "cedar") for t in range(70)], "instrument string, date date, amount double")
+    got = {m: [r["instrument"] for r in ranking.liquidity_schedule(df, 2, 20).filter(F.col("month") == m).orderBy("rank").collect()] for m in ("2025-02-01", "2025-03-01")}
+    assert got == {"2025-02-01": ["ash", "birch"], "2025-03-01": ["cedar", "ash"]}
+    assert ranking.liquidity_schedule(df, 2, 20, strict=True).filter("month = '2025-01-01'").count() == 0
+
+
+def test_overlays_and_exposure_carry_the_last_value(spark):
+    days = spark.createDataFrame([(day(t), 1.0) for t in range(6)], "date date, exposure double")
+    z = spark.createDataFrame([(day(1), 9.0), (day(4), None)], "date date, z double")
+    known = {strict: [r["exposure"] for r in pf.derisk(days, z, 2.0, 0.25, strict=strict).orderBy("date").collect()] for strict in (False, True)}
+    assert known == {False: [1.0, 0.25, 0.25, 0.25, 1.0, 1.0], True: [1.0, 1.0, 0.25, 0.25, 0.25, 1.0]}
+    weights = spark.createDataFrame([(k, day(t), 0.5) for t in range(4) for k in ("X", "Y")], "instrument string, date date, weight double")
+    gate = spark.createDataFrame([(day(1), 0.0), (day(3), 0.5)], "date date, exposure double")
+    got = [r["target"] for r in pf.apply_exposure(weights, gate, base=1.0).filter("instrument = 'X'").orderBy("date").collect()]
+    assert got == [0.5, 0.0, 0.0, 0.25]
+
+
+def test_designs_that_cannot_work_are_refused(spark):
+    from panelspark.plans import reports, resampling
+
+    short = spark.createDataFrame([(day(t), "A", 1.0, 1.0, 0.1) for t in range(12)], "date date, instrument string, x double, LABEL double, fwd double")
+    with pytest.raises(ValueError, match="training day"):
+        reports.cpcv_predictions(short, ["x"], "LABEL", groups=4, tests=2, purge=3, embargo=12)
+    with pytest.raises(ValueError, match="as many days"):
+        resampling.cscv_sharpes(spark.createDataFrame([("t", day(t), 0.1) for t in range(5)], "trial string, date date, ret double"), 6)
 
 
 def test_debounce_equals_the_state_machine(spark):

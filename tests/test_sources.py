@@ -43,7 +43,7 @@ def test_funding_mapping_does_not_bleed(spark, tmp_path):
     put(tmp_path / "f", "NEWUSDT-fundingRate-2024-09.zip", {"a.csv": "\n".join(f"{ms(d, h)},4,0.002" for d in (10, 13) for h in (0, 4, 8, 12, 16, 20))})
     from panelspark.operators import joins
 
-    daily = ag.daily_funding(ar.read_funding(ar.archive_files(spark, str(tmp_path))))
+    daily = ag.daily_funding(ar.read_funding(ar.archive_files(spark, str(tmp_path)))[0])
     mapping = spark.createDataFrame(
         [("NEWUSDT", "OLDUSDT", None, dt.date(2024, 9, 10)), ("NEWUSDT", "NEWUSDT", dt.date(2024, 9, 13), None)], "instrument string, perp string, valid_from date, valid_to date")
     cells = joins.perp_symbols(spark.createDataFrame([("NEWUSDT", dt.date(2024, 9, d)) for d in (10, 11, 12, 13)], "instrument string, date date"), mapping)
@@ -53,10 +53,14 @@ def test_funding_mapping_does_not_bleed(spark, tmp_path):
 
 def test_metrics_by_header_name(spark, tmp_path):
     names = ["symbol", "create_time", *ar.METRIC_FIELDS.values()]
-    body = "ABC,2024-01-01 00:05:00,1,2,3,4,5\nABC,2024-01-01 23:55:00,10,20,30,40,oops\n"
+    body = "ABC,2024-01-01 00:05:00,1,2,3,4,5\nABC,2024-01-01 23:55:00,10,20,30,40,n/a\n"
     put(tmp_path / "m", "ABC-metrics-2024-01-01.zip", {"a.csv": ",".join(names) + "\n" + body})
+    put(tmp_path / "m", "ODD-metrics-2024-01-01.zip", {"a.csv": ",".join(names) + "\n" + body.replace("n/a", "oops")})
     put(tmp_path / "m", "BAD-metrics-2024-01-01.zip", {"a.csv": "symbol,create_time\nBAD,2024-01-01 00:05:00\n"})
-    m = ag.last_of_day(ar.read_metrics(ar.archive_files(spark, str(tmp_path))), list(ar.METRIC_FIELDS), "perp_symbol")
+    found, bad = ar.read_metrics(ar.archive_files(spark, str(tmp_path)))
+    reasons = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in bad.collect()}
+    assert reasons["BAD-metrics-2024-01-01.zip"].startswith("missing columns") and reasons["ODD-metrics-2024-01-01.zip"] == "not a number: oops" and len(reasons) == 2
+    m = ag.last_of_day(found, list(ar.METRIC_FIELDS), "perp_symbol")
     assert rows(m, "date") == [("ABC", dt.date(2024, 1, 1), 10.0, 20.0, 30.0, 40.0, None)]
 
 
@@ -86,3 +90,23 @@ def test_streams_equal_batch(spark):
     assert len(out) == len(want) and all(abs(r["total"] - want[(r["event_type"], r["window"]["start"].date())]) < 1e-6 for r in out)
     closed = jobs.run_available(jobs.daily_sums(jobs.event_stream(spark, SMALL), "event_type", "value"), "test", "append")
     assert 0 < closed.count() < len(want)
+
+
+def test_damaged_archives_give_no_rows(spark, tmp_path, monkeypatch):
+    """Whatever is wrong with an archive, not one of its lines is accepted and the file is named."""
+    from panelspark.queries.fixtures import DAMAGES, packed
+
+    monkeypatch.setattr(ar, "BLOCK_BYTES", 512)  # lines cross blocks
+    day_lines = "\n".join(BAR.format(t=1735603200000 + n * 60_000, v=n) for n in range(400)).encode()
+    for n, damage in enumerate([None, *DAMAGES]):
+        (tmp_path / f"S{n}-1h-2024-12-31.zip").write_bytes(packed("a.csv", day_lines, damage))
+    (tmp_path / "S6-1h-2024-12-31.zip").write_bytes(packed("a.csv", day_lines.replace(b"0.5", b"half", 1)))
+    (tmp_path / "S7-1h-2024-12-31.zip").write_bytes(packed("a.csv", b"\xff" + day_lines))
+    whole = packed("a.csv", day_lines)
+    for n in range(8, 48):  # a byte of the packed stream changed
+        damaged = bytearray(whole)
+        damaged[60 + (n - 8) * (len(whole) - 200) // 40] ^= 0x5A
+        (tmp_path / f"S{n}-1h-2024-12-31.zip").write_bytes(bytes(damaged))
+    bars, bad = ar.read_hourly_bars(ar.archive_files(spark, str(tmp_path)))
+    assert rows(bars.groupBy("symbol").count(), "symbol") == [("S0", 400)]
+    assert bad.count() == 46 and bad.filter("reason is null or reason = ''").count() == 0
