@@ -17,20 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1024  # grid positions per window block
-CHUNKS = 128  # value ranges a hot group is cut into
-HOT_GROUP = 200_000  # distinct values from which a group is cut
+CHUNKS = 1024  # quantiles from which the cuts of a group are taken
+CHUNK_ROWS = 200_000  # values or rows a chunk of a group holds, roughly
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a fresh local one only where none is set (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir. A local session without one (tests) gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = base or spark.sparkContext.getCheckpointDir()
     if base:
         return base
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -93,31 +93,29 @@ def group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     return df.join(df.groupBy(*keys).agg(*aggs), list(keys), "left")
 
 
+def cuts_of(size: Column, quantiles: Column, chunks: int, chunk_rows: int) -> Column:
+    """As many of a group's quantiles as cut it into chunks of about ``chunk_rows``; none for a group of one chunk."""
+    step = F.greatest(F.lit(1), F.floor(F.lit(chunks) / F.ceil(size / F.lit(chunk_rows))))
+    return F.array_distinct(F.filter(quantiles, lambda _, i: F.pmod(i + 1, step) == 0))
+
+
+def quantile_marks(value: str, chunks: int) -> Column:
+    return F.percentile_approx(value, F.array(*[F.lit(i / chunks) for i in range(1, chunks)]), chunks * 4)
+
+
 def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, *, chunks: int = CHUNKS, hot: int = HOT_GROUP
+    df: DataFrame, keys: Sequence[str], value: str, *, chunks: int = CHUNKS, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """One row per (keys, distinct value): ``copies``, ``below`` (rows with a smaller value) and ``total``.
 
-    Equal values are counted before anything is sorted, groups with more than ``hot`` distinct values are cut at
-    approximate quantiles, and only chunk totals are ordered per group, so no task ever holds a whole hot group.
+    Equal values are counted before anything is sorted. Each group is cut at approximate quantiles into as many chunks as its
+    number of distinct values asks for, and only chunk totals are ordered per group, so no task ever holds a whole hot group.
     """
     keys = list(keys)
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
-    marks = [F.lit(i / chunks) for i in range(1, chunks)]
-    cuts = hist.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_distinct"),
-        F.sum("copies").alias("total"),
-        F.percentile_approx(value, F.array(*marks), chunks * 4).alias("_cuts"),
-    )
-    cuts = cuts.select(
-        *keys, "total", F.when(F.col("_distinct") > hot, F.array_distinct("_cuts")).otherwise(F.array()).alias("_cuts")
-    )
-    split = hist.join(cuts, keys).withColumn(
-        "_chunk",
-        F.when(F.size("_cuts") == 0, F.lit(0)).otherwise(
-            F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-        ),
-    ).drop("_cuts")
+    cuts = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"), F.sum("copies").alias("total"), quantile_marks(value, chunks).alias("_cuts"))
+    cuts = cuts.select(*keys, "total", cuts_of(F.col("_distinct"), F.col("_cuts"), chunks, chunk_rows).alias("_cuts"))
+    split = hist.join(cuts, keys).withColumn("_chunk", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))).drop("_cuts")
     inside = Window.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = split.withColumn("_inside", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
     # Taken from the ranked rows with the same columns, so Spark reuses their shuffle instead of repeating it.
@@ -136,44 +134,18 @@ def value_ranks(
     )
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group: one column-pruned, map-side combined pass, one number back."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-
-
-def with_ranks(df: DataFrame, keys: Sequence[str], value: str, *, hot: int = HOT_GROUP) -> DataFrame:
-    """Attach ``below``, ``copies`` and ``total`` to every row with a non-NULL value.
-
-    The largest group is measured first. Within the bound one shuffle and one sort per group are cheapest; beyond it
-    the ranks come from ``value_ranks``, which cuts hot groups. Pass a written table: it is read more than once.
-    """
+def with_ranks(df: DataFrame, keys: Sequence[str], value: str, *, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Attach ``below``, ``copies`` and ``total`` to every row with a non-NULL value."""
     keys = list(keys)
     there = df.filter(F.col(value).isNotNull())
-    if largest_group(there, keys) > hot:
-        return there.join(value_ranks(there, keys, value, hot=hot), [*keys, value])
-    group = Window.partitionBy(*keys)
-    return there.withColumns(
-        {
-            "below": (F.rank().over(group.orderBy(value)) - 1).cast("long"),
-            "copies": F.count(F.lit(1)).over(Window.partitionBy(*keys, value)),
-            "total": F.count(F.lit(1)).over(group),
-        }
-    )
+    return there.join(value_ranks(there, keys, value, chunk_rows=chunk_rows), [*keys, value])
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], *, hot: int = HOT_GROUP
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], *, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per group; NULL values are skipped.
-
-    Groups are measured first: within the bound Spark's exact ``percentile`` holds a group's distinct values in one
-    buffer; beyond it the quantiles are read off the chunked value histogram.
-    """
-    there = df.filter(F.col(value).isNotNull())
-    if largest_group(there, keys) <= hot:
-        found = there.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(q) for q in quantiles.values()])).alias("_q"))
-        return found.select(*keys, *[F.get("_q", F.lit(n)).alias(name) for n, name in enumerate(quantiles)])
-    ranks = value_ranks(there, keys, value, hot=hot)
+    """Exact linear-interpolation quantiles per group, read off the chunked value histogram; NULL values are skipped."""
+    ranks = value_ranks(df, keys, value, chunk_rows=chunk_rows)
     aggs = []
     for name, q in quantiles.items():
         place = (F.col("total") - 1) * F.lit(q)
@@ -201,29 +173,17 @@ def spread_over(df: DataFrame, *keys: str) -> DataFrame:
 
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], cut_on: str, value: Column, out: str,
-    *, chunks: int = CHUNKS, hot: int = HOT_GROUP,
+    *, chunks: int = CHUNKS, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the group, ordered by ``order`` whose first column is ``cut_on``.
 
-    The largest group is measured first; within the bound one window per group does. Beyond it groups above ``hot``
-    rows are cut along ``cut_on``; each chunk is summed by its own task and the chunk totals, at most ``chunks`` rows
-    per group, carry over.
+    Each group is cut along ``cut_on`` into as many chunks as its rows ask for; each chunk is summed by its own task and the
+    chunk totals carry over.
     """
     keys = list(keys)
-    if largest_group(df, keys) <= hot:
-        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0.0)))
-    marks = [F.lit(i / chunks) for i in range(1, chunks)]
-    cuts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx(cut_on, F.array(*marks), chunks * 4).alias("_cuts")
-    )
-    cuts = cuts.select(*keys, F.when(F.col("_n") > hot, F.array_distinct("_cuts")).otherwise(F.array()).alias("_cuts"))
-    split = df.withColumn("_value", value).join(cuts, keys).withColumn(
-        "_chunk",
-        F.when(F.size("_cuts") == 0, F.lit(0)).otherwise(
-            F.size(F.filter("_cuts", lambda cut: cut < F.col(cut_on)))
-        ),
-    ).drop("_cuts")
+    cuts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), quantile_marks(cut_on, chunks).alias("_cuts"))
+    cuts = cuts.select(*keys, cuts_of(F.col("_n"), F.col("_cuts"), chunks, chunk_rows).alias("_cuts"))
+    split = df.withColumn("_value", value).join(cuts, keys).withColumn("_chunk", F.size(F.filter("_cuts", lambda cut: cut < F.col(cut_on)))).drop("_cuts")
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = split.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_sum")).withColumn(
         "_offset",

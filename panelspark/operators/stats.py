@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import expected_max_normal, norm_cdf, pearson, ratio
-from panelspark.layout import group_quantiles, group_stats, settle, with_ranks
+from panelspark.layout import group_quantiles, group_stats, with_ranks
 from panelspark.operators.joins import union_trial_sharpes
 from panelspark.operators.ranking import dedupe_trials
 from panelspark.operators.windows import drawdown, equity_curve
@@ -77,7 +77,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
 def rank_ic(scored: DataFrame, pred: str = "pred", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """Spearman correlation of prediction and label per date; dates with one pair are skipped."""
     by = [*keys, "date"]
-    pairs = settle(scored.filter(F.col(pred).isNotNull() & F.col(label).isNotNull()).select(*by, "instrument", pred, label), "pairs")
+    pairs = scored.filter(F.col(pred).isNotNull() & F.col(label).isNotNull()).select(*by, "instrument", pred, label)
     ranked = average_ranks(pairs, by, pred, "_rp").join(
         average_ranks(pairs, by, label, "_rl").select(*by, "instrument", "_rl"), [*by, "instrument"]
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import change, col, pearson, ratio, safe_ln
-from panelspark.layout import HOT_GROUP, largest_group, settle, value_ranks
+from panelspark.layout import CHUNK_ROWS, value_ranks
 
 DAYS_PER_YEAR = 365.0
 
@@ -93,31 +93,16 @@ def roll_corr(x: str, y: str, n: int, w: WindowSpec) -> Column:
     return F.when(full(both, w, n), pearson(x, y, frame(w, n)))
 
 
-def cs_rank_pct(panel: DataFrame, columns: dict[str, str], by: str = "date", *, hot: int = HOT_GROUP) -> DataFrame:
+def cs_rank_pct(panel: DataFrame, columns: dict[str, str], by: str = "date", *, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``out: source`` cross-sectional ranks: average-tie rank over the count of non-NULL values of the date.
 
-    The panel is written once, because it is read again. Within the measured bound all ranks share one shuffle on the
-    date; beyond it the sources travel as one long table through the value histogram, so neither a date with very many instruments nor a value shared by most of them lands in a single task.
+    The sources travel as one narrow table of (name, value) through the value histogram and are joined back once, so neither a
+    date with very many instruments nor a value shared by most of them lands in a single task.
     """
     key = ["instrument", by]
     pairs = F.explode(F.array(*[F.struct(F.lit(o).alias("_out"), col(s).cast("double").alias("_x")) for o, s in columns.items()]))
-    panel = settle(panel, "cross")
-    if largest_group(panel, [by]) <= hot:
-        w = Window.partitionBy(by)
-        return panel.withColumns(
-            {
-                o: F.when(
-                    col(s).isNotNull(),
-                    (
-                        F.rank().over(Window.partitionBy(by).orderBy(col(s).asc_nulls_last()))
-                        + (F.count(F.lit(1)).over(Window.partitionBy(by, col(s))) - 1) / 2
-                    ) / F.count(col(s)).over(w),
-                )
-                for o, s in columns.items()
-            }
-        )
     tall = panel.select(*key, pairs.alias("_p")).select(*key, "_p._out", "_p._x").filter(F.col("_x").isNotNull())
-    ranks = value_ranks(tall, [by, "_out"], "_x").select(
+    ranks = value_ranks(tall, [by, "_out"], "_x", chunk_rows=chunk_rows).select(
         by, "_out", "_x", ((F.col("below") + (F.col("copies") + 1) / 2) / F.col("total")).alias("_pct")
     )
     wide = (

@@ -1,7 +1,8 @@
 """Daily sums, last-of-day and tick-to-bar as Structured Streaming jobs.
 
 Sources are file streams. State and checkpoints live in the shared folder, so a lost executor or a restarted query
-resumes. Windows close by watermark; ``complete_table`` is for backfills that want every window in one table.
+resumes. Windows close by watermark, which also evicts
+their state.
 """
 from __future__ import annotations
 
@@ -50,11 +51,12 @@ def tick_bars(ticks: DataFrame, symbol: str, price: str, quantity: str, tick_id:
     )
 
 
-def run_available(result: DataFrame, label: str, mode: str = "complete") -> DataFrame:
+def run_available(result: DataFrame, label: str, keys: tuple[str, ...] = (), mode: str = "update") -> DataFrame:
     """Drain the source and return the result table.
 
-    Each micro-batch overwrites its own batch folder, so a replayed batch changes nothing. ``complete`` returns the
-    last batch, ``append`` all of them.
+    State leaves memory with the watermark in both modes. ``update`` writes the windows that a micro-batch changed, and the
+    table has the latest row of each of ``keys``; ``append`` writes windows once they are closed. Each micro-batch overwrites
+    its own folder, so a replayed batch changes nothing.
     """
     spark = result.sparkSession
     root = fresh_path(spark, label)
@@ -67,6 +69,8 @@ def run_available(result: DataFrame, label: str, mode: str = "complete") -> Data
     )
     query.awaitTermination()
     table = spark.read.parquet(f"{root}/table")
-    if mode == "complete":
-        table = table.filter(F.col("batch") == table.agg(F.max("batch")).scalar())
+    if mode == "update":
+        rest = [c for c in result.columns if c not in keys]
+        last = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+        return last.select(*keys, "_last.*").select(*result.columns)
     return table.drop("batch")

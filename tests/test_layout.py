@@ -21,39 +21,39 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf).repartition(8)
 
 
-@pytest.mark.parametrize("hot", [10, 10**9])
-def test_value_ranks_match_pandas(skewed, hot):
+@pytest.mark.parametrize("rows_a_chunk", [10, 10**9])
+def test_value_ranks_match_pandas(skewed, rows_a_chunk):
     pdf, df = skewed
-    got = layout.value_ranks(df, ["key"], "v", chunks=16, hot=hot).toPandas().set_index(["key", "v"])
+    got = layout.value_ranks(df, ["key"], "v", chunks=16, chunk_rows=rows_a_chunk).toPandas().set_index(["key", "v"])
     low = pdf.groupby("key")["v"].rank(method="min") - 1
     want = pdf.assign(below=low).drop_duplicates(["key", "v"]).set_index(["key", "v"])
     assert len(got) == len(want)
     assert (got["below"].sort_index().astype(int) == want["below"].sort_index().astype(int)).all()
     assert got["copies"].sum() == len(pdf)
-    if hot == 10:
+    if rows_a_chunk == 10:
         assert (got["total"] == pdf.groupby("key").size().reindex(got.index.get_level_values(0)).to_numpy()).all()
 
 
 def test_quantiles_match_numpy(skewed):
     pdf, df = skewed
     for hot in (20, 10**9):
-        got = layout.group_quantiles(df, ["key"], "v", {"a": 0.0, "b": 0.137, "c": 0.5, "d": 1.0}, hot=hot).toPandas().set_index("key")
+        got = layout.group_quantiles(df, ["key"], "v", {"a": 0.0, "b": 0.137, "c": 0.5, "d": 1.0}, chunk_rows=hot).toPandas().set_index("key")
         for k, part in pdf.groupby("key"):
             assert np.allclose(got.loc[k, list("abcd")].astype(float), np.quantile(part["v"], [0, 0.137, 0.5, 1]))
 
 
 def test_row_ranks_do_not_depend_on_the_path(skewed):
     pdf, df = skewed
-    a, b = (layout.with_ranks(df, ["key"], "v", hot=hot).orderBy("id").toPandas() for hot in (10, 10**9))
+    a, b = (layout.with_ranks(df, ["key"], "v", chunk_rows=hot).orderBy("id").toPandas() for hot in (10, 10**9))
     pd.testing.assert_frame_equal(a[["id", "below", "copies", "total"]], b[["id", "below", "copies", "total"]])
     panel = df.select(F.col("id").cast("string").alias("instrument"), F.col("key").alias("date"), "v")
-    x, y = (wo.cs_rank_pct(panel, {"r": "v"}, hot=hot).orderBy("instrument").toPandas() for hot in (10, 10**9))
+    x, y = (wo.cs_rank_pct(panel, {"r": "v"}, chunk_rows=hot).orderBy("instrument").toPandas() for hot in (10, 10**9))
     assert np.allclose(x["r"], y["r"]) and np.allclose(x.set_index(x.instrument.astype(int))["r"].sort_index(), pdf.groupby("key")["v"].rank(pct=True))
 
 
 def test_running_total_in_chunks(skewed):
     pdf, df = skewed
-    got = layout.running_total(df, ["key"], ["id"], "id", F.abs("v"), "before", chunks=8, hot=50).toPandas().sort_values("id")
+    got = layout.running_total(df, ["key"], ["id"], "id", F.abs("v"), "before", chunks=8, chunk_rows=50).toPandas().sort_values("id")
     want = pdf.assign(a=pdf["v"].abs()).groupby("key")["a"].transform(lambda s: s.cumsum().shift(fill_value=0))
     assert np.allclose(got["before"].to_numpy(), want.to_numpy())
 
@@ -87,3 +87,19 @@ def test_settle_uses_the_shared_folder(spark):
     df = layout.settle(spark.range(5).withColumn("x", F.lit("é")))
     assert df.count() == 5 and base
     assert layout.shared_dir(spark) == base
+
+
+def test_plans_are_built_without_jobs(spark):
+    """Ranks, rank correlation, medians and the book walk only describe work; nothing runs until a result is asked for."""
+    from panelspark.operators import aggregates as ag, stats
+
+    df = spark.range(200).selectExpr("cast(id % 7 as string) AS instrument", "date_add(date'2025-01-01', cast(id / 7 as int)) AS date", "cast(id as double) AS x", "cast(id % 5 as double) AS y")
+    ticks = df.selectExpr("instrument", "date", "x + 1 AS price", "y + 1 AS quantity", "x AS seq")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "plans")
+    wo.cs_rank_pct(df, {"a": "x", "b": "y"})
+    stats.rank_ic(df, "x", "y")
+    ag.cross_sectional_median(df, "x")
+    ag.book_walk_impact(ticks, ["instrument", "date"], ["seq"])
+    assert not tracker.getJobIdsForGroup("plans")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

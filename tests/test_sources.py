@@ -86,9 +86,9 @@ def test_registers_panels_and_lists(spark):
 def test_streams_equal_batch(spark):
     batch = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     want = {(r["event_type"], r["d"]): r["t"] for r in batch.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.sum("value").alias("t")).collect()}
-    out = jobs.run_available(jobs.daily_sums(jobs.event_stream(spark, SMALL), "event_type", "value"), "test").collect()
+    out = jobs.run_available(jobs.daily_sums(jobs.event_stream(spark, SMALL), "event_type", "value"), "test", ("window", "event_type")).collect()
     assert len(out) == len(want) and all(abs(r["total"] - want[(r["event_type"], r["window"]["start"].date())]) < 1e-6 for r in out)
-    closed = jobs.run_available(jobs.daily_sums(jobs.event_stream(spark, SMALL), "event_type", "value"), "test", "append")
+    closed = jobs.run_available(jobs.daily_sums(jobs.event_stream(spark, SMALL), "event_type", "value"), "test", mode="append")
     assert 0 < closed.count() < len(want)
 
 
