@@ -348,6 +348,22 @@ def _(spark, sf):
     return i.rounded(d.select("date", "gross", "turnover", "ret", "period_id"))
 
 
+def ls_ctes(rows: str, key: str) -> dict[str, str]:
+    """Daily long/short returns ``lsx`` of (key, date, instrument, score, fwd) rows: two names a leg, 10 bp an entry."""
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in key.split(", "))
+    of = lambda a: ", ".join(f"{a}.{k}" for k in key.split(", "))
+    return {
+        "lsu": rows,
+        "lsr": f"""SELECT *, least(2, count(*) OVER (PARTITION BY {key}, date) // 2) AS kk, row_number() OVER (PARTITION BY {key}, date ORDER BY score DESC, instrument DESC) AS rd,
+ row_number() OVER (PARTITION BY {key}, date ORDER BY score, instrument) AS ra FROM lsu""",
+        "lsl": f"SELECT {key}, date, instrument, fwd, kk, 'long' AS leg FROM lsr WHERE rd <= kk UNION ALL SELECT {key}, date, instrument, fwd, kk, 'short' FROM lsr WHERE ra <= kk",
+        "lsd": f"SELECT *, lag(date) OVER (PARTITION BY {key} ORDER BY date) AS prev FROM (SELECT DISTINCT {key}, date FROM lsu)",
+        "lse": f"""SELECT {of('d')}, d.date, count(l.instrument) AS entries FROM lsd d LEFT JOIN (SELECT l.*, p.instrument AS was FROM lsl l JOIN lsd d ON {on('d', 'l')} AND d.date = l.date
+ LEFT JOIN lsl p ON {on('p', 'l')} AND p.date = d.prev AND p.leg = l.leg AND p.instrument = l.instrument) l ON {on('l', 'd')} AND l.date = d.date AND l.was IS NULL GROUP BY ALL""",
+        "lsx": f"""SELECT {of('e')}, e.date, coalesce(x.sp - 0.001 * entries / x.kk, 0) AS ret FROM lse e LEFT JOIN (SELECT {key}, date, max(kk) AS kk, avg(fwd) FILTER (leg = 'long') - avg(fwd) FILTER (leg = 'short') AS sp
+ FROM lsl GROUP BY ALL) x ON {on('x', 'e')} AND x.date = e.date"""}
+
+
 SEEDS = {"seeded": "SELECT split_id, s AS seed, date, role, CASE WHEN ('0x' || substr(md5(s || '-' || date), 1, 8))::BIGINT / 4294967296.0 < 0.8 THEN 1.0 ELSE 0.0 END AS w FROM hplan, range(1, 4) t(s)"}
 MS = MODEL | HOLD | SEEDS | {"f": ridge_sql("seeded", "split_id, seed", REG, "w"),
     "ps": "SELECT seed, date, instrument, a + b1 * x1 + b2 * x2 AS score, fwd FROM seeded JOIN mp USING (date) JOIN f USING (split_id, seed) WHERE role = 'test'", **keyed_book("ps", "seed", 0.001)}
@@ -358,19 +374,29 @@ def multiseed(spark, sf):
     return reports.multiseed_report(p, hold_plan(p), X, "LABEL", seeds=3, k=2, cost=0.001, reg=REG)
 
 
-@query("V16_multiseed_report", sql(f"""SELECT CAST(seed AS INTEGER) AS seed, round(avg(ret) / stddev_samp(ret) * sqrt(365), 6) AS sharpe, round(min(dd), 6) AS max_drawdown, round(sum(ln(1 + gross)), 6) AS log_ending_gross, round(sum(ln(1 + ret)), 6) AS log_ending_net
- FROM {risk_over('bk', 'seed')} GROUP BY seed""", "returns", **MS))
+SEED_METRICS = MS | ls_ctes("SELECT * FROM ps WHERE fwd IS NOT NULL", "seed") | {
+    "smom": """SELECT seed, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, avg(m * m * m) / pow(avg(m * m), 1.5) AS g3, avg(m * m * m * m) / pow(avg(m * m), 2) AS g4
+ FROM (SELECT seed, ret, ret - avg(ret) OVER (PARTITION BY seed) AS m FROM bk) GROUP BY seed""",
+    "one": f"""SELECT seed, sharpe, max_drawdown, leg, len, psr, lss, lsl2 FROM
+ (SELECT seed, avg(ret) / stddev_samp(ret) * sqrt(365) AS sharpe, min(dd) AS max_drawdown, sum(ln(1 + gross)) AS leg, sum(ln(1 + ret)) AS len FROM {risk_over('bk', 'seed')} GROUP BY seed)
+ JOIN (SELECT seed, psr FROM {psr_sql('smom', '0.0', 'psr')}) USING (seed) JOIN (SELECT seed, avg(ret) / stddev_samp(ret) * sqrt(365) AS lss, sum(ln(1 + ret)) AS lsl2 FROM lsx GROUP BY seed) USING (seed)"""}
+
+
+@query("V16_multiseed_report", sql("""SELECT CAST(seed AS INTEGER) AS seed, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown, round(leg, 6) AS log_ending_gross, round(len, 6) AS log_ending_net,
+ round(psr, 6) AS psr, round(lss, 6) AS ls_sharpe, round(lsl2, 6) AS log_ls_ending FROM one""", "returns", **SEED_METRICS))
 def _(spark, sf):
     per_seed, _ = multiseed(spark, sf)
-    out = per_seed.select("seed", "sharpe", "max_drawdown", F.ln("ending_gross").alias("log_ending_gross"), F.ln("ending_net").alias("log_ending_net"))
-    return i.rounded(out)
+    logs = {f"log_{c}": F.ln(c) for c in ("ending_gross", "ending_net", "ls_ending")}
+    return i.rounded(per_seed.withColumns(logs).select("seed", "sharpe", "max_drawdown", "log_ending_gross", "log_ending_net", "psr", "ls_sharpe", "log_ls_ending"))
 
 
-@query("V16_multiseed_summary", sql(f"""SELECT metric, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(*) AS n FROM (
- SELECT seed, unnest(['sharpe', 'max_drawdown']) AS metric, unnest([sr, md]) AS v FROM (SELECT seed, avg(ret) / stddev_samp(ret) * sqrt(365) AS sr, min(dd) AS md FROM {risk_over('bk', 'seed')} GROUP BY seed)) GROUP BY metric""", "returns", **MS))
+@query("V16_multiseed_summary", sql("""SELECT metric, CAST(format('{:.4e}', avg(v)) AS DOUBLE) AS mean, CAST(format('{:.4e}', stddev_samp(v)) AS DOUBLE) AS std, CAST(format('{:.4e}', min(v)) AS DOUBLE) AS min, CAST(format('{:.4e}', max(v)) AS DOUBLE) AS max, count(*) AS n FROM (
+ SELECT seed, unnest(['sharpe', 'max_drawdown', 'psr', 'ls_sharpe', 'ending_gross', 'ending_net', 'ls_ending']) AS metric, unnest([sharpe, max_drawdown, psr, lss, exp(leg), exp(len), exp(lsl2)]) AS v FROM one) GROUP BY metric""", "returns", **SEED_METRICS))
 def _(spark, sf):
+    """All seven metrics, to five digits: ending values span many orders of size."""
     _, summary = multiseed(spark, sf)
-    return i.rounded(summary.filter(F.col("metric").isin("sharpe", "max_drawdown")).select("metric", "mean", "std", "n"))
+    digits = lambda c: F.format_string("%.4e", F.col(c)).cast("double").alias(c)
+    return summary.select("metric", *[digits(c) for c in ("mean", "std", "min", "max")], "n")
 
 
 HR = MODEL | HOLD | {"f": ridge_sql("hplan", "split_id"), "ps": "SELECT date, instrument, a + b1 * x1 + b2 * x2 AS score, fwd FROM hplan JOIN mp USING (date) JOIN f USING (split_id) WHERE role = 'test'", **keyed_book("ps", "", 0.001),
@@ -408,26 +434,17 @@ MEANS = ST | {"mean": "SELECT arm, label, date, avg(ret) AS ret FROM bk GROUP BY
     **boot_ctes("pair", "label", 40, "10.0", 0)}
 
 
-@query("V12_stress_report", sql(f"""SELECT label, round(c, 5) AS sharpe_mean, round(n, 5) AS null_sharpe_mean, round(c - n, 5) AS delta_sharpe, round(lo, 5) AS delta_lo, round(hi, 5) AS delta_hi, round(se, 5) AS delta_se
+LSW = MEANS | ls_ctes("SELECT * FROM ps WHERE arm = 'cand' AND fwd IS NOT NULL", "label, seed") | {
+    "lsw": "SELECT label, avg(s) AS ls, min(s) AS lo FROM (SELECT label, seed, avg(ret) / stddev_samp(ret) * sqrt(365) AS s FROM lsx GROUP BY ALL) GROUP BY label",
+    "dlt": "SELECT label, avg(sr) FILTER (arm = 'cand') - avg(sr) FILTER (arm = 'null') AS d FROM shp GROUP BY label"}
+
+
+@query("V12_stress_report", sql(f"""SELECT label, round(c, 5) AS sharpe_mean, round(n, 5) AS null_sharpe_mean, round(c - n, 5) AS delta_sharpe, round(q.lo, 5) AS delta_lo, round(hi, 5) AS delta_hi, round(se, 5) AS delta_se, round(ls, 5) AS ls_sharpe_mean, round(w.lo, 5) AS ls_sharpe_min
  FROM (SELECT label, avg(sr) FILTER (arm = 'cand') AS c, avg(sr) FILTER (arm = 'null') AS n FROM shp GROUP BY label)
- JOIN (SELECT label, {CI} FROM (SELECT idx.label, b, {SHARPE.format(x='cand')} - {SHARPE.format(x='null_ret')} AS stat FROM idx JOIN pos ON pos.label = idx.label AND pos.pos = idx.idx GROUP BY ALL) GROUP BY label) USING (label)""", "returns", **MEANS))
+ JOIN (SELECT label, {CI} FROM (SELECT idx.label, b, {SHARPE.format(x='cand')} - {SHARPE.format(x='null_ret')} AS stat FROM idx JOIN pos ON pos.label = idx.label AND pos.pos = idx.idx GROUP BY ALL) GROUP BY label) q USING (label) JOIN lsw w USING (label)""", "returns", **LSW))
 def _(spark, sf):
     rows, _ = stress(spark, sf)
-    return i.rounded(rows.drop("ls_sharpe_mean", "ls_sharpe_min"), 5)
-
-
-LSW = MEANS | {
-    "lsu": "SELECT * FROM ps WHERE arm = 'cand' AND fwd IS NOT NULL",
-    "lsr": """SELECT *, least(2, count(*) OVER (PARTITION BY label, seed, date) // 2) AS kk, row_number() OVER (PARTITION BY label, seed, date ORDER BY score DESC, instrument DESC) AS rd,
- row_number() OVER (PARTITION BY label, seed, date ORDER BY score, instrument) AS ra FROM lsu""",
-    "lsl": "SELECT label, seed, date, instrument, fwd, kk, 'long' AS leg FROM lsr WHERE rd <= kk UNION ALL SELECT label, seed, date, instrument, fwd, kk, 'short' FROM lsr WHERE ra <= kk",
-    "lsd": "SELECT *, lag(date) OVER (PARTITION BY label, seed ORDER BY date) AS prev FROM (SELECT DISTINCT label, seed, date FROM lsu)",
-    "lse": """SELECT d.label, d.seed, d.date, count(l.instrument) AS entries FROM lsd d LEFT JOIN (SELECT l.*, p.instrument AS was FROM lsl l JOIN lsd d ON d.label = l.label AND d.seed = l.seed AND d.date = l.date
- LEFT JOIN lsl p ON p.label = l.label AND p.seed = l.seed AND p.date = d.prev AND p.leg = l.leg AND p.instrument = l.instrument) l ON l.label = d.label AND l.seed = d.seed AND l.date = d.date AND l.was IS NULL GROUP BY ALL""",
-    "lsx": """SELECT e.label, e.seed, e.date, coalesce(x.sp - 0.001 * entries / x.kk, 0) AS ret FROM lse e LEFT JOIN (SELECT label, seed, date, max(kk) AS kk, avg(fwd) FILTER (leg = 'long') - avg(fwd) FILTER (leg = 'short') AS sp
- FROM lsl GROUP BY ALL) x ON x.label = e.label AND x.seed = e.seed AND x.date = e.date""",
-    "lsw": "SELECT label, avg(s) AS ls FROM (SELECT label, seed, avg(ret) / stddev_samp(ret) * sqrt(365) AS s FROM lsx GROUP BY ALL) GROUP BY label",
-    "dlt": "SELECT label, avg(sr) FILTER (arm = 'cand') - avg(sr) FILTER (arm = 'null') AS d FROM shp GROUP BY label"}
+    return i.rounded(rows, 5)
 
 
 @query("V12_stress_aggregate", sql("SELECT count(*) AS n_windows, count(*) FILTER (ls > 0) AS windows_positive, round(min(ls), 5) AS ls_sharpe_worst, round(avg(ls), 5) AS ls_sharpe_mean, round(avg(d), 5) AS delta_mean FROM lsw JOIN dlt USING (label)", "returns", **LSW))
