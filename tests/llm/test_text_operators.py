@@ -201,7 +201,7 @@ def test_sharding_keeps_groups_together(spark):
         where[text[r.doc_id]][r.shard] += 1
     assert max(Counter(r.shard for r in got).values()) - min(Counter(r.shard for r in got).values()) <= 1
     assert sum(len(v) > 1 for k, v in where.items() if k.startswith("pair")) <= 10  # those whose shards the hot group has filled
-    assert len(where["hot"]) <= 8  # six shards at least hold a third of all rows
+    assert sum(n for _, n in where["hot"].most_common(7)) > 0.97 * 700  # a third of all rows fills five shards and more
 
 
 # ---- SimHash
