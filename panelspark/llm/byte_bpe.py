@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_PIECES = 1_000_000  # chunks a worker remembers; beyond it the memory is emptied, results do not change
+from panelspark.llm.common import small_batches
+
+CACHE_PIECES = 400_000  # chunks a worker remembers; beyond it the memory is emptied, results do not change
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -141,14 +143,6 @@ def worker_codec(model: bytes, pattern: str) -> Codec:
     return _codecs[model, pattern]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``most`` bytes of text, at least a row each."""
-    for batch in batches:
-        rows = max(1, int(batch.num_rows * most / max(1, batch.column(text).nbytes)))
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode its ids: n_tokens, ids_sha256, decoded_sha256 beside all columns but text.
 

@@ -52,6 +52,14 @@ def attempt_name(folder: str, stem: str, suffix: str) -> str:
     return f"{folder}/{stem}-{uuid.uuid4().hex}{suffix}"
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes in column number ``text``, a row at least: what a worker holds as Python objects at a time."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * most / max(1, batch.column(text).nbytes)))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], least: int = 2) -> Iterator[pa.Table]:
     """Groups of at least ``least`` rows from batches whose rows are sorted by integer ``keys``; holds one batch and one group."""
     held: pa.Table | None = None

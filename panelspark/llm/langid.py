@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import packed
+from panelspark.llm.common import packed, small_batches
 
 ORDER = 4
 SAMPLE_DOCS = 20_000  # labelled documents a model is trained on; a hash of doc_id chooses them where there are more
-TEXT_STEP = 1 << 20
+TEXT_STEP = 1 << 18
 UNKNOWN = "und"
 MOST_BITS = 7.5
 
@@ -60,14 +60,14 @@ def train(docs: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_DOCS
             codes, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             return codes, np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 for piece in range(0, len(text), TEXT_STEP):
                     before = np.frombuffer(text[max(0, piece - order) : piece + TEXT_STEP], np.uint8)
                     code = grams(before, order)[min(piece, order) :]
                     parts = held.setdefault(lang, [])
                     parts.append((code, np.ones(len(code))))
-                    if sum(len(p[0]) for p in parts[1:]) > TEXT_STEP:
+                    if sum(len(p[0]) for p in parts[1:]) > 4 * TEXT_STEP:
                         held[lang] = [merge(parts)]
         for lang, parts in held.items():
             codes, counts = merge(parts)
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
         import regex
 
         letter, ppm = regex.compile(r"\p{L}"), shared.value
-        for batch in batches:
+        for batch in small_batches(batches, at):
             names, scores, rates = [], [], []
             for text in batch.column(at).to_pylist():
                 if not text or not ppm.langs or not letter.search(text):

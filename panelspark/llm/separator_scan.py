@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.layout import settle
-from panelspark.llm.common import attempt_name, new_folder, open_store
+from panelspark.llm.common import attempt_name, new_folder, open_store, small_batches
 
 BLOCK_TOKENS = 4 << 20
 BLOCKS_A_GROUP = 1024  # blocks of a file that one window of the scan orders
@@ -43,7 +43,7 @@ def write_token_files(
         store, _ = open_store(folder)
         end = np.array([eod], dtype).tobytes()
         out, name, size, ordinal = None, "", 0, 0
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             files, ordinals = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 if out is None or size >= file_bytes:

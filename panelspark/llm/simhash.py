@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.layout import settle
-from panelspark.llm.common import block_roots, connected_components, packed, pair_blocks, sorted_groups
+from panelspark.llm.common import block_roots, connected_components, packed, pair_blocks, small_batches, sorted_groups
 
 SHINGLE = 3
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             values = [fingerprint(t, shingle) if t else 0 for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64)), batch.column(2)], ["doc_id", "fp", "row"])
 
