@@ -26,13 +26,13 @@ UPPER_TO_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of a UTF-8 text: a bit is set if it is set in over half the XXH64 hashes of its word shingles."""
+def shingle_hashes(text: str | bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle of a UTF-8 text in order; fewer words are one shingle, no words none."""
     from xxhash import xxh64_intdigest
 
-    words = text.translate(UPPER_TO_LOWER).split()
+    words = (text.encode() if isinstance(text, str) else text).translate(UPPER_TO_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     stop = np.cumsum(size + 1) - 1
@@ -41,7 +41,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         start, stop = start[: 1 - shingle], stop[shingle - 1 :]
     else:
         start, stop = start[:1], stop[-1:]
-    hashes = np.array([xxh64_intdigest(line[i:j], SEED) for i, j in zip(start.tolist(), stop.tolist())], np.uint64)
+    return np.array([xxh64_intdigest(line[i:j], SEED) for i, j in zip(start.tolist(), stop.tolist())], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of a UTF-8 text: a bit is set if it is set in over half the XXH64 hashes of its word shingles."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     seen = np.bincount((octets + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256)
     return int.from_bytes(np.packbits((seen @ BYTE_BITS).ravel() * 2 > len(hashes)).tobytes(), "big")
@@ -129,12 +136,17 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return marked.join(classes(marked), "fp").select("doc_id", digits, "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component with all its columns: the one of smallest doc_id (NULL last), of a repeated id that with the
-    smallest row hash; of wholly repeated rows one stays."""
-    marked = settle(fingerprints(docs), "simhash")
+def keep_best(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The best document of each root in ``rooted`` (doc_id, row, root), with all columns of ``docs``."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("best")
-    named = marked.join(classes(marked), "fp").groupBy("root").agg(best).select(F.col("best.row").alias("_row"), F.col("best.doc_id").alias("_id"))
+    named = rooted.groupBy("root").agg(best).select(F.col("best.row").alias("_row"), F.col("best.doc_id").alias("_id"))
     kept = packed(docs).withColumn("key", row_hash()).join(named, (F.col("key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     first = Window.partitionBy("key").orderBy("doc_id")
     return kept.withColumn("n", F.row_number().over(first)).filter("n = 1").select("whole.*")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component with all its columns: the one of smallest doc_id (NULL last), of a repeated id that with the
+    smallest row hash; of wholly repeated rows one stays."""
+    marked = settle(fingerprints(docs), "simhash")
+    return keep_best(docs, marked.join(classes(marked), "fp"))
