@@ -204,6 +204,18 @@ def test_sharding_keeps_groups_together(spark):
     assert sum(n for _, n in where["hot"].most_common(7)) > 0.97 * 700  # a third of all rows fills five shards and more
 
 
+@pytest.mark.parametrize("copies", [2, 50])
+def test_sharding_when_every_text_has_copies(spark, copies):
+    """Without a row that has no copy there is no free room; full shards exchange members all the same."""
+    rows = [(i, f"text {i // copies}") for i in range(4000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
+    assert set(Counter(r.shard for r in got).values()) == {1000}
+    where = defaultdict(Counter)
+    for r in got:
+        where[r.doc_id // copies][r.shard] += 1
+    assert sum(max(c.values()) for c in where.values()) > {2: 0.97, 50: 0.9}[copies] * len(rows)
+
+
 # ---- SimHash
 
 def test_simhash(spark, docs, none):
