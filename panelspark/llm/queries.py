@@ -1,12 +1,13 @@
 """Registered queries of the pipeline's operators on the given tables, with DuckDB SQL where SQL can express them."""
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import byte_bpe, embedding_lsh, langid, minhash, mixing, secret_scan, separator_scan, sharding, simhash, warc
+from panelspark.llm import byte_bpe, embedding_lsh, importance, langid, license_scan, minhash, mixing, secret_scan, separator_scan, sharding, simhash, warc, whitening
 from panelspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +121,65 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def license_regex(template: license_scan.Template) -> str:
+    """A template as a regular expression over words that each follow a blank."""
+    out = []
+    for part in re.split(r"(<<[^<>]*>>)", template.markup):
+        size = re.search(r"\{\d+,\d+\}", part)
+        if part.startswith("<<"):
+            out.append("(?:" if "beginOptional" in part else ")?" if "endOptional" in part else f"(?: [^ ]+){size[0]}")
+        else:
+            out += [f" {word}" for word in part.split()]
+    return "".join(out) + " "
+
+
+def _license_sql() -> str:
+    phrase = lambda t: " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(t.markup.split(), 1))
+    base = license_scan.BASE_TEMPLATES
+    places = ", ".join(f"list_filter(range(len(w)), lambda i: {phrase(t)}) AS p{k}" for k, t in enumerate(base))
+    has = [f"len(p{k}) > 0" for k, _ in enumerate(base)] + [f"regexp_matches(j, '{license_regex(t)}')" for t in license_scan.MORE_TEMPLATES]
+    size = [len(re.sub(r"<<beginOptional>>((?!<<beginOptional>>).)*?<<endOptional>>|<<var[^<>]*>>", " ", re.sub(r"\s+", " ", t.markup)).split()) for t in license_scan.TEMPLATES]
+    size[[t.label for t in license_scan.TEMPLATES].index("gpl-notice")] = 4  # its optional regions are nested
+    named = lambda some: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {has[k]} THEN '{license_scan.TEMPLATES[k].label}' END" for k in some) + "], lambda x: x IS NOT NULL)), ',')"
+    most = "greatest(0, " + ", ".join(f"CASE WHEN {h} THEN {n} ELSE 0 END" for h, n in zip(has, size)) + ")"
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS j, {places} FROM d),
+a AS (SELECT *, list_concat(list_concat(p0, p1), p2) AS starts, {most} AS m, {named(range(len(base)))} AS base_labels, {named(range(len(has)))} AS labels FROM p)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word,
+ base_labels, labels, CAST(m AS DOUBLE) / (m + 2) AS score FROM a"""
+
+
+@query(_license_sql())
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(license_scan.license_matches(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+# CRC-32 by its rule: 256 table entries from eight steps each, then one step per byte, once per distinct word
+_CRC_SQL = """t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS table_ FROM range(256) r(i)),
+f AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT)),
+  lambda c, b: xor(c // 256, table_[1 + xor(c % 256, b)])), 4294967295) % 10000 AS bucket FROM f, t)"""
+_LOW_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(f"""WITH dw AS (SELECT doc_id, unnest({_LOW_WORDS}) AS w FROM documents), bw AS (SELECT unnest({_LOW_WORDS}) AS w FROM benchmark),
+{_CRC_SQL},
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN crc USING (w) GROUP BY bucket), b AS (SELECT bucket, count(*) AS t FROM bw JOIN crc USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS ss, (SELECT count(*) FROM bw)::DOUBLE AS tt),
+g AS (SELECT i AS bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (tt + 10000)))) AS BIGINT) AS gain
+  FROM range(10000) r(i) LEFT JOIN s ON s.bucket = i LEFT JOIN b ON b.bucket = i, n),
+d AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN crc USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+a AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN d USING (doc_id)),
+c AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM a),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM c LEFT JOIN r USING (doc_id)""")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    return importance.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
