@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.layout import CHUNK_ROWS, CHUNKS, quantile_marks, settle
+from panelspark.llm.minhash import let
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BUCKETS = 10_000
@@ -35,12 +36,16 @@ def bucket(feature: Column, buckets: int) -> Column:
 
 
 def runs(words: Column, ngrams: int, buckets: int) -> Column:
-    """Buckets of all runs of 1 to ``ngrams`` consecutive words."""
-    per_length = [F.transform(words, lambda w: bucket(w, buckets))]
-    for n in range(2, ngrams + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        per_length.append(F.transform(starts, lambda i: bucket(F.array_join(F.slice(words, i, n), " "), buckets)))
-    return F.concat(*per_length)
+    """Buckets of all runs of 1 to ``ngrams`` consecutive words; the words are found once, not once per run."""
+
+    def found(words: Column) -> Column:
+        per_length = [F.transform(words, lambda w: bucket(w, buckets))]
+        for n in range(2, ngrams + 1):
+            starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+            per_length.append(F.transform(starts, lambda i: bucket(F.array_join(F.slice(words, i, n), " "), buckets)))
+        return F.concat(*per_length)
+
+    return let(words, found)
 
 
 def reaching_runs(text: Column, ngrams: int, buckets: int) -> Column:
@@ -53,20 +58,27 @@ def reaching_runs(text: Column, ngrams: int, buckets: int) -> Column:
         return F.array().cast("array<int>")
 
     def ends(words: Column, line: Column) -> Column:
-        n = F.size(words)
         place = lambda w, i: F.struct(w.alias("w"), line.alias("line"), i.alias("i"))
-        return F.filter(F.transform(words, place), lambda p: (p["i"] < edge) | (p["i"] >= n - edge))
-
-    outer = F.flatten(F.transform(text_lines(text), lambda line, k: ends(lower_words(line), k)))
-
-    def found(n: int) -> Column:
-        starts = F.when(F.size(outer) >= n, F.sequence(F.lit(1), F.size(outer) - n + 1)).otherwise(F.array().cast("array<int>"))
-        some = F.filter(F.transform(starts, lambda i: F.slice(outer, i, n)), lambda run: F.get(run, F.lit(0))["line"] < F.get(run, F.lit(n - 1))["line"])
-        # a run in one line is not consecutive where the middle of the line is cut out, so both places in a line must follow each other
-        whole = F.filter(some, lambda run: F.forall(F.sequence(F.lit(1), F.lit(n - 1)), lambda j: (F.get(run, j)["line"] > F.get(run, j - 1)["line"]) | (F.get(run, j)["i"] == F.get(run, j - 1)["i"] + 1)))
-        return F.transform(whole, lambda run: bucket(F.array_join(F.transform(run, lambda p: p["w"]), " "), buckets))
-
-    return F.concat(*[found(n) for n in range(2, ngrams + 1)])
+        return F.filter(F.transform(words, place), lambda p: (p["i"] < edge) | (p["i"] >= F.size(words) - edge))
+
+    def follows(p: Column, after: Column) -> Column:
+        # where the middle of a line is cut out, its ends do not follow each other
+        return (after["line"] > p["line"]) | (after["i"] == p["i"] + 1)
+
+    def found(outer: Column) -> Column:
+        per_length = []
+        for n in range(2, ngrams + 1):
+            starts = F.when(F.size(outer) >= n, F.sequence(F.lit(1), F.size(outer) - n + 1)).otherwise(F.array().cast("array<int>"))
+            some = F.transform(starts, lambda i: F.slice(outer, i, n))
+            at = lambda run, j: F.get(run, F.lit(j))
+            some = F.filter(some, lambda run: at(run, 0)["line"] < at(run, n - 1)["line"])
+            for j in range(1, n):
+                some = F.filter(some, lambda run: follows(at(run, j - 1), at(run, j)))
+            per_length.append(F.transform(some, lambda run: bucket(F.array_join(F.transform(run, lambda p: p["w"]), " "), buckets)))
+        return F.concat(*per_length)
+
+    lines = F.transform(text_lines(text), lambda line, k: let(lower_words(line), lambda words: ends(words, k)))
+    return let(F.flatten(lines), found)
 
 
 def _keys(of: Column, names: tuple[str, str]) -> list[Column]:

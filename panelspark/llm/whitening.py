@@ -212,9 +212,9 @@ def sound_vectors(embeddings: DataFrame) -> DataFrame:
     Entries beyond 2^55, whose whole number has no exact place in a long, are taken for non-finite.
     """
     c = F.col("embedding").cast("array<double>")
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), c.alias("c")).filter(
-        (F.size("c") > 0) & F.forall("c", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float(1 << 55))))
-    )
+    sound = (F.size(c) > 0) & F.forall(c, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float(1 << 55))))
+    # NULL where unsound: the optimizer may ask for a row's numbers before it is filtered
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound, c).alias("c")).filter("c IS NOT NULL")
     return rows.select("vec_id", F.size("c").alias("dim"), F.transform("c", lambda e: F.floor(e * SCALE).cast("long") + OFFSET).alias("x"))
 
 

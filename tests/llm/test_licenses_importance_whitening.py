@@ -145,7 +145,7 @@ def test_importance_resampling(spark, docs, none, monkeypatch, ngrams, buckets,
     some = [" ".join(rng.choice(["alpha", "Beta", "gamma\n", "\n", "delta\n\nx", "é", "7"], rng.integers(0, 60))) for _ in range(60)]
     made = [(2000 + i, t) for i, t in enumerate(some)] + [(2003, some[3])] * 7 + [(None, some[5])] * 9
     more = spark.createDataFrame(made, "doc_id long, text string")
-    table = docs.select("doc_id", "text", "source", "row", "size").unionByName(more, allowMissingColumns=True).withColumns({"rows": docs["source"], "line": docs["row"]} if False else {})
+    table = docs.select("doc_id", "text", "source", "row", "size").unionByName(more, allowMissingColumns=True).selectExpr("*", "source AS rows", "row AS line", "size AS weight")
     rows = [(r.doc_id, r.text) for r in table.collect()]
     target = [None, "", "alpha beta\ngamma", "é é 7\n\n7 delta"] + some[:3]
     got = importance.resample(
