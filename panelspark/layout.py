@@ -103,34 +103,44 @@ def quantile_marks(value: str, chunks: int) -> Column:
     return F.percentile_approx(value, F.array(*[F.lit(i / chunks) for i in range(1, chunks)]), chunks * 4)
 
 
+def with_chunks(rows: DataFrame, keys: Sequence[str], cut_on: str, chunks: int, chunk_rows: int, *sums: Column) -> DataFrame:
+    """Attach ``_size`` (rows of the group), ``sums`` (aggregates of it) and ``_chunk``, and deal the rows by (keys, chunk).
+
+    Sizes are one plain aggregate. Only groups above ``chunk_rows`` meet a quantile sketch and are cut along ``cut_on``; all others
+    go through as chunk 0. Where no group is that large, the sketch has no input.
+    """
+    keys = list(keys)
+    sized = rows.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), *sums), keys)
+    large = sized.filter(F.col("_size") > chunk_rows).groupBy(*keys).agg(F.max("_size").alias("_n"), quantile_marks(cut_on, chunks).alias("_marks"))
+    cuts = large.select(*keys, cuts_of(F.col("_n"), F.col("_marks"), chunks, chunk_rows).alias("_cuts"))
+    split = sized.join(cuts, keys, "left").withColumn("_chunk", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col(cut_on))), F.lit(0))).drop("_cuts")
+    return split.withColumn("_chunk", F.when(F.col("_size") > chunk_rows, F.col("_chunk")).otherwise(0)).repartition(*keys, "_chunk")
+
+
+def _chunk_offsets(chunked: DataFrame, keys: Sequence[str], total: Column, chunk_rows: int) -> DataFrame:
+    """(keys, _chunk, _offset): what earlier chunks of a large group hold. Groups of one chunk have no row."""
+    tops = chunked.groupBy(*keys, "_chunk").agg(total.alias("_sum"), F.max("_size").alias("_size")).filter(F.col("_size") > chunk_rows)
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return tops.select(*keys, "_chunk", F.sum("_sum").over(earlier).alias("_offset"))
+
+
 def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, *, chunks: int = CHUNKS, chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, *, chunks: int = CHUNKS, chunk_rows: int = CHUNK_ROWS, copies: str | None = None
 ) -> DataFrame:
     """One row per (keys, distinct value): ``copies``, ``below`` (rows with a smaller value) and ``total``.
 
-    Equal values are counted before anything is sorted. Each group is cut at approximate quantiles into as many chunks as its
-    number of distinct values asks for, and only chunk totals are ordered per group, so no task ever holds a whole hot group.
+    A row stands for itself, or for as many as its column ``copies`` says.
+    Equal values are counted before anything is sorted. A group with more distinct values than ``chunk_rows`` is cut at approximate
+    quantiles, and only chunk totals are ordered per group, so no task ever holds a whole hot group.
     """
     keys = list(keys)
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
-    cuts = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"), F.sum("copies").alias("total"), quantile_marks(value, chunks).alias("_cuts"))
-    cuts = cuts.select(*keys, "total", cuts_of(F.col("_distinct"), F.col("_cuts"), chunks, chunk_rows).alias("_cuts"))
-    split = hist.join(cuts, keys).withColumn("_chunk", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))).drop("_cuts")
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(copies) if copies else F.count(F.lit(1))).alias("copies"))
+    split = with_chunks(hist, keys, value, chunks, chunk_rows, F.sum("copies").alias("total"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = split.withColumn("_inside", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-    # Taken from the ranked rows with the same columns, so Spark reuses their shuffle instead of repeating it.
-    tops = ranked.groupBy(*keys, "_chunk").agg(F.max(F.col("_inside") + F.col("copies")).alias("_rows"), F.max("total").alias("_total"))
-    offsets = tops.filter(F.col("_total") > 0).drop("_total").withColumn(
-        "_offset",
-        F.coalesce(
-            F.sum("_rows").over(
-                Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    ).drop("_rows")
-    return ranked.join(offsets, [*keys, "_chunk"]).select(
-        *keys, value, "copies", (F.col("_offset") + F.col("_inside")).alias("below"), "total"
+    offsets = _chunk_offsets(split, keys, F.sum("copies"), chunk_rows)
+    return ranked.join(offsets, [*keys, "_chunk"], "left").select(
+        *keys, value, "copies", (F.coalesce("_offset", F.lit(0)) + F.col("_inside")).alias("below"), "total"
     )
 
 
@@ -142,10 +152,10 @@ def with_ranks(df: DataFrame, keys: Sequence[str], value: str, *, chunk_rows: in
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], *, chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], *, chunk_rows: int = CHUNK_ROWS, copies: str | None = None
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, read off the chunked value histogram; NULL values are skipped."""
-    ranks = value_ranks(df, keys, value, chunk_rows=chunk_rows)
+    ranks = value_ranks(df, keys, value, chunk_rows=chunk_rows, copies=copies)
     aggs = []
     for name, q in quantiles.items():
         place = (F.col("total") - 1) * F.lit(q)
@@ -177,24 +187,15 @@ def running_total(
 ) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the group, ordered by ``order`` whose first column is ``cut_on``.
 
-    Each group is cut along ``cut_on`` into as many chunks as its rows ask for; each chunk is summed by its own task and the
-    chunk totals carry over.
+    A group above ``chunk_rows`` is cut along ``cut_on``; each chunk is summed by its own task and the chunk totals carry over.
     """
     keys = list(keys)
-    cuts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), quantile_marks(cut_on, chunks).alias("_cuts"))
-    cuts = cuts.select(*keys, cuts_of(F.col("_n"), F.col("_cuts"), chunks, chunk_rows).alias("_cuts"))
-    split = df.withColumn("_value", value).join(cuts, keys).withColumn("_chunk", F.size(F.filter("_cuts", lambda cut: cut < F.col(cut_on)))).drop("_cuts")
+    split = with_chunks(df.withColumn("_value", value), keys, cut_on, chunks, chunk_rows)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = split.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_sum")).withColumn(
-        "_offset",
-        F.coalesce(
-            F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0.0),
-        ),
-    ).drop("_sum")
+    offsets = _chunk_offsets(split, keys, F.sum("_value"), chunk_rows)
     return (
         split.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0.0)))
-        .join(offsets, [*keys, "_chunk"])
-        .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .drop("_chunk", "_value", "_inside", "_offset")
+        .join(offsets, [*keys, "_chunk"], "left")
+        .withColumn(out, F.coalesce("_offset", F.lit(0.0)) + F.col("_inside"))
+        .drop("_chunk", "_value", "_inside", "_offset", "_size")
     )

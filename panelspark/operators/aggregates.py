@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import ratio
-from panelspark.layout import group_quantiles, running_total
+from panelspark.layout import group_quantiles
 from panelspark.operators.panel import order_key
 
 TAKER_PREMIUM = 0.0002
@@ -85,27 +85,42 @@ def estimate_fill(ticks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def book_walk_impact(
-    ticks: DataFrame, keys: Sequence[str], order: Sequence[str], fraction: float = PROBE_FRACTION
+    ticks: DataFrame, keys: Sequence[str], order: Sequence[str], fraction: float = PROBE_FRACTION, bucket: Column | None = None
 ) -> DataFrame:
     """Impact coefficient per bar: walk trades from the open until ``fraction`` of the bar's value is consumed.
 
-    The running value before each trade comes from ``running_total``, so a bar with billions of trades is cut into
-    chunks; only trades before the target take part, the last one partially.
+    A walk of two levels. One aggregate sums value and quantity per (bar, ``bucket``); running sums over the buckets find the one in
+    which the target is reached, and only its trades are put in order, the last one partially taken. ``bucket`` must not fall along
+    ``order``; by default it is the second of a time stamp, so a day has at most 86,400 of them however many trades it has. Other
+    orders need one of their own; without it a bar is one bucket. Trades without price or quantity have no value.
     """
+    keys = list(keys)
+    if bucket is None:
+        bucket = F.unix_seconds(order[0]) if ticks.schema[order[0]].dataType.typeName() == "timestamp" else F.lit(0).cast("long")
     value = F.col("price") * F.col("quantity")
-    bar = ticks.groupBy(*keys).agg(
-        F.sum(value).alias("_bar"), F.min_by("price", order_key(order)).alias("_first")
+    marked = ticks.select(*keys, *order, "price", value.alias("_v"), bucket.alias("_bucket"))
+    buckets = marked.groupBy(*keys, "_bucket").agg(
+        F.sum("_v").alias("_v"), F.sum(ratio("_v", "price")).alias("_q"), F.min_by("price", order_key(order)).alias("_p")
     )
-    walked = running_total(ticks, keys, order, order[0], value, "_before").join(bar, list(keys))
-    target = F.col("_bar") * F.lit(fraction)
-    taken = F.when(
-        (F.col("_before") < target) & (F.col("_bar") > 0), F.least(F.col("price") * F.col("quantity"), target - F.col("_before"))
+    along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = buckets.withColumns({
+        "_before": F.coalesce(F.sum("_v").over(along), F.lit(0.0)), "_target": F.sum("_v").over(Window.partitionBy(*keys)) * F.lit(fraction)
+    })
+    upto = F.col("_before") + F.coalesce("_v", F.lit(0.0))
+    reached = (F.col("_before") < F.col("_target")) & (upto >= F.col("_target"))
+    whole = upto < F.col("_target")
+    bars = placed.groupBy(*keys).agg(
+        F.sum(F.when(whole, F.col("_v"))).alias("_whole_v"), F.sum(F.when(whole, F.col("_q"))).alias("_whole_q"), F.min_by("_p", "_bucket").alias("_first"),
+        F.max("_target").alias("_target"), F.max(F.when(reached, F.col("_bucket"))).alias("_bucket"), F.max(F.when(reached, F.col("_before"))).alias("_before"),
     )
-    used = walked.groupBy(*keys).agg(
-        F.sum(taken).alias("_value"), F.sum(ratio(taken, "price")).alias("_qty"), F.first("_first").alias("_first")
-    )
-    slip = ratio(F.abs(ratio("_value", "_qty") - F.col("_first")), "_first")
-    return used.select(*keys, F.coalesce(slip / F.lit(fraction**2), F.lit(0.0)).alias("impact"))
+    last = marked.join(bars.select(*keys, "_bucket", "_before", "_target"), [*keys, "_bucket"]).filter(F.col("_v").isNotNull())
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_target") - F.col("_before") - F.coalesce(F.sum("_v").over(inside), F.lit(0.0))
+    taken = last.select(*keys, "price", F.least("_v", left).alias("_taken")).filter(F.col("_taken") > 0)
+    tail = taken.groupBy(*keys).agg(F.sum("_taken").alias("_tail_v"), F.sum(ratio("_taken", "price")).alias("_tail_q"))
+    total = lambda c: F.coalesce(f"_whole_{c}", F.lit(0.0)) + F.coalesce(f"_tail_{c}", F.lit(0.0))
+    slip = ratio(F.abs(ratio(total("v"), total("q")) - F.col("_first")), "_first")
+    return bars.join(tail, keys, "left").select(*keys, F.coalesce(slip / F.lit(fraction**2), F.lit(0.0)).alias("impact"))
 
 
 def calibrate_costs(per_bar: DataFrame, tiers: DataFrame, premium: float = TAKER_PREMIUM) -> DataFrame:

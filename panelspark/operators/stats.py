@@ -77,9 +77,11 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
 def rank_ic(scored: DataFrame, pred: str = "pred", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """Spearman correlation of prediction and label per date; dates with one pair are skipped."""
     by = [*keys, "date"]
-    pairs = scored.filter(F.col(pred).isNotNull() & F.col(label).isNotNull()).select(*by, "instrument", pred, label)
-    ranked = average_ranks(pairs, by, pred, "_rp").join(
-        average_ranks(pairs, by, label, "_rl").select(*by, "instrument", "_rl"), [*by, "instrument"]
+    pairs = scored.filter(F.col(pred).isNotNull() & F.col(label).isNotNull()).select(*by, "instrument", F.col(pred).cast("double").alias("_p"), F.col(label).cast("double").alias("_l"))
+    # both ranks in one tall pass: which of the two a value is belongs to the group
+    tall = pairs.select(*by, "instrument", F.explode(F.array(F.struct(F.lit(0).alias("_w"), F.col("_p").alias("_x")), F.struct(F.lit(1).alias("_w"), F.col("_l").alias("_x")))).alias("_e")).select(*by, "instrument", "_e.*")
+    ranked = average_ranks(tall, [*by, "_w"], "_x", "_r").groupBy(*by, "instrument").agg(
+        F.max(F.when(F.col("_w") == 0, F.col("_r"))).alias("_rp"), F.max(F.when(F.col("_w") == 1, F.col("_r"))).alias("_rl")
     )
     daily = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), pearson("_rp", "_rl").alias("ic")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import expected_max_normal, pearson, ratio, two_sided_p
-from panelspark.layout import group_quantiles, group_stats, settle, trailing
+from panelspark.layout import BLOCK_ROWS, group_quantiles, group_stats, settle, trailing
 from panelspark.operators.ranking import best_cell
 from panelspark.operators.windows import forward_sum, log_return, roll_sum
 from panelspark.plans.resampling import bootstrap_ci
@@ -79,16 +79,23 @@ def lagged_sums(panel: DataFrame, ks: Sequence[int], hs: Sequence[int], keys: Se
     return trailing(panel, max(ks), body, ahead=max(hs), keys=keys, pos="step", seconds=0).drop("r")
 
 
-def observations(
+def wide_observations(
     panel: DataFrame, predictors: Sequence[str], ks: Sequence[int], hs: Sequence[int], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Pooled rows (cell, symbol, ts, pred, own, fwd) of every target against every predictor."""
+    """(keys, predictor, symbol, ts, step, pred_k…, past_k…, fwd_h…): every target against every predictor, the grid as columns."""
     keys = list(keys)
     sums = lagged_sums(panel, ks, hs, [*keys, "symbol"])
     pred = sums.filter(F.col("symbol").isin(*predictors)).select(
         *keys, F.col("symbol").alias("predictor"), "step", *[F.col(f"past_{k}").alias(f"pred_{k}") for k in ks]
     )
-    both = sums.join(pred, [*keys, "step"]).filter(F.col("symbol") != F.col("predictor"))
+    return sums.join(pred, [*keys, "step"]).filter(F.col("symbol") != F.col("predictor"))
+
+
+def observations(
+    panel: DataFrame, predictors: Sequence[str], ks: Sequence[int], hs: Sequence[int], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Pooled rows (cell, symbol, ts, pred, own, fwd) of every target against every predictor."""
+    keys = list(keys)
     cells = F.array(
         *[
             F.struct(
@@ -98,11 +105,99 @@ def observations(
             for k in ks for h in hs
         ]
     )
-    return both.select(*keys, "predictor", "symbol", "ts", "step", F.explode(cells).alias("_c")).select(
+    return wide_observations(panel, predictors, ks, hs, keys).select(*keys, "predictor", "symbol", "ts", "step", F.explode(cells).alias("_c")).select(
         *keys, "predictor", "_c.k", "_c.h", "symbol", "ts", "step", "_c.pred", "_c.own", "_c.fwd"
     )
 
 
+def _per_cell(ks: Sequence[int], hs: Sequence[int], columns) -> Column:
+    """One struct (k, h, …) per cell of the grid; ``columns(k, h)`` names its columns."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(h).alias("h"), *[c.alias(n) for n, c in columns(k, h).items()]) for k in ks for h in hs])
+
+
+def _triple(k: int, h: int) -> tuple[Column, Column, Column, Column]:
+    """Predictor, own past, forward return, and whether all three are there."""
+    p, o, f = F.col(f"pred_{k}"), F.col(f"past_{k}"), F.col(f"fwd_{h}")
+    return p, o, f, p.isNotNull() & o.isNotNull() & f.isNotNull()
+
+
+def moment_cube(wide: DataFrame, ks: Sequence[int], hs: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, predictor, symbol, k, h) with counts and sums of products of complete rows, all cells from one aggregate of the wide rows.
+
+    ``pairs`` counts rows that have predictor and forward return. The result has one row per cell and symbol, whatever the length of
+    the series.
+    """
+    products = {"p": "p", "o": "o", "f": "f", "pp": "pp", "po": "po", "oo": "oo", "pf": "pf", "of": "of", "ff": "ff"}
+    aggs = []
+    for k in ks:
+        for h in hs:
+            p, o, f, full = _triple(k, h)
+            value = {"p": p, "o": o, "f": f}
+            aggs += [F.count_if(full).alias(f"n_{k}_{h}"), F.count_if(p.isNotNull() & f.isNotNull()).alias(f"pairs_{k}_{h}")]
+            for name in products:
+                term = value[name[0]] if len(name) == 1 else value[name[0]] * value[name[1]]
+                aggs.append(F.sum(F.when(full, term)).alias(f"s{name}_{k}_{h}"))
+    sums = wide.groupBy(*keys, "predictor", "symbol").agg(*aggs)
+    named = _per_cell(ks, hs, lambda k, h: {n: F.col(f"{n}_{k}_{h}") for n in ("n", "pairs", *[f"s{x}" for x in products])})
+    return sums.select(*keys, "predictor", "symbol", F.explode(named).alias("_c")).select(*keys, "predictor", "symbol", "_c.*")
+
+
+def cube_ols(cube: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
+    """``pooled_ols`` with symbol means removed, from the cube's sums alone; ``ee`` is the residual sum of squares."""
+    inside = lambda xy, x, y: F.sum(F.col(f"s{xy}") - F.col(f"s{x}") * F.col(f"s{y}") / F.col("n"))
+    sums = cube.filter("n > 0").groupBy(*keys).agg(
+        F.sum("n").alias("n_obs"), inside("pp", "p", "p").alias("a11"), inside("po", "p", "o").alias("a12"), inside("oo", "o", "o").alias("a22"),
+        inside("pf", "p", "f").alias("b1"), inside("of", "o", "f").alias("b2"), inside("ff", "f", "f").alias("yy"),
+    )
+    return _solved(sums, keys, ee=F.col("yy") - F.col("beta") * F.col("b1") - F.col("gamma") * F.col("b2"))
+
+
+def wide_scores(wide: DataFrame, cube: DataFrame, fit: DataFrame, ks: Sequence[int], hs: Sequence[int]) -> DataFrame:
+    """Wide rows with the centred forward return ``y_k_h`` and the scores ``s1_k_h``, ``s2_k_h`` of every cell; NULL where incomplete.
+
+    Means, betas and pair counts travel as one row per (predictor, symbol).
+    """
+    params = cube.join(fit.select(*CELL, "beta", "gamma"), list(CELL)).filter("n > 0 OR pairs > 0")
+    here = lambda k, h, c: F.max(F.when((F.col("k") == k) & (F.col("h") == h), c))
+    n = F.nullif(F.col("n"), F.lit(0))
+    table = params.groupBy("predictor", "symbol").agg(*[
+        here(k, h, c).alias(f"{name}_{k}_{h}") for k in ks for h in hs
+        for name, c in {"mp": F.col("sp") / n, "mo": F.col("so") / n, "mf": F.col("sf") / n, "beta": F.col("beta"), "gamma": F.col("gamma"), "pairs": F.col("pairs")}.items()
+    ])
+    joined = wide.join(table, ["predictor", "symbol"])
+    out, seen = {}, []
+    for k in ks:
+        for h in hs:
+            p, o, f, full = _triple(k, h)
+            at = lambda name, k=k, h=h: F.col(f"{name}_{k}_{h}")
+            x1, x2, y = p - at("mp"), o - at("mo"), f - at("mf")
+            e = y - at("beta") * x1 - at("gamma") * x2
+            out |= {f"y_{k}_{h}": F.when(full, y), f"s1_{k}_{h}": F.when(full, x1 * e), f"s2_{k}_{h}": F.when(full, x2 * e)}
+            seen.append(f"pairs_{k}_{h}")
+    names = [*[f"pred_{k}" for k in ks], *[f"fwd_{h}" for h in hs], *seen]
+    return joined.select("predictor", "symbol", "ts", "step", *names, *[c.alias(name) for name, c in out.items()])
+
+
+def hourly_cells(scored: DataFrame, ks: Sequence[int], hs: Sequence[int]) -> DataFrame:
+    """One row per (cell, ts): sums over the targets that clustering, IC and decile spread need, from one aggregate of the wide rows.
+
+    ``n``, ``sy``: complete rows and their signs of y; ``g``, ``g1``, ``g2``: rows with scores and their sums; ``m10``, ``f10`` and ``m20``, ``f20``:
+    pairs and their forward returns of symbols with at least ten and twenty pairs.
+    """
+    aggs = [F.max(f"pred_{k}").alias(f"pred_{k}") for k in ks]
+    for k in ks:
+        for h in hs:
+            c = lambda name, k=k, h=h: F.col(f"{name}_{k}_{h}")
+            pair = F.col(f"pred_{k}").isNotNull() & F.col(f"fwd_{h}").isNotNull()
+            aggs += [F.count(c("y")).alias(f"n_{k}_{h}"), F.sum(F.signum(c("y"))).alias(f"sy_{k}_{h}"), F.count(c("s1")).alias(f"g_{k}_{h}"), F.sum(c("s1")).alias(f"g1_{k}_{h}"), F.sum(c("s2")).alias(f"g2_{k}_{h}")]
+            for least in (10, 20):
+                use = pair & (c("pairs") >= least)
+                aggs += [F.count_if(use).alias(f"m{least}_{k}_{h}"), F.sum(F.when(use, F.col(f"fwd_{h}"))).alias(f"f{least}_{k}_{h}")]
+    wide = scored.groupBy("predictor", "ts").agg(*aggs)
+    cells = _per_cell(ks, hs, lambda k, h: {"pred": F.col(f"pred_{k}")} | {n: F.col(f"{n}_{k}_{h}") for n in ("n", "sy", "g", "g1", "g2", "m10", "f10", "m20", "f20")})
+    return wide.select("predictor", "ts", F.explode(cells).alias("_c")).select("predictor", "ts", "_c.*")
+
+
 def demeaned(obs: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     """Complete rows with per-symbol means removed (fixed effects); the raw predictor stays as ``pred``."""
     full = obs.filter(F.col("pred").isNotNull() & F.col("own").isNotNull() & F.col("fwd").isNotNull())
@@ -119,15 +214,19 @@ def pooled_ols(rows: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
         F.count(F.lit(1)).alias("n_obs"), F.sum(x1 * x1).alias("a11"), F.sum(x1 * x2).alias("a12"),
         F.sum(x2 * x2).alias("a22"), F.sum(x1 * y).alias("b1"), F.sum(x2 * y).alias("b2"),
     )
+    return _solved(sums, keys)
+
+
+def _solved(sums: DataFrame, keys: Sequence[str], **more: Column) -> DataFrame:
+    """Solution and inverse of the two-variable normal equations in a11, a12, a22, b1, b2; ``more`` may use beta and gamma."""
     det = F.col("a11") * F.col("a22") - F.col("a12") * F.col("a12")
     ok = (F.col("n_obs") >= MIN_OBSERVATIONS) & (det > 0)
     over = lambda v: F.when(ok, v / F.nullif(det, F.lit(0.0)))
-    return sums.select(
-        *keys, "n_obs",
-        over(F.col("a22") * F.col("b1") - F.col("a12") * F.col("b2")).alias("beta"),
-        over(F.col("a11") * F.col("b2") - F.col("a12") * F.col("b1")).alias("gamma"),
-        over(F.col("a22")).alias("i11"), over(-F.col("a12")).alias("i12"), over(F.col("a11")).alias("i22"),
-    )
+    solved = sums.withColumns({
+        "beta": over(F.col("a22") * F.col("b1") - F.col("a12") * F.col("b2")), "gamma": over(F.col("a11") * F.col("b2") - F.col("a12") * F.col("b1")),
+        "i11": over(F.col("a22")), "i12": over(-F.col("a12")), "i22": over(F.col("a11")),
+    })
+    return solved.select(*keys, "n_obs", "beta", "gamma", "i11", "i12", "i22", *[c.alias(n) for n, c in more.items()])
 
 
 def _sandwich(m11: Column, m12: Column, m22: Column) -> Column:
@@ -145,7 +244,10 @@ def scores(rows: DataFrame, fit: DataFrame, keys: Sequence[str] = CELL) -> DataF
 
 def clustered_variance(scored: DataFrame, fit: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     """Variance of beta clustered by timestamp, with the G/(G-1) * (n-1)/(n-p) correction."""
-    per_ts = scored.groupBy(*keys, "ts").agg(F.sum("s1").alias("g1"), F.sum("s2").alias("g2"))
+    return _clustered(scored.groupBy(*keys, "ts").agg(F.sum("s1").alias("g1"), F.sum("s2").alias("g2")), fit, keys)
+
+
+def _clustered(per_ts: DataFrame, fit: DataFrame, keys: Sequence[str]) -> DataFrame:
     g1, g2 = F.col("g1"), F.col("g2")
     meat = per_ts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_g"), F.sum(g1 * g1).alias("m11"), F.sum(g1 * g2).alias("m12"), F.sum(g2 * g2).alias("m22")
@@ -155,62 +257,102 @@ def clustered_variance(scored: DataFrame, fit: DataFrame, keys: Sequence[str] =
 
 
 def newey_west_variance(
-    scored: DataFrame, fit: DataFrame, hs: Sequence[int], keys: Sequence[str] = CELL, stacked: bool = False
+    scored: DataFrame, fit: DataFrame, hs: Sequence[int], keys: Sequence[str] = CELL, stacked: bool = False, *, block: int = BLOCK_ROWS
 ) -> DataFrame:
     """Bartlett-weighted variance of beta with h - 1 lags; h = 1 is the classic residual variance.
 
-    Lags run inside each symbol. ``stacked=True`` adds the pairs that cross from one symbol's last rows to the next
-    symbol's first rows, as a lag over the concatenated rows would; those are at most h - 1 rows per symbol edge.
+    Lags run inside each symbol, over its complete rows. Products of lags are summed in blocks of ``block`` steps, and the last and
+    first h - 1 rows of the blocks, numbered through, give the pairs across an edge; so no task sees a whole series.
+    ``stacked=True`` adds the pairs that cross from one symbol's last rows to the next symbol's first rows, as a lag over the
+    concatenated rows would.
     """
+    keys = list(keys)
     reach = max(hs) - 1
-    w = Window.partitionBy(*keys, "symbol").orderBy("step")
+    parts = [*keys, "symbol", "_seg"]
+    cut = scored.withColumn("_seg", F.floor(F.col("step") / F.lit(block)))
+    w, whole = Window.partitionBy(*parts).orderBy("step"), Window.partitionBy(*parts)
     lags = range(1, reach + 1)
     weight = lambda l: F.greatest(1 - F.lit(float(l)) / F.col("h"), F.lit(0.0))
-    lagged = scored.withColumns({f"_{s}_{l}": F.lag(s, l).over(w) for s in ("s1", "s2") for l in lags})
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    s1, s2 = F.col("s1"), F.col("s2")
-    meat = [s1 * s1, s1 * s2, s2 * s2]
-    for l in lags:
-        p1, p2 = zero(F.col(f"_s1_{l}")), zero(F.col(f"_s2_{l}"))
-        meat = [meat[0] + weight(l) * 2 * s1 * p1, meat[1] + weight(l) * (s1 * p2 + s2 * p1), meat[2] + weight(l) * 2 * s2 * p2]
-    sums = lagged.groupBy(*keys).agg(
-        F.sum(meat[0]).alias("m11"), F.sum(meat[1]).alias("m12"), F.sum(meat[2]).alias("m22"), F.sum(F.col("e") * F.col("e")).alias("ee")
+    lagged = cut.withColumns(
+        {f"_{s}_{l}": F.lag(s, l).over(w) for s in ("s1", "s2") for l in lags} | {"_a": F.row_number().over(w), "_n": F.count(F.lit(1)).over(whole)}
     )
-    if stacked and reach:
-        cross = _boundary_meat(scored, reach, keys, weight)
-        sums = sums.join(cross, list(keys), "left").select(
-            *keys, "ee", *[(F.col(m) + zero(F.col(f"c{m[1:]}"))).alias(m) for m in ("m11", "m12", "m22")]
-        )
+    meat = _lag_products(F.col("s1"), F.col("s2"), [(weight(l), F.col(f"_s1_{l}"), F.col(f"_s2_{l}")) for l in lags])
+    sums = lagged.groupBy(*keys).agg(*[F.sum(m).alias(n) for n, m in meat.items()], F.sum(F.col("e") * F.col("e")).alias("ee"))
+    if reach:
+        edges = lagged.filter((F.col("_a") <= reach) | (F.col("_n") - F.col("_a") < reach)).select(*parts, "_a", "_n", "s1", "s2")
+        sums = _with_edges(sums, edges, reach, keys, stacked)
+    return _hac(fit.drop("ee").join(sums, keys), keys)
+
+
+def _lag_products(s1: Column, s2: Column, lags: Sequence[tuple[Column, Column, Column]]) -> dict[str, Column]:
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    m11, m12, m22 = s1 * s1, s1 * s2, s2 * s2
+    for weight, p1, p2 in lags:
+        m11, m12, m22 = m11 + weight * 2 * s1 * zero(p1), m12 + weight * (s1 * zero(p2) + s2 * zero(p1)), m22 + weight * 2 * s2 * zero(p2)
+    return {"m11": m11, "m12": m12, "m22": m22}
+
+
+def _hac(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     classic = F.try_divide(F.col("ee"), F.greatest(F.col("n_obs") - 2, F.lit(1))) * F.col("i11")
     robust = _sandwich(F.col("m11"), F.col("m12"), F.col("m22"))
-    return fit.join(sums, list(keys)).select(*keys, F.when(F.col("h") == 1, classic).otherwise(robust).alias("var_hac"))
+    return sums.select(*keys, F.when(F.col("h") == 1, classic).otherwise(robust).alias("var_hac"))
 
 
-def _boundary_meat(scored: DataFrame, reach: int, keys: Sequence[str], weight) -> DataFrame:
-    """Lag products between the tail of one symbol and the head of the following symbols in name order.
+def _with_edges(sums: DataFrame, edges: DataFrame, reach: int, keys: Sequence[str], stacked: bool) -> DataFrame:
+    """Add the lag products between rows of different blocks to ``m11``, ``m12``, ``m22``.
 
-    Only the first and last ``reach`` rows per symbol are kept, then lagged over the concatenation of these edges.
-    Pairs further apart than the edges allow cannot exist unless a symbol has fewer than ``reach`` rows, which the
-    row distance check covers because edges of such a symbol are the symbol itself.
+    ``edges``: (keys, symbol, _seg, _a, _n, s1, s2), the first and last ``reach`` rows of every block with their place and the block's
+    size. Numbered through in the order of symbol and block, rows at most ``reach`` apart pair up; a block of fewer rows is its own edge.
     """
-    up, down = Window.partitionBy(*keys, "symbol").orderBy("step"), Window.partitionBy(*keys, "symbol").orderBy(F.desc("step"))
-    edges = scored.withColumns({"_a": F.row_number().over(up), "_z": F.row_number().over(down)}).filter(
-        (F.col("_a") <= reach) | (F.col("_z") <= reach)
-    )
-    sizes = scored.groupBy(*keys, "symbol").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "symbol", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    placed = edges.join(starts, [*keys, "symbol"]).withColumn("_row", F.col("_start") + F.col("_a"))
+    sizes = edges.groupBy(*keys, "symbol", "_seg").agg(F.max("_n").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("symbol", "_seg").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    starts = sizes.select(*keys, "symbol", "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = edges.join(starts, [*keys, "symbol", "_seg"]).withColumn("_row", F.col("_start") + F.col("_a"))
     right = placed.select(
-        *keys, F.col("symbol").alias("_sym"), F.col("s1").alias("p1"), F.col("s2").alias("p2"),
+        *keys, F.col("symbol").alias("_sym"), F.col("_seg").alias("_oseg"), F.col("s1").alias("p1"), F.col("s2").alias("p2"),
         F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_l"), "_row",
     ).withColumn("_row", F.col("_row") + F.col("_l"))
-    pairs = placed.join(right, [*keys, "_row"]).filter(F.col("symbol") != F.col("_sym"))
+    same = F.col("symbol") == F.col("_sym")
+    apart = (same & (F.col("_seg") != F.col("_oseg"))) | (~same if stacked else F.lit(False))
+    pairs = placed.join(right, [*keys, "_row"]).filter(apart)
     wl = F.greatest(1 - F.col("_l") / F.col("h"), F.lit(0.0))
     s1, s2, p1, p2 = (F.col(c) for c in ("s1", "s2", "p1", "p2"))
-    return pairs.groupBy(*keys).agg(
+    cross = pairs.groupBy(*keys).agg(
         F.sum(wl * 2 * s1 * p1).alias("c11"), F.sum(wl * (s1 * p2 + s2 * p1)).alias("c12"), F.sum(wl * 2 * s2 * p2).alias("c22")
     )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    rest = [c for c in sums.columns if c not in (*keys, "m11", "m12", "m22")]
+    return sums.join(cross, list(keys), "left").select(*keys, *rest, *[(F.col(m) + zero(F.col(f"c{m[1:]}"))).alias(m) for m in ("m11", "m12", "m22")])
+
+
+def wide_newey_west(scored: DataFrame, fit: DataFrame, ks: Sequence[int], hs: Sequence[int], stacked: bool = False, *, block: int = BLOCK_ROWS) -> DataFrame:
+    """``newey_west_variance`` of all cells from the wide scores: lags skip the rows that a cell has not got, so no row is copied per cell.
+
+    ``fit`` carries the residual sums ``ee`` of ``cube_ols``.
+    """
+    reach = max(hs) - 1
+    parts = "predictor, symbol, _seg"
+    over = f"OVER (PARTITION BY {parts} ORDER BY step)"
+    cells = [(k, h) for k in ks for h in hs if h > 1]
+    if not cells:
+        return _hac(fit.withColumns({m: F.lit(0.0) for m in ("m11", "m12", "m22")}), CELL)
+    cut = scored.withColumn("_seg", F.floor(F.col("step") / F.lit(block)))
+    new = {f"{s}_{k}_{h}_{l}": F.expr(f"lag({s}_{k}_{h}, {l}) IGNORE NULLS {over}") for k, h in cells for s in ("s1", "s2") for l in range(1, h)}
+    new |= {f"a_{k}_{h}": F.expr(f"count(s1_{k}_{h}) {over}") for k, h in cells} | {f"z_{k}_{h}": F.expr(f"count(s1_{k}_{h}) OVER (PARTITION BY {parts})") for k, h in cells}
+    lagged = cut.withColumns(new)
+    aggs, each, edge = [], [], []
+    for k, h in cells:
+        c = lambda name, k=k, h=h: F.col(f"{name}_{k}_{h}")
+        meat = _lag_products(c("s1"), c("s2"), [(F.lit(1 - l / h), c("s1", k, f"{h}_{l}"), c("s2", k, f"{h}_{l}")) for l in range(1, h)])
+        aggs += [F.sum(m).alias(f"{n}_{k}_{h}") for n, m in meat.items()]
+        cell = [F.lit(k).alias("k"), F.lit(h).alias("h")]
+        each.append(F.struct(*cell, *[c(n).alias(n) for n in meat]))
+        outer = c("s1").isNotNull() & ((c("a") <= reach) | (c("z") - c("a") < reach))
+        edge.append(F.when(outer, F.struct(*cell, c("a").alias("_a"), c("z").alias("_n"), c("s1").alias("s1"), c("s2").alias("s2"))))
+    sums = lagged.groupBy("predictor").agg(*aggs).select("predictor", F.explode(F.array(*each)).alias("_c")).select("predictor", "_c.*")
+    edges = lagged.select("predictor", "symbol", "_seg", F.explode(F.array_compact(F.array(*edge))).alias("_c")).select("predictor", "symbol", "_seg", "_c.*")
+    full = _with_edges(sums, edges, reach, CELL, stacked)
+    return _hac(fit.join(full, list(CELL), "left"), CELL)
 
 
 def combined_test(fit: DataFrame, hac: DataFrame, cluster: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -231,6 +373,11 @@ def sign_ic(rows: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     return per_ts.groupBy(*keys).agg(F.avg(F.signum("_p") * F.col("_s")).alias("rank_ic"))
 
 
+def hourly_sign_ic(hourly: DataFrame) -> DataFrame:
+    """``sign_ic`` from the sums of ``hourly_cells``."""
+    return hourly.filter("n >= 2").groupBy(*CELL).agg(F.avg(F.signum("pred") * F.col("sy") / F.col("n")).alias("rank_ic"))
+
+
 def bh_fdr(cells: DataFrame, p: str = "p_value", order: Sequence[str] = CELL, out: str = "bh_q") -> DataFrame:
     """Benjamini-Hochberg q over one row per cell of a pre-registered grid."""
     n = cells.agg(F.count(F.lit(1))).scalar()
@@ -261,11 +408,20 @@ def decile_spread(obs: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     return means.select(*keys, (F.coalesce(F.col("_top") - F.col("_bottom"), F.lit(0.0)) * 1e4).alias("spread_bps"))
 
 
+def hourly_decile_spread(hourly: DataFrame) -> DataFrame:
+    """``decile_spread`` from the sums of ``hourly_cells``: a predictor value stands for all pairs of its hour."""
+    pairs = hourly.filter("m20 > 0 AND pred IS NOT NULL")
+    cuts = group_quantiles(pairs, CELL, "pred", {"_q10": 0.1, "_q90": 0.9}, copies="m20")
+    mean = lambda inside: F.try_divide(F.sum(F.when(inside, F.col("f20"))), F.sum(F.when(inside, F.col("m20"))))
+    means = pairs.join(cuts, list(CELL)).groupBy(*CELL).agg(mean(F.col("pred") >= F.col("_q90")).alias("_top"), mean(F.col("pred") <= F.col("_q10")).alias("_bottom"))
+    return means.select(*CELL, (F.coalesce(F.col("_top") - F.col("_bottom"), F.lit(0.0)) * 1e4).alias("spread_bps"))
+
+
 def per_year_beta(panel: DataFrame, predictors: Sequence[str], ks: Sequence[int], hs: Sequence[int]) -> DataFrame:
     """beta per cell and calendar year, windows restarting inside each year, plus the same-sign flag."""
     yearly = panel.withColumn("year", F.year("ts"))
     keys = (*CELL, "year")
-    fit = pooled_ols(demeaned(observations(yearly, predictors, ks, hs, ["year"]), keys), keys)
+    fit = cube_ols(moment_cube(wide_observations(yearly, predictors, ks, hs, ["year"]), ks, hs, ["year"]), keys)
     return fit.select(*keys, "n_obs", "beta")
 
 
@@ -275,10 +431,9 @@ def same_sign(yearly: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
 
 
 def nonoverlap_beta(panel: DataFrame, predictor: str, k: int, h: int) -> DataFrame:
-    """Beta at horizon 1 on every h-th timestamp of the panel."""
+    """Beta and p at horizon 1 on every h-th timestamp of the panel, where no two forward returns overlap."""
     thin = panel.filter(F.pmod(F.col("step") - 1, F.lit(h)) == 0).withColumn("step", F.expr(f"(step - 1) div {h} + 1").cast("int"))
-    obs = observations(thin, [predictor], [k], [1])
-    return pooled_ols(demeaned(obs)).select("predictor", "k", F.lit(h).alias("h"), "n_obs", "beta")
+    return run_cells(thin, [predictor], [k], [1]).select("predictor", "k", F.lit(h).alias("h"), "n_obs", "beta", "p_value")
 
 
 def ic_series(obs: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -319,32 +474,47 @@ def beta_grid(cells: DataFrame, predictor: str, hs: Sequence[int]) -> DataFrame:
     )
 
 
+def _measured(panel: DataFrame, predictors: Sequence[str], ks: Sequence[int], hs: Sequence[int], stacked: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(beta, t, p, IC and q per cell, sums per cell and hour). Rows are read three times as wide rows; cells become rows only as sums."""
+    wide = settle(wide_observations(panel, predictors, ks, hs), "wide")
+    cube = settle(moment_cube(wide, ks, hs), "cube")
+    fit = settle(cube_ols(cube), "fit")
+    scored = wide_scores(wide, cube, fit, ks, hs)
+    hourly = settle(hourly_cells(scored, ks, hs), "cell-hours")
+    clustered = _clustered(hourly.filter("g > 0"), fit, CELL)
+    tested = combined_test(fit, wide_newey_west(scored, fit, ks, hs, stacked), clustered)
+    return bh_fdr(tested.join(hourly_sign_ic(hourly), list(CELL), "left")), hourly
+
+
 def run_cells(panel: DataFrame, predictors: Sequence[str], ks: Sequence[int], hs: Sequence[int], stacked: bool = False) -> DataFrame:
     """beta, t, p, IC and q of every cell of the grid in one plan."""
-    rows = settle(demeaned(observations(panel, predictors, ks, hs)), "demeaned")
-    fit = settle(pooled_ols(rows), "fit")
-    scored = scores(rows, fit)
-    tested = combined_test(fit, newey_west_variance(scored, fit, hs, stacked=stacked), clustered_variance(scored, fit))
-    return bh_fdr(tested.join(sign_ic(rows), list(CELL), "left"))
+    return _measured(panel, predictors, ks, hs, stacked)[0]
 
 
 def analyze(
     panel: DataFrame, predictors: Sequence[str], ks: Sequence[int], hs: Sequence[int], *, resamples: int = 500, seed: int = 42
 ) -> DataFrame:
-    """All statistics per cell, one row each."""
+    """All statistics per cell, one row each; the best cell also has ``nonoverlap_beta`` and ``nonoverlap_p``, the others NULL."""
     n_trials = len(predictors) * len(ks) * len(hs)
-    obs = settle(observations(panel, predictors, ks, hs), "observations")
+    measured, hourly = _measured(panel, predictors, ks, hs)
+    cells = settle(measured, "cells")
+    ics = hourly.filter("m10 > 0").select(*CELL, F.col("ts").alias("date"), (F.signum("pred") * F.col("f10") / F.col("m10")).alias("ret"))
     ci = bootstrap_ci(
-        ic_series(obs), block=F.greatest(F.col("h"), F.lit(1)).cast("double"), resamples=resamples, seed=seed, statistic=F.avg, keys=CELL
+        ics, block=F.greatest(F.col("h"), F.lit(1)).cast("double"), resamples=resamples, seed=seed, statistic=F.avg, keys=CELL
     ).select(*CELL, F.col("lo").alias("ic_ci_lo"), F.col("hi").alias("ic_ci_hi"))
     on = list(CELL)
-    return (
-        run_cells(panel, predictors, ks, hs)
+    out = (
+        cells
         .withColumn("deflated_ic", deflated_ic(F.coalesce("rank_ic", F.lit(0.0)), F.lit(n_trials), F.col("n_obs")))
         .join(ci, on, "left")
         .join(same_sign(per_year_beta(panel, predictors, ks, hs)), on, "left")
-        .join(decile_spread(obs), on, "left")
+        .join(hourly_decile_spread(hourly), on, "left")
     )
+    best = best_cell(cells).select(*CELL).first()  # the name of one cell
+    if best is None:
+        return out.withColumns({c: F.lit(None).cast("double") for c in ("nonoverlap_beta", "nonoverlap_p")})
+    check = nonoverlap_beta(panel, best.predictor, best.k, best.h)
+    return out.join(check.select(*CELL, F.col("beta").alias("nonoverlap_beta"), F.col("p_value").alias("nonoverlap_p")), on, "left")
 
 
 def verdict(cells: DataFrame, roundtrip_bps: float) -> DataFrame:

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 from panelspark.layout import settle
 from panelspark.operators.aggregates import seed_mean_series, seed_summary, stress_aggregate
-from panelspark.operators.joins import align_common_dates, pair_returns
+from panelspark.operators.joins import align_common_dates, trades
 from panelspark.operators.models import fit_predict, seeded_plan
 from panelspark.operators.portfolio import long_short_spread, portfolio_returns, topk_members
 from panelspark.operators.ranking import dedupe_dates, rank_table
 from panelspark.operators.stats import (
     deflated_sharpe, excess_metrics, path_distribution, psr, rank_ic, rank_ic_summary, risk_summary, sharpe,
 )
-from panelspark.operators.windows import equity_curve
+from panelspark.operators.windows import equity_curve, rebase
 from panelspark.plans.resampling import paired_bootstrap_delta_ci, pbo_cscv
-from panelspark.plans.validation import assemble_paths, cpcv_splits, starved_splits, wf_periods, window_roles
+from panelspark.plans.validation import assemble_paths, cpcv_splits, starved_splits, window_roles
+from panelspark.sources.tables import append_trial, read_trials
 
 DAYS = 365.0
 
@@ -84,6 +85,45 @@ def walkforward_daily(
     return daily.join(stitched.groupBy("date").agg(F.min("period_id").alias("period_id")), "date")
 
 
+def walkforward_report(
+    panel: DataFrame, periods_table: DataFrame, features: Sequence[str], label: str, benchmark: DataFrame, *, k: int = 2, cost: float = 0.0,
+    model: str = "ridge", periods: float = DAYS, account: float = 1.0, **options,
+) -> tuple[DataFrame, DataFrame]:
+    """(daily, metrics) of periodically refitted scores, every period with a book of its own that starts from cash.
+
+    ``daily``: the periods' reports stitched, the first period of a shared date counting: (date, period_id, gross, turnover, cost, bench,
+    account, benchmark), the last two the values of ``account`` invested gross in the book and in the benchmark (date, bench).
+    ``metrics``: risk of the stitched report in excess of the benchmark without and with cost, and absolute with cost.
+    """
+    spans = periods_table.withColumn("label", F.col("period_id"))
+    plan = window_roles(spans).withColumnRenamed("label", "split_id")
+    preds = fit_predict(panel, plan, features, label, model, **options).select(F.col("split_id").alias("period_id"), "date", "instrument", F.col("pred").alias("score"))
+    books = book(settle(preds, "periods"), panel.select("instrument", "date", "fwd"), k, cost, ["period_id"])
+    stitched = dedupe_dates(books.select("period_id", "date", "gross", "turnover", "cost"), "period_id")
+    report = settle(
+        stitched.join(benchmark, "date", "left").select("date", "period_id", "gross", "turnover", "cost", F.coalesce("bench", F.lit(0.0)).alias("bench")), "walkforward"
+    )
+    daily = equity_curve(equity_curve(report, "gross", account=account, out="account"), "bench", account=account, out="benchmark")
+    return daily, excess_metrics(report.withColumnRenamed("gross", "ret"), periods)
+
+
+def book_positions(scored: DataFrame, prices: DataFrame, daily: DataFrame, k: int, account: float = 1.0) -> DataFrame:
+    """(date, symbol, amount, price) of an equal-weight top-k book: the account's value at each date's start, spread over its members.
+
+    ``prices``: (instrument, date, close); members without a price are not held. ``daily``: the book's (date, gross) rows.
+    """
+    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    worth = daily.select("date", (F.lit(account) * F.coalesce(F.product(1 + F.col("gross")).over(before), F.lit(1.0))).alias("_worth"))
+    held = topk_members(scored.select("date", "instrument", "score"), k, []).join(worth, "date").join(prices.filter("close > 0").select("instrument", "date", "close"), ["instrument", "date"])
+    return held.select("date", F.col("instrument").alias("symbol"), (F.col("weight") * F.col("_worth") / F.col("close")).alias("amount"), F.col("close").alias("price"))
+
+
+def context_prices(panel: DataFrame, symbols: Sequence[str], start, end, base: float = 100.0) -> DataFrame:
+    """(instrument, date, close, rebased) of some instruments between two dates, each rebased to its first price there."""
+    some = panel.filter(F.col("instrument").isin(*symbols) & F.col("date").between(start, end)).select("instrument", "date", "close")
+    return rebase(some, "close", base)
+
+
 def benchmark_report(daily: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(date, ret, bench, cost) from a book's daily rows and a (date, bench) series."""
     return daily.join(benchmark, "date", "left").select(
@@ -124,11 +164,38 @@ def holdout_report(daily: DataFrame, benchmark: DataFrame, periods: float = DAYS
     )
 
 
+def holdout_bundle(
+    panel: DataFrame, scored: DataFrame, benchmark: str, *, references: Sequence[str] = (), k: int = 2, cost: float = 0.0, periods: float = DAYS,
+    account: float = 1.0,
+) -> dict[str, DataFrame]:
+    """Everything a single-fit holdout returns: ``metrics``, ``curves``, ``trades`` and ``prices``.
+
+    ``panel`` (instrument, date, close, fwd), ``scored`` (date, instrument, score). Curves are the account invested in the book and in the
+    benchmark; trades are the changes of the book's positions; prices are the benchmark's and the references' over the whole panel.
+    """
+    daily = settle(book(scored, panel.select("instrument", "date", "fwd"), k, cost, []), "holdout")
+    bench = panel.filter(F.col("instrument") == benchmark).select("date", F.coalesce("fwd", F.lit(0.0)).alias("bench"))
+    report = benchmark_report(daily, bench)
+    curves = equity_curve(equity_curve(report, "ret", account=account, out="account"), "bench", account=account, out="benchmark")
+    span = panel.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    return {
+        "metrics": holdout_report(daily, bench, periods), "curves": curves.select("date", "account", "benchmark"),
+        "trades": trades(settle(book_positions(scored, panel, daily, k, account), "positions")),
+        "prices": context_prices(panel, [benchmark, *references], span.a, span.b),
+    }
+
+
 def stress_report(
     panel: DataFrame, windows: DataFrame, features: Sequence[str], label: str, *, seeds: int = 3, k: int = 2, cost: float = 0.0,
-    periods: float = DAYS, resamples: int = 200, reg: float = 1e-3,
+    periods: float = DAYS, resamples: int = 200, reg: float = 1e-3, register: str | None = None, recipe: str = "", config: str = "",
+    created: str = "", batch: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(per-window rows, aggregate): candidate against a constant-score null over windows x seeds, in keyed plans."""
+    """(per-window rows, aggregate): candidate against a constant-score null over windows x seeds, in keyed plans.
+
+    With a ``register`` (path) the Sharpe per period of the candidate's daily series, pooled over all windows, is appended to it under
+    ``recipe`` and the configuration hash ``config``, and the aggregate has ``pooled_sharpe``, ``n_trials`` and ``deflated_sharpe`` against the
+    whole register. ``batch`` names the append, so that a replayed report registers once.
+    """
     plan = window_roles(windows).withColumnRenamed("label", "window")
     keys = ["window", "seed"]
     seeded = seeded_plan(plan, seeds)
@@ -162,4 +229,15 @@ def stress_report(
         .join(ci, "window", "left")
         .withColumnRenamed("window", "label")
     )
-    return rows, stress_aggregate(rows)
+    total = stress_aggregate(rows)
+    if register is None:
+        return rows, total
+    pooled = settle(mean.filter(F.col("arm") == "cand").select(F.lit(config).alias("trial"), "date", "ret"), "pooled")
+    own = pooled.groupBy("trial").agg(sharpe("ret").alias("sharpe")).select(
+        F.md5(F.concat_ws("-", F.lit(batch or config), F.lit(created))).alias("id"), F.lit(recipe).alias("recipe"), F.col("trial").alias("config_hash"), "sharpe", F.lit(created).alias("created")
+    )
+    append_trial(own, register, batch=batch)
+    deflated = deflated_sharpe(pooled, "trial", read_trials(rows.sparkSession, register)).select(
+        F.col("sharpe").alias("pooled_sharpe"), "n_trials", F.col("dsr").alias("deflated_sharpe")
+    )
+    return rows, total.withColumn("_one", F.lit(1)).join(deflated.withColumn("_one", F.lit(1)), "_one").drop("_one")

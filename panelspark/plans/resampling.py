@@ -22,23 +22,30 @@ def series_lengths(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bootstrap_indices(lengths: DataFrame, block: int | Column, resamples: int, seed: int, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, b, t, idx) for one row (keys, n) per series: the stationary bootstrap in closed form.
+def bootstrap_runs(lengths: DataFrame, block: int | Column, resamples: int, seed: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, n, b, t, start, size) for one row (keys, n) per series: the stationary bootstrap as runs.
 
-    A position restarts with probability 1/block (always at t = 0); between restarts the index walks forward modulo n.
-    So idx = (start at the last restart + distance to it) mod n. Draws hash (keys, seed, b, t), so retried or moved
-    tasks reproduce them. Each (series, resample) is its own window partition.
+    A position restarts with probability 1/block (always at t = 0); between restarts the index walks forward modulo n. Only restarts
+    become rows, n / block per resample; all other positions are passed over where they are drawn. Draws hash (seed, b, t), so
+    retried or moved tasks reproduce them. Each (series, resample) is its own window partition.
     """
     keys = list(keys)
     b = lengths.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
     t = spread_over(b, *keys, "b").select(*keys, "n", "b", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("t"))
     size = block if isinstance(block, Column) else F.lit(float(block))
-    u = hash_uniform(F.lit(f"u{seed}"), "b", "t")
+    restarts = t.filter((F.col("t") == 0) | (hash_uniform(F.lit(f"u{seed}"), "b", "t") < 1.0 / size))
     start = F.floor(hash_uniform(F.lit(f"s{seed}"), "b", "t") * F.col("n"))
-    marked = t.withColumn("_at", F.when((F.col("t") == 0) | (u < 1.0 / size), F.struct(start.alias("s"), F.col("t").alias("t0"))))
-    w = Window.partitionBy(*keys, "b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    walked = marked.withColumn("_last", F.last("_at", ignorenulls=True).over(w))
-    return walked.select(*keys, "b", "t", F.pmod(F.col("_last.s") + F.col("t") - F.col("_last.t0"), F.col("n")).alias("idx"))
+    following = F.lead("t").over(Window.partitionBy(*keys, "b").orderBy("t"))
+    return restarts.select(*keys, "n", "b", "t", start.alias("start"), (F.coalesce(following, F.col("n")) - F.col("t")).cast("long").alias("size"))
+
+
+def bootstrap_indices(lengths: DataFrame, block: int | Column, resamples: int, seed: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, b, t, idx): the runs written out, one row per series, resample and position."""
+    runs = bootstrap_runs(lengths, block, resamples, seed, keys)
+    steps = F.posexplode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))
+    return runs.select(*keys, "n", "b", F.col("t").alias("_t"), steps.alias("_i", "_at")).select(
+        *keys, "b", (F.col("_t") + F.col("_i")).alias("t"), F.pmod("_at", F.col("n")).alias("idx")
+    )
 
 
 def bootstrap_draws(series: DataFrame, values: Sequence[str], block: int | Column, resamples: int, seed: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -48,6 +55,68 @@ def bootstrap_draws(series: DataFrame, values: Sequence[str], block: int | Colum
     return idx.join(pos.select(*keys, F.col("pos").alias("idx"), *values), [*keys, "idx"])
 
 
+def _mean_of(n: Column, s1: Column, s2: Column, centre: Column, floor: Column) -> Column:
+    return centre + F.try_divide(s1, n)
+
+
+def _sharpe_of(n: Column, s1: Column, s2: Column, centre: Column, floor: Column) -> Column:
+    mean = F.try_divide(s1, n)
+    var = F.try_divide(s2 - s1 * mean, n - 1)
+    # a constant resample has a variance of rounding only
+    return sharpe_of(centre + mean, F.when((n >= 2) & (var > floor), F.sqrt(var)))
+
+
+# Statistics that need no more of a resample than its number of values, their sum and their sum of squares.
+MOMENT_FORMS = {F.avg: _mean_of, sharpe: _sharpe_of}
+
+
+def moment_resamples(series: DataFrame, values: Sequence[str], block: int | Column, resamples: int, seed: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, b) with ``<value>_n``, ``_s1``, ``_s2`` of every resample about ``<value>_c``, and ``<value>_floor`` for its variance.
+
+    A run's sums are the difference of two prefix sums of the series, with a third where it wraps at n; a run of one position is
+    that position's own value. So a resample costs two rows per run, not one per position.
+    """
+    keys = list(keys)
+    by = keys or ["_all"]
+    rows = indexed(series if keys else series.withColumn("_all", F.lit(1)), by)
+    centre = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"{v}_c") for v in values], *[(F.var_pop(v) * F.lit(1e-14)).alias(f"{v}_floor") for v in values])
+    powers = lambda v: {"n": F.col(v).isNotNull().cast("double"), "s1": F.coalesce(F.col(v) - F.col(f"{v}_c"), F.lit(0.0)), "s2": F.coalesce((F.col(v) - F.col(f"{v}_c")) ** 2, F.lit(0.0))}
+    own = {f"{v}_{k}": c for v in values for k, c in powers(v).items()}
+    named = rows.join(centre, by).select(*by, "pos", *[c.alias(k) for k, c in own.items()])
+    before = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per date and series, which the calendar bounds; position n closes the series with its total
+    prefix = named.select(*by, "pos", *[F.col(k).alias(f"{k}_own") for k in own], *[F.coalesce(F.sum(k).over(before), F.lit(0.0)).alias(k) for k in own])
+    total = named.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("pos"), *[F.lit(0.0).alias(f"{k}_own") for k in own], *[F.sum(k).alias(k) for k in own])
+    table = prefix.unionByName(total)
+
+    runs = bootstrap_runs(centre.select(*by, "n"), block, resamples, seed, by)
+    end = F.col("start") + F.col("size")
+    look = lambda at, own, sum_: F.struct(at.cast("int").alias("pos"), F.lit(own).alias("wo"), F.lit(sum_).alias("ws"))
+    lookups = (
+        F.when(F.col("size") == 1, F.array(look(F.col("start"), 1.0, 0.0)))
+        .when(end <= F.col("n"), F.array(look(end, 0.0, 1.0), look(F.col("start"), 0.0, -1.0)))
+        .otherwise(F.array(look(F.col("n"), 0.0, 1.0), look(F.col("start"), 0.0, -1.0), look(end - F.col("n"), 0.0, 1.0)))
+    )
+    needed = runs.select(*by, "b", F.explode(lookups).alias("_l")).select(*by, "b", "_l.*")
+    met = needed.join(table, [*by, "pos"])
+    sums = met.groupBy(*by, "b").agg(*[F.sum(F.col("wo") * F.col(f"{k}_own") + F.col("ws") * F.col(k)).alias(k) for k in own])
+    out = sums.join(centre.drop("n"), by)
+    return out if keys else out.drop("_all")
+
+
+def _resampled(
+    series: DataFrame, values: Sequence[str], combine: Callable[..., Column], statistic: Callable[[str], Column], block: int | Column, resamples: int, seed: int, keys: Sequence[str]
+) -> DataFrame:
+    """(keys, b, stat): from moments where the statistic has a form for them, else from all resampled rows."""
+    form = MOMENT_FORMS.get(statistic)
+    if form is None:
+        draws = bootstrap_draws(series, values, block, resamples, seed, keys)
+        return settle(draws.groupBy(*keys, "b").agg(combine(*[statistic(v) for v in values]).alias("stat")), "resamples")
+    moments = moment_resamples(series, values, block, resamples, seed, keys)
+    each = [form(*[F.col(f"{v}_{k}") for k in ("n", "s1", "s2", "c", "floor")]) for v in values]
+    return settle(moments.select(*keys, "b", combine(*each).alias("stat")), "resamples")
+
+
 def _interval(stats: DataFrame, point: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
     by = list(keys) or ["_all"]
     if not keys:
@@ -63,8 +132,7 @@ def bootstrap_ci(
     statistic: Callable[[str], Column] = sharpe, keys: Sequence[str] = (), ret: str = "ret",
 ) -> DataFrame:
     """point, lo, hi, se of an aggregate expression; series below two rows give no row."""
-    draws = bootstrap_draws(series, [ret], block, resamples, seed, keys)
-    stats = settle(draws.groupBy(*keys, "b").agg(statistic(ret).alias("stat")), "resamples")
+    stats = _resampled(series, [ret], lambda x: x, statistic, block, resamples, seed, keys)
     point = series.groupBy(*keys).agg(statistic(ret).alias("point"), F.count(F.lit(1)).alias("_n"))
     return _interval(stats, point, keys, alpha)
 
@@ -75,8 +143,7 @@ def paired_bootstrap_delta_ci(
 ) -> DataFrame:
     """Interval of statistic(cand) - statistic(null) with one index matrix for both series."""
     delta = statistic(cand) - statistic(null)
-    draws = bootstrap_draws(pairs, [cand, null], block, resamples, seed, keys)
-    stats = settle(draws.groupBy(*keys, "b").agg(delta.alias("stat")), "resamples")
+    stats = _resampled(pairs, [cand, null], lambda x, y: x - y, statistic, block, resamples, seed, keys)
     point = pairs.groupBy(*keys).agg(delta.alias("point"), F.count(F.lit(1)).alias("_n"))
     return _interval(stats, point, keys, alpha)
 

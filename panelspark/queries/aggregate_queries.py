@@ -236,9 +236,14 @@ IMPACT = {
  FROM (SELECT *, least(v, bar * 0.4 - before) AS take FROM walk WHERE before < bar * 0.4) GROUP BY instrument, date"""}
 
 
+def order_slice():
+    """A thousand order numbers."""
+    return F.floor(F.col("seq") / (4096 * 1000))
+
+
 @query("W21_book_walk_impact", sql("SELECT instrument, date, round(impact, 6) AS impact FROM impact", "ticks", **IMPACT))
 def _(spark, sf):
-    return i.rounded(ag.book_walk_impact(i.ticks(spark, sf), ["instrument", "date"], i.TICK_ORDER, 0.4))
+    return i.rounded(ag.book_walk_impact(i.ticks(spark, sf), ["instrument", "date"], i.TICK_ORDER, 0.4, order_slice()))
 
 
 TIERS = [("L1", "deep"), ("L2", "deep"), ("L3", "mid"), ("L7", "thin")]
@@ -251,7 +256,7 @@ TIERS = [("L1", "deep"), ("L2", "deep"), ("L3", "mid"), ("L7", "thin")]
 def _(spark, sf):
     keys = ["instrument", "date"]
     t = i.ticks(spark, sf)
-    per_bar = ag.book_walk_impact(t, keys, i.TICK_ORDER, 0.4).join(ag.estimate_fill(t, keys), keys).withColumnRenamed("instrument", "symbol")
+    per_bar = ag.book_walk_impact(t, keys, i.TICK_ORDER, 0.4, order_slice()).join(ag.estimate_fill(t, keys), keys).withColumnRenamed("instrument", "symbol")
     return i.rounded(ag.calibrate_costs(per_bar, literal(spark, TIERS, "symbol string, tier string")))
 
 

@@ -1,6 +1,8 @@
 """Queries of the lead-lag study."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from panelspark.layout import settle
@@ -13,6 +15,7 @@ from panelspark.queries.window_queries import HOURLY_R, sums_sql
 
 PREDS, KS, HS = ("view", "purchase"), (1, 2), (1, 2, 3)
 CELL = "predictor, k, h"
+BLOCK = 64  # steps in a block of lag products, far fewer than a series has
 NTRIALS = len(PREDS) * len(KS) * len(HS)
 
 
@@ -94,13 +97,13 @@ def _(spark, sf):
 @query("A25_newey_west_cov", sql(f"SELECT {CELL}, round(sqrt(var_hac), 6) AS se_hac FROM vh", "hourly", **SCORED, **hac_ctes(False)))
 def _(spark, sf):
     s, f = scored(spark, sf)
-    return i.rounded(ll.newey_west_variance(s, f, HS).select("predictor", "k", "h", F.sqrt("var_hac").alias("se_hac")))
+    return i.rounded(ll.newey_west_variance(s, f, HS, block=BLOCK).select("predictor", "k", "h", F.sqrt("var_hac").alias("se_hac")))
 
 
 @query("A25_newey_west_stacked", sql(f"SELECT {CELL}, round(sqrt(var_hac) * 1000, 6) AS se_hac FROM vh", "hourly", **SCORED, **hac_ctes(True)))
 def _(spark, sf):
     s, f = scored(spark, sf)
-    return i.rounded(ll.newey_west_variance(s, f, HS, stacked=True).select("predictor", "k", "h", (F.sqrt("var_hac") * 1000).alias("se_hac")))
+    return i.rounded(ll.newey_west_variance(s, f, HS, stacked=True, block=BLOCK).select("predictor", "k", "h", (F.sqrt("var_hac") * 1000).alias("se_hac")))
 
 
 @query("A26_combine_cov_t_p", sql(f"SELECT {CELL}, n_obs, round(se, 6) AS se, round(t_stat, 5) AS t_stat, round(p_value, 5) AS p_value FROM pv", "hourly", **TESTS))
@@ -156,13 +159,19 @@ def _(spark, sf):
 THIN = {
     "hthin": f"SELECT symbol, ts, (step - 1) // 3 + 1 AS step, r FROM hr WHERE (step - 1) % 3 = 0",
     "sums": sums_sql([2], [1]).replace("FROM hr", "FROM hthin"),
-    "obs": "SELECT p.symbol AS predictor, 2 AS k, 1 AS h, a.symbol, a.ts, a.step, p.past_2 AS pred, a.past_2 AS own, a.fwd_1 AS fwd FROM sums a JOIN sums p USING (step) WHERE p.symbol = 'view' AND a.symbol <> 'view'",
-    "dm": DM["dm"], "fit": fit_sql(CELL)}
+    "obs": "SELECT p.symbol AS predictor, 2 AS k, 1 AS h, a.symbol, a.ts, a.step, p.past_2 AS pred, a.past_2 AS own, a.fwd_1 AS fwd FROM sums a JOIN sums p USING (step) WHERE p.symbol = 'view' AND a.symbol <> 'view'"}
+
+
+def thin_ctes(source: dict) -> dict:
+    """The chain from observations to p values under names of their own."""
+    own = re.compile(r"\b(obs|dm|fit|sc|cl|vcl|meat|vh|tested|pv)\b")
+    chain = {"obs": source["obs"], "dm": DM["dm"], "fit": fit_sql(CELL), "sc": SCORED["sc"]} | CLUSTER | hac_ctes(False) | {n: TESTS[n] for n in ("tested", "pv")}
+    return {n: q for n, q in source.items() if n != "obs"} | {own.sub(r"\1_t", n): q if n == "obs" else own.sub(r"\1_t", q) for n, q in chain.items()}
 
 
-@query("A33_nonoverlap_beta", sql("SELECT predictor, k, 3 AS h, n_obs, round(beta, 6) AS beta FROM fit", "hourly", **BASE, **THIN))
+@query("A33_nonoverlap_beta", sql("SELECT predictor, k, 3 AS h, n_obs, round(beta, 6) AS beta, round(p_value, 5) AS p_value FROM fit_t JOIN (SELECT predictor, k, h, p_value FROM pv_t) USING (predictor, k, h)", "hourly", **BASE, **thin_ctes(THIN)))
 def _(spark, sf):
-    return i.rounded(ll.nonoverlap_beta(panel(spark, sf), "view", 2, 3))
+    return i.rounded(ll.nonoverlap_beta(panel(spark, sf), "view", 2, 3), 6, p_value=5)
 
 
 CC = {"al": "SELECT a.symbol, a.ts, p.r AS p, a.r FROM hr a JOIN hr p ON p.ts = a.ts AND p.symbol = 'view' WHERE a.symbol <> 'view' AND a.r IS NOT NULL AND p.r IS NOT NULL",
@@ -207,7 +216,14 @@ BOOT = {
 ALL = CELLS | SPREAD | BOOT | YEAR | {
     "same": f"SELECT {CELL}, count(beta) >= 2 AND min(sign(beta)) = max(sign(beta)) AS same_sign_all_years FROM fy GROUP BY {CELL}",
     "defl": f"SELECT {CELL}, rank_ic - e / sqrt(greatest(n_obs, 400)) AS deflated_ic FROM {emax(f'(SELECT {CELL}, rank_ic, n_obs, {NTRIALS} AS nt FROM cells)', 'nt', 'e')}",
-    "allcells": f"SELECT * FROM cells JOIN defl USING ({CELL}) JOIN ci USING ({CELL}) JOIN same USING ({CELL}) JOIN sp USING ({CELL})"}
+}
+_PAST = lambda side: "CASE b.k " + " ".join(f"WHEN {k} THEN {side}.past_{k}" for k in KS) + " END"
+ALL |= BEST | thin_ctes({
+    "hthin": "SELECT r.symbol, r.ts, (r.step - 1) // b.h + 1 AS step, r.r FROM hr r, bestcell b WHERE (r.step - 1) % b.h = 0", "sums_n": sums_sql(KS, [1]).replace("FROM hr", "FROM hthin"),
+    "obs": f"SELECT p.symbol AS predictor, b.k, 1 AS h, a.symbol, a.ts, a.step, {_PAST('p')} AS pred, {_PAST('a')} AS own, a.fwd_1 AS fwd FROM sums_n a JOIN sums_n p USING (step), bestcell b WHERE p.symbol = b.predictor AND a.symbol <> p.symbol"})
+ALL |= {
+    "nonover": "SELECT b.predictor, b.k, b.h, t.beta AS nonoverlap_beta, t.p_value AS nonoverlap_p FROM bestcell b, pv_t t",
+    "allcells": f"SELECT * FROM cells JOIN defl USING ({CELL}) JOIN ci USING ({CELL}) JOIN same USING ({CELL}) JOIN sp USING ({CELL}) LEFT JOIN nonover USING ({CELL})"}
 
 
 def study(spark, sf):
@@ -215,16 +231,16 @@ def study(spark, sf):
 
 
 @query("V13_lead_lag_study", sql(f"""SELECT {CELL}, n_obs, round(beta, 6) AS beta, round(t_stat, 5) AS t_stat, round(p_value, 5) AS p_value, round(bh_q, 5) AS bh_q, round(rank_ic, 6) AS rank_ic,
- round(deflated_ic, 6) AS deflated_ic, round(ic_ci_lo, 6) AS ic_ci_lo, round(ic_ci_hi, 6) AS ic_ci_hi, same_sign_all_years, round(spread_bps, 4) AS spread_bps FROM allcells""", "hourly", **ALL))
+ round(deflated_ic, 6) AS deflated_ic, round(ic_ci_lo, 6) AS ic_ci_lo, round(ic_ci_hi, 6) AS ic_ci_hi, same_sign_all_years, round(spread_bps, 4) AS spread_bps, round(nonoverlap_beta, 6) AS nonoverlap_beta, round(nonoverlap_p, 5) AS nonoverlap_p FROM allcells""", "hourly", **ALL))
 def _(spark, sf):
     out = study(spark, sf).drop("gamma", "se")
-    return i.rounded(out, 6, t_stat=5, p_value=5, bh_q=5, spread_bps=4)
+    return i.rounded(out, 6, t_stat=5, p_value=5, bh_q=5, spread_bps=4, nonoverlap_p=5)
 
 
 @query("A34_verdict", sql(f"""SELECT predictor, k, h, round(spread_bps - 4.33, 4) AS net_edge_bps, bh_q < 0.05 AND deflated_ic > 0 AND ic_ci_lo > 0 AS statistical, same_sign_all_years AS regime_stable,
  spread_bps > 3 * 4.33 AND rank_ic >= 0.03 AS economic, pk > 1 AND pk < 3 AS coherent_decay,
  bh_q < 0.05 AND deflated_ic > 0 AND ic_ci_lo > 0 AND same_sign_all_years AND spread_bps > 3 * 4.33 AND rank_ic >= 0.03 AND pk > 1 AND pk < 3 AS go
- FROM allcells JOIN (SELECT predictor, k, h FROM bestcell) USING (predictor, k, h) JOIN (SELECT predictor, k, arg_max(h, row(rank_ic, -h)) AS pk FROM cells GROUP BY predictor, k) USING (predictor, k)""", "hourly", **ALL, **BEST))
+ FROM allcells JOIN (SELECT predictor, k, h FROM bestcell) USING (predictor, k, h) JOIN (SELECT predictor, k, arg_max(h, row(rank_ic, -h)) AS pk FROM cells GROUP BY predictor, k) USING (predictor, k)""", "hourly", **ALL))
 def _(spark, sf):
     v = ll.verdict(settle(study(spark, sf), "study"), 4.33)
     return i.rounded(v.select("predictor", "k", "h", "net_edge_bps", "statistical", "regime_stable", "economic", "coherent_decay", "go"), 4)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.layout import settle, trailing
+from panelspark.layout import fresh_path, settle, trailing
 from panelspark.operators import features, joins, models, stats, windows as wo
 from panelspark.operators.portfolio import topk_members
 from panelspark.plans import recipes, reports, resampling as rs, validation as va
@@ -12,6 +12,7 @@ from panelspark.queries.aggregate_queries import DSR, SR
 from panelspark.queries.portfolio_queries import book_ctes
 from panelspark.queries.registry import csrank, emax, lagged, over, pct, psr_sql, query, rmean, rstd, sql
 from panelspark.queries.table_queries import D, literal
+from panelspark.sources.tables import append_trial
 
 DAYS = {"cal": "SELECT DISTINCT date FROM dense"}
 GROUPS = DAYS | {"g": "SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS pos, CAST(ntile(6) OVER (ORDER BY date) - 1 AS INTEGER) AS grp FROM cal"}
@@ -348,6 +349,31 @@ def _(spark, sf):
     return i.rounded(d.select("date", "gross", "turnover", "ret", "period_id"))
 
 
+WR = WF | keyed_book("ps", "period_id", 0.001) | {
+    "rep": """SELECT b.date, period_id, gross, turnover, cost, coalesce(m.fwd, 0) AS bench FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY period_id) AS rn FROM bk) b
+ LEFT JOIN (SELECT date, fwd FROM mp WHERE instrument = 'L1') m USING (date) WHERE rn = 1""",
+    "kinds": "SELECT date, 'excess_without_cost' AS kind, gross - bench AS ret FROM rep UNION ALL SELECT date, 'excess_with_cost', gross - bench - cost FROM rep UNION ALL SELECT date, 'absolute', gross - cost FROM rep"}
+
+
+def walkforward(spark, sf):
+    p = model_panel(spark, sf)
+    bench = p.filter("instrument = 'L1'").select("date", F.coalesce("fwd", F.lit(0.0)).alias("bench"))
+    return reports.walkforward_report(p, settle(va.wf_periods(bounds(spark, sf), purge=6), "periods"), X, "LABEL", bench, k=2, cost=0.001, reg=REG)
+
+
+@query("V15_walkforward_curves", sql("""SELECT date, period_id, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(cost, 6) AS cost, round(bench, 6) AS bench,
+ round(sum(ln(1 + gross)) OVER (ORDER BY date), 6) AS log_account, round(sum(ln(1 + bench)) OVER (ORDER BY date), 6) AS log_benchmark FROM rep""", "returns", "dense", **WR))
+def _(spark, sf):
+    """Every period's own book, stitched; curves as logarithms, for they span many orders of size."""
+    daily = walkforward(spark, sf)[0].withColumns({f"log_{c}": F.ln(c) for c in ("account", "benchmark")}).drop("account", "benchmark")
+    return i.rounded(daily)
+
+
+@query("V15_walkforward_metrics", sql(f"SELECT kind, {RISK} FROM {risk_over('kinds', 'kind')} GROUP BY kind", "returns", "dense", **WR))
+def _(spark, sf):
+    return i.rounded(walkforward(spark, sf)[1])
+
+
 def ls_ctes(rows: str, key: str) -> dict[str, str]:
     """Daily long/short returns ``lsx`` of (key, date, instrument, score, fwd) rows: two names a leg, 10 bp an entry."""
     on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in key.split(", "))
@@ -416,6 +442,38 @@ def _(spark, sf):
     return i.rounded(out.select("*", F.ln("ending_gross").alias("log_gross"), F.ln("ending_net").alias("log_net")).drop("ending_gross", "ending_net"))
 
 
+HB = HR | {
+    "worth": "SELECT date, 1000000 * coalesce(exp(sum(ln(1 + gross)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS worth FROM bk",
+    "hold": "SELECT t.date, t.instrument AS symbol, weight * worth / close AS amount, close AS price FROM tk t JOIN worth USING (date) JOIN dense d ON d.date = t.date AND d.instrument = t.instrument WHERE close > 0",
+    "steps": "SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM (SELECT DISTINCT date FROM hold)",
+    "was": "SELECT nxt AS date, symbol, amount AS was, price AS old FROM hold JOIN steps USING (date) WHERE nxt IS NOT NULL",
+    "moves": "SELECT coalesce(h.date, w.date) AS date, coalesce(h.symbol, w.symbol) AS symbol, coalesce(amount, 0) - coalesce(was, 0) AS d, coalesce(price, old) AS price FROM hold h FULL JOIN was w ON h.date = w.date AND h.symbol = w.symbol"}
+
+
+def bundle(spark, sf):
+    p = model_panel(spark, sf).join(i.dense(spark, sf).select("instrument", "date", "close"), ["instrument", "date"], "left")
+    preds = settle(models.fit_predict(p, hold_plan(p), X, "LABEL", "ridge", reg=REG).select("date", "instrument", F.col("pred").alias("score")), "preds")
+    return reports.holdout_bundle(p, preds, "L1", references=("L2", "L4"), k=2, cost=0.001, account=1e6)
+
+
+@query("V17_holdout_trades", sql("""SELECT row_number() OVER (ORDER BY date, symbol) AS line, date, CASE WHEN d > 0 THEN 'buy' ELSE 'sell' END AS side, symbol, round(abs(d), 4) AS qty, round(price, 6) AS price,
+ round(abs(d) * price, 2) AS value FROM moves WHERE abs(d) > 1e-12""", "returns", "dense", **HB))
+def _(spark, sf):
+    return i.rounded(bundle(spark, sf)["trades"], 6, qty=4, value=2)
+
+
+@query("V17_holdout_curves", sql("SELECT date, round(sum(ln(1 + r)) OVER (ORDER BY date), 6) AS log_account, round(sum(ln(1 + bench)) OVER (ORDER BY date), 6) AS log_benchmark FROM rep", "returns", "dense", **HB))
+def _(spark, sf):
+    curves = bundle(spark, sf)["curves"]
+    return i.rounded(curves.select("date", F.ln(F.col("account") / 1e6).alias("log_account"), F.ln(F.col("benchmark") / 1e6).alias("log_benchmark")))
+
+
+@query("V17_context_prices", sql("""SELECT instrument, date, round(close, 6) AS close, round(close / first_value(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 100, 6) AS rebased
+ FROM dense WHERE instrument IN ('L1', 'L2', 'L4')""", "dense"))
+def _(spark, sf):
+    return i.rounded(bundle(spark, sf)["prices"])
+
+
 ST = MODEL | OOS | {
     "wr": "SELECT label, date, CASE WHEN date <= train_end THEN 'train' ELSE 'test' END AS role FROM win JOIN (SELECT DISTINCT date FROM mp) d ON (date BETWEEN train_start AND train_end) OR (date BETWEEN test_start AND test_end)",
     "seeded": "SELECT label, s AS seed, date, role, CASE WHEN ('0x' || substr(md5(s || '-' || date), 1, 8))::BIGINT / 4294967296.0 < 0.8 THEN 1.0 ELSE 0.0 END AS w FROM wr, range(1, 3) t(s)",
@@ -426,8 +484,8 @@ ST = MODEL | OOS | {
     "shp": "SELECT arm, label, seed, avg(ret) / stddev_samp(ret) * sqrt(365) AS sr FROM bk GROUP BY ALL"}
 
 
-def stress(spark, sf):
-    return reports.stress_report(model_panel(spark, sf), settle(oos(spark, sf), "oos"), X, "LABEL", seeds=2, k=2, cost=0.001, resamples=40, reg=REG)
+def stress(spark, sf, **register):
+    return reports.stress_report(model_panel(spark, sf), settle(oos(spark, sf), "oos"), X, "LABEL", seeds=2, k=2, cost=0.001, resamples=40, reg=REG, **register)
 
 
 MEANS = ST | {"mean": "SELECT arm, label, date, avg(ret) AS ret FROM bk GROUP BY ALL", "pair": "SELECT c.label, c.date, c.ret AS cand, n.ret AS null_ret FROM mean c JOIN mean n ON c.label = n.label AND c.date = n.date AND c.arm = 'cand' AND n.arm = 'null'",
@@ -447,9 +505,25 @@ def _(spark, sf):
     return i.rounded(rows, 5)
 
 
-@query("V12_stress_aggregate", sql("SELECT count(*) AS n_windows, count(*) FILTER (ls > 0) AS windows_positive, round(min(ls), 5) AS ls_sharpe_worst, round(avg(ls), 5) AS ls_sharpe_mean, round(avg(d), 5) AS delta_mean FROM lsw JOIN dlt USING (label)", "returns", **LSW))
+DEFLATED = LSW | {
+    "lastreg": "SELECT arg_max((o_totalprice % 1000) / 10000, o_orderkey) AS sharpe FROM orders GROUP BY o_custkey",
+    "pm": """SELECT count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, avg(m * m * m) / pow(avg(m * m), 1.5) AS g3, avg(m * m * m * m) / pow(avg(m * m), 2) AS g4
+ FROM (SELECT ret, ret - avg(ret) OVER () AS m FROM mean WHERE arm = 'cand')""",
+    "pop": "SELECT mean / sd AS sharpe FROM pm UNION ALL SELECT sharpe FROM lastreg WHERE sharpe NOT IN (SELECT mean / sd FROM pm)",
+    "em": f"SELECT n_trials, s * e AS expected_max FROM {emax('(SELECT count(*) AS n_trials, stddev_samp(sharpe) AS s FROM pop)', 'n_trials', 'e')}",
+    "dfl": f"SELECT mean / sd AS pooled_sharpe, n_trials, dsr FROM {psr_sql('(SELECT * FROM pm, em)', 'expected_max', 'dsr')}"}
+
+
+@query("V12_stress_aggregate", sql("""SELECT n_windows, windows_positive, ls_sharpe_worst, ls_sharpe_mean, delta_mean, round(pooled_sharpe, 5) AS pooled_sharpe, n_trials, round(dsr, 5) AS deflated_sharpe
+ FROM (SELECT count(*) AS n_windows, count(*) FILTER (ls > 0) AS windows_positive, round(min(ls), 5) AS ls_sharpe_worst, round(avg(ls), 5) AS ls_sharpe_mean, round(avg(d), 5) AS delta_mean FROM lsw JOIN dlt USING (label)), dfl""", "returns", **DEFLATED))
 def _(spark, sf):
-    return i.rounded(stress(spark, sf)[1], 5)
+    """The run's pooled Sharpe goes into a register that holds one trial per order; the last of every customer counts."""
+    path = fresh_path(spark, "register")
+    one = i.table(spark, sf, "orders").select(
+        F.md5(F.col("o_orderkey").cast("string")).alias("id"), F.lit("orders").alias("recipe"), F.sha2(F.col("o_custkey").cast("string"), 256).alias("config_hash"),
+        ((F.col("o_totalprice") % 1000) / 10000).alias("sharpe"), F.lit("").alias("created"), "o_orderkey")
+    append_trial(one, path, order="o_orderkey")
+    return i.rounded(stress(spark, sf, register=path, recipe="ridge", config="stress", batch="stress 1")[1], 5)
 
 
 def recipe_rows():

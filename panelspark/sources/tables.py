@@ -1,6 +1,8 @@
 """Text, JSON, CSV and Parquet sources and sinks."""
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 
 ONCHAIN_SCHEMA = "time string, CapMrktCurUSD string, AdrActCnt string"
 TRIAL_SCHEMA = "id string, recipe string, config_hash string, sharpe double, created string"
+TRIAL_COLUMNS = ("id", "recipe", "config_hash", "sharpe", "created")
 OHLCV_SCHEMA = "date date, symbol string, open double, high double, low double, close double, volume double"
 
 
@@ -35,25 +38,83 @@ def read_returns(spark: SparkSession, root: str) -> DataFrame:
     return rows.filter(F.col("recipe") != "mlruns")
 
 
-def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    """The trial register with ``seq``, the order in which trials were appended; a missing path is an empty register.
+def _folder(spark: SparkSession, path: str):
+    """(file system, path object) of a path in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _marked(fs, path, text: str) -> str | None:
+    """Create a small file with ``text``; if it is there already, return what it holds. The store decides who was first."""
+    try:
+        out = fs.create(path, False)
+    except Exception as e:  # noqa: BLE001 - the class differs by store
+        if not fs.exists(path):
+            raise e
+        held = fs.open(path)
+        try:
+            return held.readUTF()
+        finally:
+            held.close()
+    try:
+        out.writeUTF(text)
+    finally:
+        out.close()
+    return None
+
+
+def batch_number(spark: SparkSession, path: str, name: str) -> int:
+    """Number of the append ``name`` in the register's manifest: its own if it has one, else the next free one.
 
-    ``seq`` orders by the appended file's time, its name and the place in it.
+    Two markers in ``_log``: one per number, created by one appender only, and one per name. A crash between them burns a number.
     """
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    if not exists:
-        return spark.createDataFrame([], f"{TRIAL_SCHEMA}, seq struct<time timestamp, file string, block long, place long>")
-    lines = spark.read.schema(TRIAL_SCHEMA).json(path)
-    seq = F.struct(
-        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"),
-    )
-    return lines.withColumn("seq", seq)
+    fs, root = _folder(spark, path)
+    join = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join([path, "_log", *parts]))
+    by_name = join("name", hashlib.sha256(name.encode()).hexdigest())
+    if fs.exists(by_name):
+        return int(_marked(fs, by_name, ""))
+    numbers = join("number")
+    number = len(fs.listStatus(numbers)) if fs.exists(numbers) else 0
+    while True:
+        number += 1
+        if _marked(fs, join("number", f"{number:012d}"), name) is None:
+            break
+    earlier = _marked(fs, by_name, str(number))
+    return number if earlier is None else int(earlier)
+
 
+def read_trials(spark: SparkSession, path: str) -> DataFrame:
+    """The trial register with ``seq``, the order in which trials were appended; a missing path is an empty register.
 
-def append_trial(trials: DataFrame, path: str) -> None:
-    trials.select(*[f.name for f in T.StructType.fromDDL(TRIAL_SCHEMA).fields]).write.mode("append").json(path)
+    A register is a log of appends: ``seq`` is the append's number and the place inside it, both written with the rows, so it does
+    not depend on when files were finished. A plain JSON-lines file is one append in the order of its lines.
+    """
+    seq = "seq struct<batch long, block long, place long>"
+    fs, root = _folder(spark, path)
+    if not fs.exists(root):
+        return spark.createDataFrame([], f"{TRIAL_SCHEMA}, {seq}")
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.getFileStatus(root).isDirectory() else []
+    if any(n.startswith("batch=") for n in names):
+        rows = spark.read.schema(f"{TRIAL_SCHEMA}, place long").option("basePath", path).json(f"{path}/batch=*")
+        order = F.struct(F.col("batch").cast("long").alias("batch"), F.lit(0).cast("long").alias("block"), "place")
+    else:
+        rows = spark.read.schema(TRIAL_SCHEMA).json(path)
+        order = F.struct(F.lit(0).cast("long").alias("batch"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    return rows.select(*TRIAL_COLUMNS, order.alias("seq"))
+
+
+def append_trial(trials: DataFrame, path: str, *, batch: str | None = None, order: str | None = None) -> int:
+    """Append trials as one batch and return its number.
+
+    ``order`` names a whole-number column that tells the order inside the batch; without it rows count in the order of the frame. Any
+    number of tasks may write. ``batch`` names the append: one of the same name replaces the earlier one and keeps its number, so a
+    replayed append changes nothing. Without a name every append is a new one.
+    """
+    spark = trials.sparkSession
+    number = batch_number(spark, path, batch or uuid.uuid4().hex)
+    place = F.col(order).cast("long") if order else F.monotonically_increasing_id()
+    trials.select(*TRIAL_COLUMNS, place.alias("place")).write.mode("overwrite").json(f"{path}/batch={number:012d}")
+    return number
 
 
 def read_ohlcv_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -4,10 +4,12 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import models
+from panelspark.operators import aggregates, models, ranking
 from panelspark.plans import leadlag as ll, resampling as rs, validation as va
+from panelspark.sources import tables
 from tests.conftest import day, rows
 
 
@@ -144,3 +146,132 @@ def test_ridge_equals_lstsq_for_every_split(spark):
         assert len(mine) and np.allclose(mine.pred, coef[0] + mine.a * coef[1] + mine.b * coef[2])
     with pytest.raises(ValueError):
         models.fit_predict(df, plan, ["a", "b"], "y", "none")
+
+
+def test_runs_give_the_moments_of_the_written_out_resamples(spark):
+    """Sums of runs from prefix sums equal sums over all resampled rows: several series, missing values, blocks from 1 up, wraps."""
+    rng = np.random.default_rng(8)
+    rows = [(k, day(t), None if rng.random() < 0.1 else float(rng.normal(0.1, 1)), float(rng.normal())) for k, n in (("a", 90), ("b", 7), ("c", 1)) for t in range(n)]
+    series = spark.createDataFrame(rows, "k string, date date, x double, y double").cache()
+    for block in (1, 2.5, 400):
+        got = rs.moment_resamples(series, ["x", "y"], block, 25, 11, ["k"]).toPandas().set_index(["k", "b"]).sort_index()
+        draws = rs.bootstrap_draws(series, ["x", "y"], block, 25, 11, ["k"])
+        want = draws.groupBy("k", "b").agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_samp))]).toPandas().set_index(["k", "b"]).sort_index()
+        assert len(got) == 75 and (got.index == want.index).all()
+        for c in "xy":
+            n, s1, s2 = (got[f"{c}_{m}"].to_numpy(float) for m in ("n", "s1", "s2"))
+            assert (n.round() == want[f"n_{c}"]).all()
+            with np.errstate(all="ignore"):
+                assert np.allclose(got[f"{c}_c"].to_numpy(float) + s1 / n, want[f"mean_{c}"].astype(float), equal_nan=True)
+                assert np.allclose(np.sqrt(np.maximum(s2 - s1 * s1 / n, 0) / (n - 1)), want[f"sd_{c}"].astype(float), equal_nan=True, atol=1e-7)
+
+
+def test_a_resample_costs_rows_per_run_not_per_position(spark):
+    lengths = spark.createDataFrame([("a", 5000)], "k string, n long")
+    runs = rs.bootstrap_runs(lengths, 50, 20, 1, ["k"]).toPandas()
+    assert abs(len(runs) - 5000 * 20 / 50) < 250
+    assert (runs.groupby("b")["size"].sum() == 5000).all() and (runs["size"] > 0).all()
+
+
+def test_other_statistics_keep_the_long_path(spark):
+    series = spark.createDataFrame([(day(t), float(t % 7)) for t in range(60)], "date date, ret double")
+    ci = rs.bootstrap_ci(series, block=5, resamples=30, seed=4, statistic=F.median).first()
+    assert ci["point"] == 3.0 and ci["lo"] <= 3.0 <= ci["hi"]
+
+
+@pytest.fixture(scope="module")
+def gappy(spark):
+    """Hourly returns of two predictors and four targets, with rows missing at random and one short series."""
+    rng = np.random.default_rng(12)
+    rows = [(s, dt.datetime(2023, 12, 25) + dt.timedelta(hours=t), None if rng.random() < 0.15 else float(rng.normal(0, 0.01))) for s in ("P", "Q", "A", "B", "C", "D") for t in range(15 if s == "D" else 400)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, r double")
+    grid = df.select("ts").distinct().withColumn("step", F.row_number().over(Window.orderBy("ts")))
+    every = df.select("symbol").distinct().crossJoin(grid).join(df, ["symbol", "ts"], "left")
+    return every.cache()
+
+
+KS, HS, PREDICTORS = (1, 3), (1, 2, 4), ("P", "Q")
+
+
+@pytest.mark.parametrize("stacked", [False, True])
+def test_cube_equals_the_rows_of_every_cell(spark, gappy, stacked):
+    """Sums over wide rows give what the rows of every cell give, however short the blocks are."""
+    obs = ll.observations(gappy, PREDICTORS, KS, HS).cache()
+    rows = ll.demeaned(obs).cache()
+    fit = ll.pooled_ols(rows).cache()
+    scored = ll.scores(rows, fit).cache()
+    wide = ll.wide_observations(gappy, PREDICTORS, KS, HS).cache()
+    cube = ll.moment_cube(wide, KS, HS).cache()
+    short = ll.cube_ols(cube).cache()
+    table = lambda df: df.toPandas().set_index(["predictor", "k", "h"]).sort_index()
+    a, b = table(fit), table(short)
+    assert len(a) == 12 and np.allclose(a[["n_obs", "beta", "gamma", "i11", "i12", "i22"]].astype(float), b[["n_obs", "beta", "gamma", "i11", "i12", "i22"]].astype(float), rtol=1e-9)
+    ws = ll.wide_scores(wide, cube, short, KS, HS)
+    hourly = ll.hourly_cells(ws, KS, HS).cache()
+    close = lambda x, y, c: np.allclose(table(x)[c].astype(float), table(y)[c].astype(float), rtol=1e-8, equal_nan=True)
+    one = ll.newey_west_variance(scored, fit, HS, stacked=stacked, block=10**6)
+    assert close(one, ll.newey_west_variance(scored, fit, HS, stacked=stacked, block=7), "var_hac")
+    assert close(one, ll.wide_newey_west(ws, short, KS, HS, stacked, block=7), "var_hac")
+    assert close(ll.clustered_variance(scored, fit), ll._clustered(hourly.filter("g > 0"), short, ll.CELL), "var_cluster")
+    assert close(ll.sign_ic(rows), ll.hourly_sign_ic(hourly), "rank_ic")
+    assert close(ll.decile_spread(obs), ll.hourly_decile_spread(hourly), "spread_bps")
+    ic = ll.ic_series(obs).groupBy(*ll.CELL).agg(F.avg("ret").alias("ic"))
+    assert close(ic, hourly.filter("m10 > 0").groupBy(*ll.CELL).agg(F.avg(F.signum("pred") * F.col("f10") / F.col("m10")).alias("ic")), "ic")
+
+
+def test_newey_west_lags_by_hand(spark, gappy):
+    obs = ll.observations(gappy, ["P"], [1], [4])
+    rows = ll.demeaned(obs)
+    fit = ll.pooled_ols(rows)
+    scored = ll.scores(rows, fit)
+    got = ll.newey_west_variance(scored, fit, [4], block=16).first()["var_hac"]
+    f, meat = fit.first(), np.zeros((2, 2))
+    for _, part in scored.toPandas().sort_values("step").groupby("symbol"):
+        s = part[["s1", "s2"]].to_numpy()
+        meat += s.T @ s
+        for lag in range(1, 4):
+            meat += (1 - lag / 4) * (s[lag:].T @ s[:-lag] + s[:-lag].T @ s[lag:])
+    inverse = np.array([[f["i11"], f["i12"]], [f["i12"], f["i22"]]])
+    assert np.isclose(got, (inverse @ meat @ inverse)[0, 0], rtol=1e-9)
+
+
+def test_study_checks_its_best_cell_without_overlap(spark):
+    out = ll.analyze(ll.hourly_returns(hourly(spark, 0.4)), ["BTC"], [1, 2], [1, 2], resamples=20).toPandas()
+    best = out[out["nonoverlap_beta"].notna()]
+    assert len(out) == 4 and len(best) == 1 and best["nonoverlap_p"].iloc[0] < 0.01 and abs(best["nonoverlap_beta"].iloc[0] - 0.4) < 0.1
+
+
+def test_register_is_a_log(spark, tmp_path):
+    path = str(tmp_path / "register")
+    frame = lambda rows: spark.createDataFrame(rows, "id string, recipe string, config_hash string, sharpe double, created string, at long").repartition(5)
+    first = frame([(str(n), "r", f"c{n % 4}", float(n), "t", n) for n in range(40)])
+    assert tables.append_trial(first, path, batch="one", order="at") == 1
+    assert tables.append_trial(frame([("x", "r", "c1", -1.0, "t", 0)]), path, batch="two", order="at") == 2
+    want = {"c0": 36.0, "c1": -1.0, "c2": 38.0, "c3": 39.0}
+    last = lambda: {r.config_hash: r.sharpe for r in ranking.dedupe_trials(tables.read_trials(spark, path)).collect()}
+    assert last() == want and tables.read_trials(spark, path).count() == 41
+    assert tables.append_trial(first, path, batch="one", order="at") == 1  # replayed: nothing changes, nor does it become the last
+    assert last() == want and tables.read_trials(spark, path).count() == 41
+    assert tables.append_trial(frame([("y", "r", "c9", 9.0, "t", 0)]), path) == 3 and tables.append_trial(frame([("z", "r", "c9", 8.0, "t", 0)]), path) == 4
+    assert last() == {**want, "c9": 8.0}
+    plain = tmp_path / "trials.jsonl"
+    plain.write_text('{"id": "1", "recipe": "a", "config_hash": "c", "sharpe": 1.0, "created": "x"}\n{"id": "2", "recipe": "a", "config_hash": "c", "sharpe": 0.5, "created": "y"}\n')
+    assert [r.sharpe for r in ranking.dedupe_trials(tables.read_trials(spark, str(plain))).collect()] == [0.5]
+
+
+def test_book_walk_orders_one_bucket_only(spark):
+    rng = np.random.default_rng(3)
+    rows = [(b, float(t), float(rng.uniform(1, 2)), float(rng.integers(0, 3)), None) for b in ("x", "y") for t in rng.permutation(300)] + [("z", 1.0, 2.0, 0.0, None), ("w", 1.0, 3.0, 5.0, None)]
+    df = spark.createDataFrame(rows, "bar string, seq double, price double, quantity double, _v string")
+    for fraction in (0.01, 0.4, 1.0):
+        for bucket in (None, F.floor("seq"), F.floor(F.col("seq") / 40), F.floor(F.col("seq") / 1000)):
+            got = {r["bar"]: r["impact"] for r in aggregates.book_walk_impact(df, ["bar"], ["seq"], fraction, bucket).collect()}
+            for bar in "xyzw":
+                mine = sorted((t, p, q) for b, t, p, q, _ in rows if b == bar)
+                target, value, quantity = fraction * sum(p * q for _, p, q in mine), 0.0, 0.0
+                for _, p, q in mine:
+                    part = min(p * q, target - value)
+                    if part > 0:
+                        value, quantity = value + part, quantity + part / p
+                want = abs(value / quantity - mine[0][1]) / mine[0][1] / fraction**2 if quantity else 0.0
+                assert abs(got[bar] - want) < 1e-9
