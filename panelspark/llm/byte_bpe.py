@@ -21,7 +21,9 @@ from pyspark.sql import types as T
 
 from panelspark.llm.common import small_batches
 
-CACHE_PIECES = 400_000  # chunks a worker remembers; beyond it the memory is emptied, results do not change
+CACHE_BYTES = 32 << 20  # what a task remembers of encoded chunks, about; beyond it the memory is emptied, results do not change
+CACHE_CHARS = 64  # longer chunks are never remembered
+ENTRY_BYTES = 200  # two strings and a place in a dictionary, beside their characters
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -95,6 +97,7 @@ class Codec:
         self.bytes_of = {str(i): bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(n)}
         self.known: dict[str, str] = {}  # chunk after a space: its ids
         self.first: dict[str, str] = {}  # chunk as it stands: its ids
+        self.held = 0  # bytes of both, about
 
     def learn(self, new: set[str], prefix: str, known: dict[str, str]) -> None:
         gc.disable()  # many small lists at once, none in a cycle
@@ -119,35 +122,42 @@ class Codec:
             else:
                 head, *rest = text.split(" ")
                 cut.append(([head] if head else [], rest))
-        for known, prefix, at in ((self.first, "", 0), (self.known, " ", 1)):
-            if len(known) > CACHE_PIECES:
-                known.clear()
-            new = set().union(*[c[at] for c in cut]).difference(known)
-            if new:
-                self.learn(new, prefix, known)
-        first, known = self.first.__getitem__, self.known.__getitem__
+        views = [self.view(set().union(*[c[at] for c in cut]), prefix, known) for known, prefix, at in ((self.first, "", 0), (self.known, " ", 1))]
+        first, known = (view.__getitem__ for view in views)
         return [" ".join([*map(first, head), *map(known, rest)]) for head, rest in cut]
 
+    def view(self, wanted: set[str], prefix: str, known: dict[str, str]) -> dict[str, str]:
+        """Ids of the wanted chunks. What is new and short is remembered, as long as the bound allows."""
+        new = wanted.difference(known)
+        short = {c for c in new if len(c) <= CACHE_CHARS}
+        out = {c: known[c] for c in wanted - new}
+        for some, keep in ((short, True), (new - short, False)):
+            if not some:
+                continue
+            learned: dict[str, str] = {}
+            self.learn(some, prefix, learned)
+            out.update(learned)
+            if keep:
+                size = sum(ENTRY_BYTES + 2 * len(c) + len(ids) for c, ids in learned.items())
+                if self.held + size > CACHE_BYTES:
+                    self.first.clear(), self.known.clear()
+                    self.held = 0
+                if size <= CACHE_BYTES:
+                    known.update(learned)
+                    self.held += size
+        return out
+
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(" "))) if ids else b""
 
 
-_codecs: dict[tuple[bytes, str], Codec] = {}
-
-
-def worker_codec(model: bytes, pattern: str) -> Codec:
-    """The worker's one codec, which serves all tasks that it runs."""
-    if (model, pattern) not in _codecs:
-        _codecs.clear()
-        _codecs[model, pattern] = Codec(model, pattern)
-    return _codecs[model, pattern]
-
-
 def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode its ids: n_tokens, ids_sha256, decoded_sha256 beside all columns but text.
 
     NULL and empty texts have no ids and decode to no bytes; both digests are then those of the empty string. ``with_ids`` adds
-    ``ids`` (array<int>). Columns named like the added ones are replaced. Every row is encoded by itself; there is no shuffle.
+    ``ids`` (array<int>). Columns named like the added ones are replaced. Every row is encoded by itself; there is no shuffle, so
+    repeated rows, ties and hot groups change nothing, and an empty table gives an empty one. A very long text is held once with its
+    ids; what a task remembers of chunks is bounded by ``CACHE_BYTES`` and given back, with the model, when the task ends.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((serialise_model(ranks), pattern))  # a fixed vocabulary of about a megabyte
@@ -157,7 +167,7 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, wi
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(*shared.value)
+        codec = Codec(*shared.value)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in small_batches(batches, len(kept)):
             n, ids_sha, text_sha, all_ids = [], [], [], []
@@ -174,5 +184,8 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, wi
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        del codec
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

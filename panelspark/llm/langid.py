@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from panelspark.llm.common import packed, small_batches
 
 ORDER = 4
-SAMPLE_DOCS = 20_000  # labelled documents a model is trained on; a hash of doc_id chooses them where there are more
+SAMPLE_DOCS = 5_000  # labelled documents of a language that a model is trained on; a hash of doc_id chooses them where there are more
+SAMPLE_BYTES = 32 << 20  # and their bytes
 TEXT_STEP = 1 << 18
 UNKNOWN = "und"
 MOST_BITS = 7.5
@@ -41,17 +42,21 @@ def grams(data: np.ndarray, order: int = ORDER) -> np.ndarray:
     return code
 
 
-def train(docs: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> PpmModel:
+def train(docs: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> PpmModel:
     """Model of the labelled documents that are not held out.
 
-    Uses doc_id, text and lang of rows with neither NULL. Counts are aggregated per task and then per (lang, gram), so what
-    reaches the driver is the model's own size: the distinct grams of at most about ``sample_docs`` documents.
+    Uses doc_id, text and lang of rows with neither NULL. Every language has its own quota, about ``sample_docs`` documents and
+    ``sample_bytes`` bytes, so a rare one is learned as well as it can be. Counts are aggregated per task and then per (lang, gram), so what
+    reaches the driver is the model's own size: the distinct grams of at most ``sample_bytes`` a language. Repeated rows count as often
+    as they stand there; an empty table gives a model of no language.
     """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
-    n = rows.select("doc_id").count()
-    if n > sample_docs:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample_docs / n))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row per language
+    rate = {r.lang: min(1.0, sample_docs / r.n, sample_bytes / max(r.bytes, 1)) for r in sizes}
+    if any(x < 1 for x in rate.values()):
+        share = F.create_map(*[F.lit(v) for lang, x in rate.items() for v in (lang, int((1 << 20) * x))])
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -170,7 +175,8 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
 
     ``score`` is the best language's share if every language weighs 2^-(code length); ties go to the first name. NULL texts,
     texts without a letter, and all texts under a model of no language are ``und`` with score 0 and NULL bits. Columns named
-    like the added ones are replaced.
+    like the added ones are replaced. Rows are predicted one by one, repeated rows alike; a very long text is scored in pieces of
+    ``TEXT_STEP`` bytes; an empty table gives an empty one.
     """
     added = ("lang_pred", "score", "bits_per_byte")
     kept = [c for c in docs.columns if c not in added]

@@ -45,31 +45,53 @@ BASE_RULES = (
 )
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", literal="_"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", literal="PRIVATE KEY-----"),
+    # no group is repeated in any rule: Java's matcher recurses once per repeat of a group
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", literal="PRIVATE KEY-----", version=2),
 )
 RULES = BASE_RULES + MORE_RULES
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
+def running(values: Column, fold, chunk: int = 256) -> Column:
+    """Inclusive prefix folds (sums, maxima) of an array of whole numbers.
+
+    Appending to an array copies it, so chunks of ``chunk`` elements are folded by themselves and the chunks' last folds carry over.
+    """
+    def prefix(some: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.concat(acc, F.array(F.when(F.size(acc) > 0, fold(F.get(acc, F.size(acc) - 1), x)).otherwise(x)))
+
+        return F.aggregate(some, F.array().cast("array<int>"), step)
+
+    def carried(parts: Column) -> Column:
+        def joined(tops: Column) -> Column:
+            return F.flatten(F.transform(parts, lambda part, c: F.when(c == 0, part).otherwise(F.transform(part, lambda e: fold(F.get(tops, c - 1), e)))))
+
+        return let(prefix(F.transform(parts, lambda part: F.get(part, F.size(part) - 1))), joined)
+
+    def cut(whole: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(whole), F.lit(chunk))
+        return F.when(F.size(whole) > 0, let(F.transform(starts, lambda at: prefix(F.slice(whole, at, chunk))), carried)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, cut)
+
+
 def spans(text: Column, rule: Rule, rank: int) -> Column:
     """Matches of one rule as (start, rank, kind, end) in code points, end exclusive.
 
-    The pieces between matches and the matches themselves alternate, so their lengths give the places.
+    The pieces between matches and the matches themselves alternate, so running sums of their lengths give the places.
     """
     def places(found: Column) -> Column:
-        def walk(parts: Column) -> Column:
-            def step(acc: Column, i: Column) -> Column:
-                match = F.get(found, i)
-                start = acc["pos"] + F.length(F.get(parts, i))
-                end = start + F.length(match)
-                kept = F.length(F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least
-                span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-                return F.struct(end.alias("pos"), F.when(kept, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        def ends(parts: Column) -> Column:
+            return running(F.transform(found, lambda m, i: F.length(F.get(parts, i)) + F.length(m)), lambda a, b: a + b)
 
-            zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
+        def kept(end: Column) -> Column:
+            size = lambda i: F.length(F.get(found, i))
+            group = lambda i: F.length(F.regexp_extract(F.get(found, i), rule.pattern, rule.group))
+            every = F.transform(end, lambda e, i: F.struct((e - size(i)).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), e.alias("end"), (group(i) >= rule.least).alias("kept")))
+            return F.transform(F.filter(every, lambda s: s["kept"]), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
 
-        return F.when(F.size(found) > 0, let(F.split(text, rule.pattern, -1), walk)).otherwise(F.array().cast(SPAN))
+        return F.when(F.size(found) > 0, let(let(F.split(text, rule.pattern, -1), ends), kept)).otherwise(F.array().cast(SPAN))
 
     hits = let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), places)
     return hits if rule.literal is None else F.when(F.contains(text, F.lit(rule.literal)), hits).otherwise(F.array().cast(SPAN))
@@ -114,8 +136,9 @@ class Ledger:
         kinds = {r.kind: (r.key, i) for i, r in enumerate(rules)}
         current = lambda x: F.array_contains("rules", F.element_at(F.create_map(*[F.lit(v) for k, (key, _) in kinds.items() for v in (k, key)]), x["kind"]))
         hits = self.read().select("blob", F.filter("spans", current).alias("spans")).filter(F.size("spans") > 0)
-        # a repeated path and content was scanned as often as it stands there: equal spans are one
-        return hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        sorted_ = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        # a repeated path and content was scanned as often as it stands there: equal spans are one, and they are neighbours
+        return sorted_.select("blob", F.filter("spans", lambda s, i: (i == 0) | (s != F.get("spans", i - 1))).alias("spans"))
 
     def findings(self, named: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         """(path, blob, spans) for rows of (path, blob): what the given rule versions have found in the blob so far."""
@@ -135,15 +158,28 @@ def digest(findings: DataFrame, rules: Sequence[Rule] = BASE_RULES) -> DataFrame
     return findings.select(F.col("path").alias("doc_id"), *[count(k) for k in kinds], F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with every span replaced by ``mark``; spans that overlap are replaced by one."""
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["pos"]
-        gap = F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+def redact(text: Column, found: Column, mark: str = "[REDACTED]", block: int = 4096) -> Column:
+    """The text with every span replaced by ``mark``; spans that overlap are replaced by one.
 
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))).otherwise(text)
+    Texts are cut out of blocks of ``block`` characters, so the cost of a span does not depend on how far inside the text it lies.
+    """
+    def cleaned(blocks: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            one, last = F.floor(start / block).cast("int"), F.floor(end / block).cast("int")
+            at = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+            inside = F.substring(at(one), start % block + 1, end - start)
+            over = F.concat(F.substring(at(one), start % block + 1, F.lit(block)), F.array_join(F.slice(blocks, one + 2, last - one - 1), ""), F.substring(at(last), F.lit(1), end % block))
+            return F.when(end <= start, F.lit("")).when(one == last, inside).otherwise(over)
+
+        def joined_up(reached: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(reached, i - 1), F.lit(0))
+            gap = lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(before(i), s["start"]), F.lit(mark))).otherwise(F.lit(""))
+            return F.concat(F.array_join(F.transform(found, gap), ""), piece(F.get(reached, F.size(reached) - 1), F.length(text)))
+
+        return let(running(F.transform(found, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), joined_up)
+
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    return F.when(F.size(found) > 0, let(cut, cleaned)).otherwise(text)
 
 
 def redact_documents(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES) -> DataFrame:
