@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,8 +10,10 @@ from pyspark.sql import types as T
 
 from panelspark.functions.scalar import ratio
 from panelspark.layout import settle, trailing
-from panelspark.operators.asof import asof_month
-from panelspark.operators.portfolio import Tilt, carried, froth_signal, inverse_vol_weights, strong_trend, tilt_chain
+from panelspark.operators.asof import asof
+from panelspark.operators.portfolio import (
+    FEE_PRESETS, MAKER_FILL_HAIRCUT, Tilt, carried, froth_signal, inverse_vol_weights, portfolio_returns, strong_trend, tilt_chain,
+)
 from panelspark.operators.ranking import liquidity_schedule
 from panelspark.operators.windows import momentum, oi_divergence, ref, regime_exposure, roll_mean, roll_std
 
@@ -25,9 +28,9 @@ GATED_SCORE_BOOK = {**SCORE_BOOK, "regime_mode": "binary", "ma_window": 200}
 EQUAL_BOOK = {**GATED_SCORE_BOOK, "model": "constant", "vol_target": 0.50}
 VOL_BOOK = {
     "model": "constant", "factors": "ohlcv_windows", "label_horizon": 5, "purge_days": 6, "weighting": "inverse_vol",
-    "vol_lookback": 30, "regime_mode": "binary", "ma_window": 200, "vol_target": 0.50,
+    "vol_lookback": 30, "regime_mode": "binary", "ma_window": 200, "vol_target": 0.50, "universe": "majors",
 }
-NULL_BOOK = {**VOL_BOOK, "member_top_n": 10, "member_lookback": 30}
+NULL_BOOK = {**VOL_BOOK, "universe": "full_liquid", "member_top_n": 10, "member_lookback": 30}
 MOMENTUM = {**NULL_BOOK, "momentum_lookback": 30, "momentum_k": 1.0}
 OI = {**NULL_BOOK, "oi_lookback": 14, "oi_k": 1.0}
 RECIPES: dict[str, dict] = {
@@ -85,7 +88,7 @@ RECIPES: dict[str, dict] = {
 
 PARAM_SCHEMA = T.StructType(
     [T.StructField("recipe", T.StringType(), False)]
-    + [T.StructField(n, T.StringType()) for n in ("model", "factors", "extra_features", "weighting", "regime_mode")]
+    + [T.StructField(n, T.StringType()) for n in ("model", "factors", "extra_features", "weighting", "regime_mode", "universe")]
     + [
         T.StructField(n, T.IntegerType())
         for n in (
@@ -110,10 +113,10 @@ def recipe_table(spark) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(f.name) for f in PARAM_SCHEMA.fields) for r in rows], PARAM_SCHEMA)
 
 
-def resolve_recipe(name: str) -> dict:
-    if name not in RECIPES:
-        raise ValueError(f"unknown recipe {name!r}; choose one of {', '.join(sorted(RECIPES))}")
-    return RECIPES[name]
+def resolve_recipe(name: str, table: dict[str, dict] = RECIPES) -> dict:
+    if name not in table:
+        raise ValueError(f"unknown recipe {name!r}; choose one of {', '.join(sorted(table))}")
+    return table[name]
 
 
 def with_pit_universe(universe: DataFrame) -> DataFrame:
@@ -129,14 +132,19 @@ def sweep_names() -> list[str]:
     return [n for n, r in RECIPES.items() if r.get("weighting") == "inverse_vol"]
 
 
-def recipe_sweep(panel: DataFrame, benchmark: str, onchain: DataFrame | None = None, recipes: Sequence[str] | None = None) -> DataFrame:
+def recipe_sweep(
+    panel: DataFrame, benchmark: str, onchain: DataFrame | None = None, recipes: Sequence[str] | None = None, *,
+    table: dict[str, dict] = RECIPES, universes: DataFrame | None = None,
+) -> DataFrame:
     """(recipe, date, instrument, weight, target) of all inverse-vol recipes at once.
 
     Signals of every look-back are computed once per instrument, each row is then exploded into the recipes, and the
-    cross-sectional steps run keyed by (recipe, date). Exposure needs one small daily series per distinct gate.
+    cross-sectional steps run keyed by (recipe, date). Membership is a join on the recipe's own (top n, look-back), the trend of the
+    benchmark one on its own window, and with ``universes`` (universe, instrument) a recipe trades the names of its universe only.
+    Exposure needs one small daily series per distinct gate.
     """
-    names = list(recipes or sweep_names())
-    knobs = {n: resolve_recipe(n) for n in names}
+    names = list(recipes or [n for n, r in table.items() if r.get("weighting") == "inverse_vol"])
+    knobs = {n: resolve_recipe(n, table) for n in names}
     pick = lambda key: sorted({k[key] for k in knobs.values() if k.get(key) is not None})
     moms, vols, ois, trends = pick("momentum_lookback"), pick("vol_lookback"), pick("oi_lookback"), pick("trend_window")
 
@@ -166,20 +174,23 @@ def recipe_sweep(panel: DataFrame, benchmark: str, onchain: DataFrame | None = N
             (F.col(f"{'d' if k.get('oi_directional') else 'o'}_{oi}") if oi else null).alias("oi_div"),
             (F.col("smart_now") if "smart_k" in k else null).alias("smart"),
             (F.col("basis_now") if "crowding_k" in k else null).alias("crowding"),
-            young.alias("keep"), F.lit("member_top_n" in k).alias("restricted"),
+            young.alias("keep"), F.lit(k.get("universe")).cast("string").alias("universe"),
+            *[F.lit(k.get(c)).cast("int").alias(c) for c in ("member_top_n", "member_lookback", "ma_window")],
             *[F.lit(k.get(c)).cast("double").alias(c) for c in ("momentum_k", "oi_k", "smart_k", "crowding_k", "oi_trend_margin")],
         )
 
     rows = signals.select("instrument", "date", F.explode(F.array(*[row(n) for n in names])).alias("_r")).select("instrument", "date", "_r.*")
-    tops, backs = pick("member_top_n"), pick("member_lookback")
-    if tops:  # every recipe of the family shares one membership rule
-        schedule = liquidity_schedule(panel, tops[0], backs[0])
-        members = schedule.select(F.col("month").alias("schedule_month"), "instrument", F.lit(True).alias("_in"))
-        rows = asof_month(rows, schedule.select("month")).join(members, ["schedule_month", "instrument"], "left").filter(
-            ~F.col("restricted") | F.col("schedule_month").isNull() | F.col("_in")
-        ).drop("_in", "schedule_month")
-    ma = pick("ma_window")[0]
-    rows = rows.filter("keep").join(strong_trend(panel, benchmark, ma), "date", "left")
+    rows = rows.filter("keep")
+    if universes is not None:
+        named = universes.select("universe", "instrument").distinct().withColumn("_in", F.lit(True))
+        rows = rows.join(named, ["universe", "instrument"], "left").filter(F.col("universe").isNull() | F.col("_in")).drop("_in")
+    rules = sorted({(k["member_top_n"], k["member_lookback"]) for k in knobs.values() if "member_top_n" in k})
+    if rules:
+        rows = _members_of(rows, reduce(DataFrame.unionByName, [
+            liquidity_schedule(panel, top, back).select(F.lit(top).alias("member_top_n"), F.lit(back).alias("member_lookback"), "month", "instrument") for top, back in rules
+        ]))
+    trends_of = [strong_trend(panel, benchmark, ma).withColumn("ma_window", F.lit(ma)) for ma in pick("ma_window")]
+    rows = rows.join(reduce(DataFrame.unionByName, trends_of), ["date", "ma_window"], "left") if trends_of else rows.withColumn("trend", null)
     by = ["recipe", "date"]
     w = inverse_vol_weights(settle(rows, "sweep"), "vol", by)
     has = lambda c: F.col(c).isNotNull()
@@ -190,18 +201,53 @@ def recipe_sweep(panel: DataFrame, benchmark: str, onchain: DataFrame | None = N
         Tilt("smart", F.col("smart_k"), +1, has("smart_k")), Tilt("mom", F.col("momentum_k"), +1, has("momentum_k")),
     ]
     w = tilt_chain(w, chain, keys=by).filter(F.col("weight") > 0)
-    exposure = sweep_exposure(panel, benchmark, names, onchain)
+    exposure = sweep_exposure(panel, benchmark, names, onchain, table)
     return w.select("recipe", "date", "instrument", "weight").join(exposure, by, "left").withColumn(
         "target", F.col("weight") * F.coalesce("exposure", F.lit(1.0))
     ).drop("exposure")
 
 
-def sweep_exposure(panel: DataFrame, benchmark: str, names: Sequence[str], onchain: DataFrame | None = None) -> DataFrame:
+def _members_of(rows: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Rows whose instrument is a member under the row's own rule (member_top_n, member_lookback) in the latest schedule month.
+
+    Rows without a rule, and dates before a rule's first month, are unrestricted.
+    """
+    rule = ["member_top_n", "member_lookback"]
+    dated = rows.withColumn("month", F.trunc("date", "MM"))
+    months = dated.filter(F.col("member_top_n").isNotNull()).select(*rule, "month").distinct()
+    known = schedule.select(*rule, "month").distinct().withColumn("schedule_month", F.col("month"))
+    aligned = asof(months, known, ["schedule_month"], keys=rule, pos="month")
+    members = schedule.select(*rule, F.col("month").alias("schedule_month"), "instrument", F.lit(True).alias("_in"))
+    joined = dated.join(aligned, [*rule, "month"], "left").join(members, [*rule, "schedule_month", "instrument"], "left")
+    return joined.filter(F.col("schedule_month").isNull() | F.col("_in")).drop("_in", "schedule_month", "month")
+
+
+def cost_rates(spark, names: Sequence[str], table: dict[str, dict] = RECIPES) -> DataFrame:
+    """(recipe, cost_rate): the mean fee of both sides and the recipe's haircut, or the calibrated one, per unit traded."""
+    rows = []
+    for n in names:
+        k = resolve_recipe(n, table)
+        buy, sell = FEE_PRESETS[k.get("fee_preset", "vip2_bnb")]
+        rows.append((n, (buy + sell) / 2 + k.get("haircut", MAKER_FILL_HAIRCUT)))
+    return spark.createDataFrame(rows, "recipe string, cost_rate double")
+
+
+def sweep_returns(targets: DataFrame, fwd: DataFrame, rates: DataFrame) -> DataFrame:
+    """(recipe, date, gross, turnover, cost, ret) of the sweep's targets, every recipe at its own cost rate."""
+    daily = portfolio_returns(targets, fwd, targets.select("recipe", "date").distinct(), 0.0, ["recipe"], "target")
+    priced = daily.drop("cost", "ret").join(F.broadcast(rates), "recipe")  # one row per recipe
+    return priced.withColumn("cost", F.col("turnover") * F.col("cost_rate")).withColumn("ret", F.col("gross") - F.col("cost")).drop("cost_rate")
+
+
+def sweep_exposure(
+    panel: DataFrame, benchmark: str, names: Sequence[str], onchain: DataFrame | None = None, table: dict[str, dict] = RECIPES
+) -> DataFrame:
     """(recipe, date, exposure): one daily series per recipe, all on the benchmark close."""
     bench = panel.filter(F.col("instrument") == benchmark).select("instrument", "date", "close")
     groups: dict[tuple, list[str]] = {}
+    resolve = lambda n: resolve_recipe(n, table)
     for n in names:
-        k = resolve_recipe(n)
+        k = resolve(n)
         gated = k.get("trend_window") is None or bool(k.get("compose_market_gate"))
         gate = (k["regime_mode"], k["ma_window"], k.get("vol_target"), k.get("confirm", 0)) if gated else ()
         groups.setdefault(gate, []).append(n)
@@ -213,8 +259,8 @@ def sweep_exposure(panel: DataFrame, benchmark: str, names: Sequence[str], oncha
         )
         part = series.select("date", "exposure", F.explode(F.array(*[F.lit(m) for m in members])).alias("recipe"))
         out = part if out is None else out.unionByName(part)
-    froth = {n: resolve_recipe(n) for n in names if "froth_lookback" in resolve_recipe(n)}
-    chain = {n: resolve_recipe(n) for n in names if "onchain_window" in resolve_recipe(n)} if onchain is not None else {}
+    froth = {n: resolve(n) for n in names if "froth_lookback" in resolve(n)}
+    chain = {n: resolve(n) for n in names if "onchain_window" in resolve(n)} if onchain is not None else {}
     for overlays, signal, strict, zkey, dkey in (
         (froth, lambda k: froth_signal(panel, "basis", k["froth_lookback"]), False, "froth_z", "froth_derisk"),
         (chain, lambda k: onchain, True, "onchain_z", "onchain_derisk"),

@@ -1,6 +1,8 @@
 """Queries of split designs, resampling, overfitting, models and reports."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from panelspark.layout import fresh_path, settle, trailing
@@ -9,7 +11,7 @@ from panelspark.operators.portfolio import topk_members
 from panelspark.plans import recipes, reports, resampling as rs, validation as va
 from panelspark.queries import inputs as i
 from panelspark.queries.aggregate_queries import DSR, SR
-from panelspark.queries.portfolio_queries import book_ctes
+from panelspark.queries.portfolio_queries import VOL, book_ctes, inverse_sql, schedule_ctes, tilt_sql
 from panelspark.queries.registry import csrank, emax, lagged, over, pct, psr_sql, query, rmean, rstd, sql
 from panelspark.queries.table_queries import D, literal
 from panelspark.sources.tables import append_trial
@@ -546,3 +548,41 @@ def _(spark, sf):
     from panelspark.queries.portfolio_queries import chain_signal
 
     return recipes.recipe_sweep(settle(i.dense(spark, sf), "dense"), "L1", settle(chain_signal(spark, sf), "chain"))
+
+
+# Recipes that differ from the first in one knob each: membership, market window, universe, haircut.
+FIRST = {
+    "weighting": "inverse_vol", "vol_lookback": 10, "regime_mode": "binary", "ma_window": 20, "member_top_n": 5, "member_lookback": 30, "momentum_lookback": 14,
+    "momentum_k": 0.5, "crowding_k": 1.0, "oi_lookback": 7, "oi_k": 0.5, "oi_trend_margin": 0.1,
+}
+VARIANTS = {
+    "first": FIRST, "members": {**FIRST, "member_top_n": 3, "member_lookback": 60}, "window": {**FIRST, "ma_window": 40}, "few": {**FIRST, "universe": "few"},
+    "hicost": {**FIRST, "haircut": 0.002},
+}
+
+
+def variant_ctes(name: str, top: int, back: int, window: int, names: str) -> dict[str, str]:
+    """One recipe's chain from signals to the daily book under names of its own."""
+    sched = {n: q.replace("INTERVAL 30 DAY", f"INTERVAL {back} DAY") for n, q in schedule_ctes("bars", top).items()}
+    chain = {
+        **sched, "trend": f"SELECT date + 1 AS date, close / nullif({rmean('close', window)}, 0) - 1 AS trend FROM dense WHERE instrument = 'L1'",
+        "member": f"""SELECT f.*, t.trend FROM (SELECT f.*, (SELECT max(month) FROM months m WHERE m.month <= date_trunc('month', f.date)) AS sm FROM sig f WHERE {names}) f LEFT JOIN trend t USING (date)
+ WHERE f.sm IS NULL OR EXISTS (SELECT 1 FROM sched s WHERE s.month = f.sm AND s.instrument = f.instrument)""",
+        "iv": inverse_sql("member"), "t1": tilt_sql("iv", "crowding", 1.0, -1, "w0", "w1"), "t2": tilt_sql("t1", "oi_div", 0.5, 1, "w1", "w2", "trend > 0.1"), "t3": tilt_sql("t2", "mom", 0.5, 1, "w2", "w3"),
+        "gate1": f"SELECT date, CASE WHEN {rmean('close', window)} IS NULL OR close > {rmean('close', window)} THEN 1.0::DOUBLE ELSE 0.0 END AS exposure FROM dense WHERE instrument = 'L1'",
+        "final": "SELECT instrument, date, fwd, w3 * coalesce(exposure, 1) AS weight FROM t3 LEFT JOIN gate1 USING (date) WHERE w3 > 0", **book_ctes("final")}
+    own = re.compile(r"\b(" + "|".join(chain) + r")\b(?! *\()")
+    return {f"{n}_{name}": own.sub(rf"\1_{name}", q) for n, q in chain.items()}
+
+
+VARIANT_CTES = VOL | variant_ctes("first", 5, 30, 20, "true") | variant_ctes("members", 3, 60, 20, "true") | variant_ctes("window", 5, 30, 40, "true") | variant_ctes("few", 5, 30, 20, "instrument IN ('L1', 'L2', 'L6')")
+RATES = [("first", "first", "0.0006 + 0.00021654821992135172"), ("members", "members", "0.0006 + 0.00021654821992135172"), ("window", "window", "0.0006 + 0.00021654821992135172"),
+         ("few", "few", "0.0006 + 0.00021654821992135172"), ("hicost", "first", "0.0006 + 0.002")]
+
+
+@query("R2_recipe_variants", sql(" UNION ALL ".join(f"SELECT '{n}' AS recipe, date, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(turnover * ({r}), 6) AS cost, round(gross - turnover * ({r}), 6) AS ret FROM gr_{c} JOIN chg_{c} USING (date)" for n, c, r in RATES), "returns", **VARIANT_CTES))
+def _(spark, sf):
+    p = settle(i.returns(spark, sf), "dense")
+    few = literal(spark, [("few", x) for x in ("L1", "L2", "L6")], "universe string, instrument string")
+    targets = settle(recipes.recipe_sweep(p, "L1", table=VARIANTS, universes=few), "variants")
+    return i.rounded(recipes.sweep_returns(targets, p.select("instrument", "date", "fwd"), recipes.cost_rates(spark, list(VARIANTS), VARIANTS)))
