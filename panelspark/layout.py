@@ -100,7 +100,9 @@ def cuts_of(size: Column, quantiles: Column, chunks: int, chunk_rows: int) -> Co
 
 
 def quantile_marks(value: str, chunks: int) -> Column:
-    return F.percentile_approx(value, F.array(*[F.lit(i / chunks) for i in range(1, chunks)]), chunks * 4)
+    # one expression in SQL: a column per mark would cost the driver more than most queries take
+    marks = ", ".join(f"{i / chunks!r}D" for i in range(1, chunks))
+    return F.expr(f"percentile_approx(`{value}`, array({marks}), {chunks * 4})")
 
 
 def with_chunks(rows: DataFrame, keys: Sequence[str], cut_on: str, chunks: int, chunk_rows: int, *sums: Column) -> DataFrame:

@@ -110,15 +110,23 @@ def observations(
     )
 
 
-def _per_cell(ks: Sequence[int], hs: Sequence[int], columns) -> Column:
-    """One struct (k, h, …) per cell of the grid; ``columns(k, h)`` names its columns."""
-    return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(h).alias("h"), *[c.alias(n) for n, c in columns(k, h).items()]) for k in ks for h in hs])
+def _per_cell(ks: Sequence[int], hs: Sequence[int], columns: Sequence[str], **named: str) -> Column:
+    """One struct (k, h, …) per cell of the grid from columns named ``<column>_k_h``; ``named`` gives further ones as SQL of {k} and {h}."""
+    field = lambda k, h: [f"{k} AS k", f"{h} AS h", *[f"{c}_{k}_{h} AS {c}" for c in columns], *[f"{q.format(k=k, h=h)} AS {n}" for n, q in named.items()]]
+    return F.expr("array(" + ", ".join(f"struct({', '.join(field(k, h))})" for k in ks for h in hs) + ")")
 
 
-def _triple(k: int, h: int) -> tuple[Column, Column, Column, Column]:
-    """Predictor, own past, forward return, and whether all three are there."""
-    p, o, f = F.col(f"pred_{k}"), F.col(f"past_{k}"), F.col(f"fwd_{h}")
-    return p, o, f, p.isNotNull() & o.isNotNull() & f.isNotNull()
+# Expressions of a grid are many and alike, so they are written as SQL: a cell's rows are those that have all three values.
+FULL = "pred_{k} IS NOT NULL AND past_{k} IS NOT NULL AND fwd_{h} IS NOT NULL"
+PRODUCTS = {
+    "sp": "pred_{k}", "so": "past_{k}", "sf": "fwd_{h}", "spp": "pred_{k} * pred_{k}", "spo": "pred_{k} * past_{k}", "soo": "past_{k} * past_{k}",
+    "spf": "pred_{k} * fwd_{h}", "sof": "past_{k} * fwd_{h}", "sff": "fwd_{h} * fwd_{h}",
+}
+
+
+def _grid(ks: Sequence[int], hs: Sequence[int], **named: str) -> list[Column]:
+    """Columns ``<name>_k_h`` of every cell from SQL of {k} and {h}."""
+    return [F.expr(f"{q.format(k=k, h=h)} AS {n}_{k}_{h}") for k in ks for h in hs for n, q in named.items()]
 
 
 def moment_cube(wide: DataFrame, ks: Sequence[int], hs: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
@@ -127,19 +135,10 @@ def moment_cube(wide: DataFrame, ks: Sequence[int], hs: Sequence[int], keys: Seq
     ``pairs`` counts rows that have predictor and forward return. The result has one row per cell and symbol, whatever the length of
     the series.
     """
-    products = {"p": "p", "o": "o", "f": "f", "pp": "pp", "po": "po", "oo": "oo", "pf": "pf", "of": "of", "ff": "ff"}
-    aggs = []
-    for k in ks:
-        for h in hs:
-            p, o, f, full = _triple(k, h)
-            value = {"p": p, "o": o, "f": f}
-            aggs += [F.count_if(full).alias(f"n_{k}_{h}"), F.count_if(p.isNotNull() & f.isNotNull()).alias(f"pairs_{k}_{h}")]
-            for name in products:
-                term = value[name[0]] if len(name) == 1 else value[name[0]] * value[name[1]]
-                aggs.append(F.sum(F.when(full, term)).alias(f"s{name}_{k}_{h}"))
-    sums = wide.groupBy(*keys, "predictor", "symbol").agg(*aggs)
-    named = _per_cell(ks, hs, lambda k, h: {n: F.col(f"{n}_{k}_{h}") for n in ("n", "pairs", *[f"s{x}" for x in products])})
-    return sums.select(*keys, "predictor", "symbol", F.explode(named).alias("_c")).select(*keys, "predictor", "symbol", "_c.*")
+    counts = {"n": f"count_if({FULL})", "pairs": "count_if(pred_{k} IS NOT NULL AND fwd_{h} IS NOT NULL)"}
+    sums = {n: f"sum(CASE WHEN {FULL} THEN {x} END)" for n, x in PRODUCTS.items()}
+    wide_sums = wide.groupBy(*keys, "predictor", "symbol").agg(*_grid(ks, hs, **counts, **sums))
+    return wide_sums.select(*keys, "predictor", "symbol", F.explode(_per_cell(ks, hs, [*counts, *sums])).alias("_c")).select(*keys, "predictor", "symbol", "_c.*")
 
 
 def cube_ols(cube: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -158,24 +157,15 @@ def wide_scores(wide: DataFrame, cube: DataFrame, fit: DataFrame, ks: Sequence[i
     Means, betas and pair counts travel as one row per (predictor, symbol).
     """
     params = cube.join(fit.select(*CELL, "beta", "gamma"), list(CELL)).filter("n > 0 OR pairs > 0")
-    here = lambda k, h, c: F.max(F.when((F.col("k") == k) & (F.col("h") == h), c))
-    n = F.nullif(F.col("n"), F.lit(0))
-    table = params.groupBy("predictor", "symbol").agg(*[
-        here(k, h, c).alias(f"{name}_{k}_{h}") for k in ks for h in hs
-        for name, c in {"mp": F.col("sp") / n, "mo": F.col("so") / n, "mf": F.col("sf") / n, "beta": F.col("beta"), "gamma": F.col("gamma"), "pairs": F.col("pairs")}.items()
-    ])
-    joined = wide.join(table, ["predictor", "symbol"])
-    out, seen = {}, []
-    for k in ks:
-        for h in hs:
-            p, o, f, full = _triple(k, h)
-            at = lambda name, k=k, h=h: F.col(f"{name}_{k}_{h}")
-            x1, x2, y = p - at("mp"), o - at("mo"), f - at("mf")
-            e = y - at("beta") * x1 - at("gamma") * x2
-            out |= {f"y_{k}_{h}": F.when(full, y), f"s1_{k}_{h}": F.when(full, x1 * e), f"s2_{k}_{h}": F.when(full, x2 * e)}
-            seen.append(f"pairs_{k}_{h}")
-    names = [*[f"pred_{k}" for k in ks], *[f"fwd_{h}" for h in hs], *seen]
-    return joined.select("predictor", "symbol", "ts", "step", *names, *[c.alias(name) for name, c in out.items()])
+    of = {"mp": "sp / nullif(n, 0)", "mo": "so / nullif(n, 0)", "mf": "sf / nullif(n, 0)", "beta": "beta", "gamma": "gamma", "pairs": "pairs"}
+    table = params.groupBy("predictor", "symbol").agg(*_grid(ks, hs, **{n: f"max(CASE WHEN k = {{k}} AND h = {{h}} THEN {q} END)" for n, q in of.items()}))
+    rest = "fwd_{h} - mf_{k}_{h} - beta_{k}_{h} * (pred_{k} - mp_{k}_{h}) - gamma_{k}_{h} * (past_{k} - mo_{k}_{h})"
+    # a missing value in any of the three makes all of these NULL by itself
+    joined = wide.join(table, ["predictor", "symbol"]).select("*", *_grid(ks, hs, y=f"CASE WHEN {FULL} THEN fwd_{{h}} - mf_{{k}}_{{h}} END", e=rest))
+    return joined.select(
+        "predictor", "symbol", "ts", "step", *[f"pred_{k}" for k in ks], *[f"fwd_{h}" for h in hs], *[f"{n}_{k}_{h}" for k in ks for h in hs for n in ("pairs", "y")],
+        *_grid(ks, hs, s1="(pred_{k} - mp_{k}_{h}) * e_{k}_{h}", s2="(past_{k} - mo_{k}_{h}) * e_{k}_{h}"),
+    )
 
 
 def hourly_cells(scored: DataFrame, ks: Sequence[int], hs: Sequence[int]) -> DataFrame:
@@ -184,18 +174,12 @@ def hourly_cells(scored: DataFrame, ks: Sequence[int], hs: Sequence[int]) -> Dat
     ``n``, ``sy``: complete rows and their signs of y; ``g``, ``g1``, ``g2``: rows with scores and their sums; ``m10``, ``f10`` and ``m20``, ``f20``:
     pairs and their forward returns of symbols with at least ten and twenty pairs.
     """
-    aggs = [F.max(f"pred_{k}").alias(f"pred_{k}") for k in ks]
-    for k in ks:
-        for h in hs:
-            c = lambda name, k=k, h=h: F.col(f"{name}_{k}_{h}")
-            pair = F.col(f"pred_{k}").isNotNull() & F.col(f"fwd_{h}").isNotNull()
-            aggs += [F.count(c("y")).alias(f"n_{k}_{h}"), F.sum(F.signum(c("y"))).alias(f"sy_{k}_{h}"), F.count(c("s1")).alias(f"g_{k}_{h}"), F.sum(c("s1")).alias(f"g1_{k}_{h}"), F.sum(c("s2")).alias(f"g2_{k}_{h}")]
-            for least in (10, 20):
-                use = pair & (c("pairs") >= least)
-                aggs += [F.count_if(use).alias(f"m{least}_{k}_{h}"), F.sum(F.when(use, F.col(f"fwd_{h}"))).alias(f"f{least}_{k}_{h}")]
-    wide = scored.groupBy("predictor", "ts").agg(*aggs)
-    cells = _per_cell(ks, hs, lambda k, h: {"pred": F.col(f"pred_{k}")} | {n: F.col(f"{n}_{k}_{h}") for n in ("n", "sy", "g", "g1", "g2", "m10", "f10", "m20", "f20")})
-    return wide.select("predictor", "ts", F.explode(cells).alias("_c")).select("predictor", "ts", "_c.*")
+    sums = {"n": "count(y_{k}_{h})", "sy": "sum(signum(y_{k}_{h}))", "g": "count(s1_{k}_{h})", "g1": "sum(s1_{k}_{h})", "g2": "sum(s2_{k}_{h})"}
+    for least in (10, 20):
+        use = f"pred_{{k}} IS NOT NULL AND fwd_{{h}} IS NOT NULL AND pairs_{{k}}_{{h}} >= {least}"
+        sums |= {f"m{least}": f"count_if({use})", f"f{least}": f"sum(CASE WHEN {use} THEN fwd_{{h}} END)"}
+    wide = scored.groupBy("predictor", "ts").agg(*[F.max(f"pred_{k}").alias(f"pred_{k}") for k in ks], *_grid(ks, hs, **sums))
+    return wide.select("predictor", "ts", F.explode(_per_cell(ks, hs, list(sums), pred="pred_{k}")).alias("_c")).select("predictor", "ts", "_c.*")
 
 
 def demeaned(obs: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -336,21 +320,24 @@ def wide_newey_west(scored: DataFrame, fit: DataFrame, ks: Sequence[int], hs: Se
     cells = [(k, h) for k in ks for h in hs if h > 1]
     if not cells:
         return _hac(fit.withColumns({m: F.lit(0.0) for m in ("m11", "m12", "m22")}), CELL)
-    cut = scored.withColumn("_seg", F.floor(F.col("step") / F.lit(block)))
-    new = {f"{s}_{k}_{h}_{l}": F.expr(f"lag({s}_{k}_{h}, {l}) IGNORE NULLS {over}") for k, h in cells for s in ("s1", "s2") for l in range(1, h)}
-    new |= {f"a_{k}_{h}": F.expr(f"count(s1_{k}_{h}) {over}") for k, h in cells} | {f"z_{k}_{h}": F.expr(f"count(s1_{k}_{h}) OVER (PARTITION BY {parts})") for k, h in cells}
-    lagged = cut.withColumns(new)
+    cut = scored.select("predictor", "symbol", "step", F.floor(F.col("step") / F.lit(block)).alias("_seg"), *[f"{s}_{k}_{h}" for k, h in cells for s in ("s1", "s2")])
+    new = [f"lag({s}_{k}_{h}, {l}) IGNORE NULLS {over} AS {s}_{k}_{h}_{l}" for k, h in cells for s in ("s1", "s2") for l in range(1, h)]
+    new += [q for k, h in cells for q in (f"count(s1_{k}_{h}) {over} AS a_{k}_{h}", f"count(s1_{k}_{h}) OVER (PARTITION BY {parts}) AS z_{k}_{h}")]
+    lagged = cut.selectExpr("*", *new)
     aggs, each, edge = [], [], []
     for k, h in cells:
-        c = lambda name, k=k, h=h: F.col(f"{name}_{k}_{h}")
-        meat = _lag_products(c("s1"), c("s2"), [(F.lit(1 - l / h), c("s1", k, f"{h}_{l}"), c("s2", k, f"{h}_{l}")) for l in range(1, h)])
-        aggs += [F.sum(m).alias(f"{n}_{k}_{h}") for n, m in meat.items()]
-        cell = [F.lit(k).alias("k"), F.lit(h).alias("h")]
-        each.append(F.struct(*cell, *[c(n).alias(n) for n in meat]))
-        outer = c("s1").isNotNull() & ((c("a") <= reach) | (c("z") - c("a") < reach))
-        edge.append(F.when(outer, F.struct(*cell, c("a").alias("_a"), c("z").alias("_n"), c("s1").alias("s1"), c("s2").alias("s2"))))
-    sums = lagged.groupBy("predictor").agg(*aggs).select("predictor", F.explode(F.array(*each)).alias("_c")).select("predictor", "_c.*")
-    edges = lagged.select("predictor", "symbol", "_seg", F.explode(F.array_compact(F.array(*edge))).alias("_c")).select("predictor", "symbol", "_seg", "_c.*")
+        c = f"{k}_{h}"
+        lags = [(1 - l / h, f"coalesce(s1_{c}_{l}, 0D)", f"coalesce(s2_{c}_{l}, 0D)") for l in range(1, h)]
+        meat = {
+            "m11": " + ".join([f"s1_{c} * s1_{c}", *[f"{w!r}D * 2 * s1_{c} * {p1}" for w, p1, _ in lags]]),
+            "m12": " + ".join([f"s1_{c} * s2_{c}", *[f"{w!r}D * (s1_{c} * {p2} + s2_{c} * {p1})" for w, p1, p2 in lags]]),
+            "m22": " + ".join([f"s2_{c} * s2_{c}", *[f"{w!r}D * 2 * s2_{c} * {p2}" for w, _, p2 in lags]]),
+        }
+        aggs += [F.expr(f"sum({q}) AS {n}_{c}") for n, q in meat.items()]
+        each.append(f"struct({k} AS k, {h} AS h, " + ", ".join(f"{n}_{c} AS {n}" for n in meat) + ")")
+        edge.append(f"CASE WHEN s1_{c} IS NOT NULL AND (a_{c} <= {reach} OR z_{c} - a_{c} < {reach}) THEN struct({k} AS k, {h} AS h, a_{c} AS _a, z_{c} AS _n, s1_{c} AS s1, s2_{c} AS s2) END")
+    sums = lagged.groupBy("predictor").agg(*aggs).select("predictor", F.expr(f"explode(array({', '.join(each)})) AS _c")).select("predictor", "_c.*")
+    edges = lagged.select("predictor", "symbol", "_seg", F.expr(f"explode(array_compact(array({', '.join(edge)}))) AS _c")).select("predictor", "symbol", "_seg", "_c.*")
     full = _with_edges(sums, edges, reach, CELL, stacked)
     return _hac(fit.join(full, list(CELL), "left"), CELL)
 
@@ -433,7 +420,12 @@ def same_sign(yearly: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
 def nonoverlap_beta(panel: DataFrame, predictor: str, k: int, h: int) -> DataFrame:
     """Beta and p at horizon 1 on every h-th timestamp of the panel, where no two forward returns overlap."""
     thin = panel.filter(F.pmod(F.col("step") - 1, F.lit(h)) == 0).withColumn("step", F.expr(f"(step - 1) div {h} + 1").cast("int"))
-    return run_cells(thin, [predictor], [k], [1]).select("predictor", "k", F.lit(h).alias("h"), "n_obs", "beta", "p_value")
+    wide = settle(wide_observations(thin, [predictor], [k], [1]), "thin")
+    cube = moment_cube(wide, [k], [1])
+    fit = settle(cube_ols(cube), "thin-fit")
+    hourly = hourly_cells(wide_scores(wide, cube, fit, [k], [1]), [k], [1])
+    tested = combined_test(fit, wide_newey_west(wide, fit, [k], [1]), _clustered(hourly.filter("g > 0"), fit, CELL))
+    return tested.select("predictor", "k", F.lit(h).alias("h"), "n_obs", "beta", "p_value")
 
 
 def ic_series(obs: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:

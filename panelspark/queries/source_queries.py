@@ -295,31 +295,59 @@ def _(spark, sf):
     return ar.sample_manifest(t.select(path.alias("path"), "length"), ["L1", "L2", "L3", "L4", "L5"], "1996-01-01", "1999-12-31").withColumn("present_dates", F.array_join(F.col("present_dates").cast("array<string>"), ","))
 
 
-def event_slices(spark, sf, slices=5):
-    """The events in order of time as one file after another, so that a stream takes them in several micro-batches."""
-    e = spark.read.schema(jobs.EVENT_SCHEMA).parquet(f"{sf}/events.parquet")
-    low, high = e.agg(F.min("ts"), F.max("ts")).first()
-    root = fresh_path(spark, "events")
-    for n in range(slices):
-        part = F.least(F.lit(slices - 1), F.floor(F.datediff("ts", F.lit(low)) * slices / max(1, (high - low).days)))
-        e.filter(part == n).coalesce(1).write.mode("append").parquet(root)
-    return jobs.event_stream(spark, root, "*.parquet", files_per_trigger=1)
+SLICES, FILES = 5, 4
+
 
+def event_slices(spark, sf, root=None, slices=range(SLICES), replays=False):
+    """The events in slices of time, written one after another by several tasks each; a stream takes one slice per micro-batch.
 
-@query("ST1_daily_sums", "SELECT event_type, CAST(ts AS DATE) AS date, round(sum(value), 4) AS total, count(*) AS n FROM events GROUP BY ALL")
+    Every 40th event comes one slice late and every 120th two, most of which is beyond the watermark. With ``replays`` every 25th comes twice in its slice. Rows are dealt by id, so a slice has as
+    many files as the stream takes at once.
+    """
+    e = spark.read.schema(jobs.EVENT_SCHEMA).parquet(f"{sf}/events.parquet")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    root = root or fresh_path(spark, "events")
+    last = SLICES - 1
+    own = F.least(F.lit(last), F.floor(F.datediff("ts", F.lit(low)) * SLICES / max(1, (high - low).days)))
+    delay = F.when(F.pmod("event_id", F.lit(120)) == 0, 2).when(F.pmod("event_id", F.lit(40)) == 0, 1).otherwise(0)
+    comes = F.least(F.lit(last), own + delay)
+    times = F.when(F.lit(replays) & (F.pmod("event_id", F.lit(25)) == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    dealt = e.withColumns({"_slice": comes, "_time": times}).withColumn("_time", F.explode("_time"))
+    for n in slices:
+        dealt.filter(F.col("_slice") == n).drop("_slice", "_time").repartition(FILES, "event_id").write.mode("append").parquet(root)
+    return jobs.event_stream(spark, root, "*.parquet", files_per_trigger=FILES)
+
+
+# What the stream counts: a late row is dropped once its window has ended before the watermark of its micro-batch, which is a day
+# before the latest time of the micro-batches up to the one before the last.
+def stream_ctes(window: str) -> str:
+    return f"""WITH span AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events),
+own AS (SELECT e.*, least({SLICES - 1}, floor(date_diff('day', CAST(lo AS DATE), CAST(ts AS DATE)) * {SLICES} / greatest(1, floor(epoch(hi - lo) / 86400)))) AS own FROM events e, span),
+came AS (SELECT *, least({SLICES - 1}, own + CASE WHEN event_id % 120 = 0 THEN 2 WHEN event_id % 40 = 0 THEN 1 ELSE 0 END) AS slice FROM own),
+tops AS (SELECT slice, max(ts) AS top FROM came GROUP BY slice),
+marks AS (SELECT c.slice, max(t.top) - INTERVAL 1 DAY AS mark FROM (SELECT DISTINCT slice FROM came) c LEFT JOIN tops t ON t.slice <= c.slice - 2 GROUP BY c.slice),
+counted AS (SELECT came.*, mark FROM came JOIN marks USING (slice) WHERE mark IS NULL OR {window} > mark)"""
+
+
+@query("ST1_daily_sums", stream_ctes("date_trunc('day', ts) + INTERVAL 1 DAY") + """
+SELECT event_type, CAST(ts AS DATE) AS date, round(sum(value), 4) AS total, count(*) AS n FROM counted GROUP BY ALL""")
 def _(spark, sf):
     out = jobs.run_available(jobs.daily_sums(event_slices(spark, sf), "event_type", "value"), "sums", ("window", "event_type"))
     return i.rounded(out.select("event_type", F.to_date("window.start").alias("date"), "total", "n"), 4)
 
 
-@query("ST2_last_of_day", "SELECT event_type, CAST(ts AS DATE) AS date, arg_max(value, row(ts, event_id)) AS last_value, max(ts) AS last_ts FROM events GROUP BY ALL")
+@query("ST2_last_of_day", stream_ctes("date_trunc('day', ts) + INTERVAL 1 DAY") + """
+SELECT event_type, CAST(ts AS DATE) AS date, arg_max(value, row(ts, event_id)) AS last_value, max(ts) AS last_ts FROM counted GROUP BY ALL""")
 def _(spark, sf):
     out = jobs.run_available(jobs.last_of_day(event_slices(spark, sf), "event_type", "value", "event_id"), "last", ("window", "event_type"))
     return out.select("event_type", F.to_date("window.start").alias("date"), "last_value", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
 
 
-@query("ST3_tick_bars", sql("SELECT symbol AS event_type, ts, open, high, low, close, CAST(volume AS BIGINT) AS trades FROM hourly", "hourly"))
+@query("ST3_tick_bars", stream_ctes("ts") + """
+SELECT event_type, date_trunc('hour', ts) AS ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*) AS trades FROM counted
+WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark GROUP BY event_type, date_trunc('hour', ts)""")
 def _(spark, sf):
-    ticks = event_slices(spark, sf).withColumn("quantity", F.lit(1.0))
+    """Bars of ticks that come late and twice; a tick that comes again inside the watermark counts once."""
+    ticks = event_slices(spark, sf, replays=True).withColumn("quantity", F.lit(1.0))
     out = jobs.run_available(jobs.tick_bars(ticks, "event_type", "value", "quantity", "event_id"), "bars", ("window", "event_type"))
     return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "trades")

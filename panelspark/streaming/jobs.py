@@ -51,15 +51,17 @@ def tick_bars(ticks: DataFrame, symbol: str, price: str, quantity: str, tick_id:
     )
 
 
-def run_available(result: DataFrame, label: str, keys: tuple[str, ...] = (), mode: str = "update") -> DataFrame:
+def run_available(result: DataFrame, label: str, keys: tuple[str, ...] = (), mode: str = "update", root: str | None = None) -> DataFrame:
     """Drain the source and return the result table.
 
+    ``root`` is the folder of state and table; a job started again with the same one goes on where the earlier one ended.
+
     State leaves memory with the watermark in both modes. ``update`` writes the windows that a micro-batch changed, and the
     table has the latest row of each of ``keys``; ``append`` writes windows once they are closed. Each micro-batch overwrites
     its own folder, so a replayed batch changes nothing.
     """
     spark = result.sparkSession
-    root = fresh_path(spark, label)
+    root = root or fresh_path(spark, label)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/table/batch={batch_id}")
