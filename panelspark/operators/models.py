@@ -1,7 +1,8 @@
 """Models fitted for many splits or seeds at once.
 
 Least squares is additive: per-date sums of products are computed once from the panel, then summed over each split's
-training dates. A sweep of hundreds of splits therefore reads the panel once and shuffles days x splits tiny rows.
+training dates. A sweep of hundreds of splits therefore reads the panel once and shuffles days x splits tiny rows. Boosted
+trees grow for all splits together from residual histograms (``boosting``).
 """
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.functions.scalar import hash_uniform
+from panelspark.operators.boosting import boosted_predictions
 
 
 def prepare(panel: DataFrame, features: Sequence[str], label: str) -> tuple[DataFrame, DataFrame]:
@@ -92,28 +94,10 @@ def fit_predict_linear(
     return predict_linear(rows.join(test, "date"), fits, features, keys)
 
 
-def fit_predict_boosted(
-    panel: DataFrame, plan: DataFrame, features: Sequence[str], label: str, *, seed: int = 1, trees: int = 20, depth: int = 3,
-    subsample: float = 0.8,
-) -> DataFrame:
-    """Gradient-boosted trees, one distributed fit per split; the loop is over the plan's splits, never over data."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
+def fit_predict_boosted(panel: DataFrame, plan: DataFrame, features: Sequence[str], label: str, **options) -> DataFrame:
+    """Gradient-boosted trees, all keys of the plan in one fit; options are those of ``boosting.boosted_predictions``."""
     train, rows = prepare(panel, features, label)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
-    splits = [r[0] for r in plan.select("split_id").distinct().orderBy("split_id").collect()]
-    scored = None
-    for split in splits:
-        days = plan.filter(F.col("split_id") == split)
-        fit_rows = assembler.transform(train.join(days.filter(F.col("role") == "train").select("date"), "date", "left_semi"))
-        model = GBTRegressor(
-            featuresCol="_x", labelCol=label, predictionCol="pred", seed=seed, maxIter=trees, maxDepth=depth, subsamplingRate=subsample
-        ).fit(fit_rows)
-        test = rows.join(days.filter(F.col("role") == "test").drop("role"), "date")
-        part = model.transform(assembler.transform(test)).drop("_x")
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+    return boosted_predictions(train, rows, plan, features, label, **options)
 
 
 def seeded_plan(plan: DataFrame, seeds: int, share: float = 0.8) -> DataFrame:

@@ -282,10 +282,58 @@ def _(spark, sf):
     return i.rounded(fits.select("split_id", "intercept", F.col("coef")[0].alias("b1"), F.col("coef")[1].alias("b2")))
 
 
-@query("M3_boosted_trees")
+ROUND9 = "round(x1, 9) AS x1, round(x2, 9) AS x2, round(y, 9) AS y"
+
+
+def boosted_sql(plan, trees, depth, subsample, seed=1, rate=0.1, reg=1.0, bins=32):
+    """Boosted trees spelt out, level by level; ``plan`` is (split_id, date, role). The last table is (split_id, instrument, date, pred)."""
+    exact = lambda e: f"CAST(sum(CAST(floor(({e}) * 4294967296) AS HUGEINT)) AS DOUBLE) / 4294967296"
+    out = {
+        "bt_all": f"SELECT split_id, instrument, m.date, role, x1, x2, y FROM (SELECT instrument, date, {ROUND9} FROM mp) m JOIN {plan} USING (date) WHERE role = 'test' OR y IS NOT NULL",
+        "bt_edges": " UNION ALL ".join(
+            f"SELECT split_id, {k} AS feature, min(v) AS edge FROM (SELECT split_id, {x} AS v, (rank() OVER (PARTITION BY split_id ORDER BY {x}) - 1) * {bins} // count(*) OVER (PARTITION BY split_id) AS b FROM bt_all WHERE role = 'train') WHERE b > 0 GROUP BY split_id, b"
+            for k, x in enumerate(("x1", "x2"))),
+        "bt_f0": f"""SELECT split_id, instrument, date, role, y, base AS pred, (SELECT count(*) FROM bt_edges e WHERE e.split_id = a.split_id AND feature = 0 AND edge <= x1) AS b0,
+ (SELECT count(*) FROM bt_edges e WHERE e.split_id = a.split_id AND feature = 1 AND edge <= x2) AS b1 FROM bt_all a JOIN (SELECT split_id, {exact('y')} / count(*) AS base FROM bt_all WHERE role = 'train' GROUP BY split_id) USING (split_id)""",
+    }
+    for t in range(trees):
+        draw = "true" if subsample >= 1 else f"('0x' || substr(md5('{seed}.{t}-' || split_id || '-' || instrument || '-' || date), 1, 8))::BIGINT / 4294967296.0 < {subsample}"
+        out[f"bt_n{t}_0"] = f"SELECT *, y - pred AS r, role = 'train' AND {draw} AS used, 0 AS node FROM bt_f{t}"
+        for k in range(depth):
+            tall = " UNION ALL ".join(f"SELECT split_id, node, {f} AS feature, b{f} AS bin, r FROM bt_n{t}_{k} WHERE used" for f in (0, 1))
+            out[f"bt_h{t}_{k}"] = f"SELECT split_id, node, feature, bin, sum(CAST(floor(r * 4294967296) AS HUGEINT)) AS g, count(*) AS n FROM ({tall}) GROUP BY ALL"
+            out[f"bt_c{t}_{k}"] = f"""SELECT split_id, node, feature, bin FROM (SELECT *, gl * gl / (nl + {reg}) + (ga - gl) * (ga - gl) / (na - nl + {reg}) - ga * ga / (na + {reg}) AS gain FROM (
+ SELECT split_id, node, feature, bin, CAST(sum(g) OVER p AS DOUBLE) / 4294967296 AS ga, CAST(sum(n) OVER p AS DOUBLE) AS na, CAST(sum(g) OVER q AS DOUBLE) / 4294967296 AS gl, CAST(sum(n) OVER q AS DOUBLE) AS nl
+ FROM bt_h{t}_{k} WINDOW p AS (PARTITION BY split_id, node, feature), q AS (PARTITION BY split_id, node, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE nl >= 1)
+ WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY split_id, node ORDER BY gain DESC, feature, bin) = 1"""
+            out[f"bt_n{t}_{k + 1}"] = f"""SELECT a.* EXCLUDE (node), a.node * 2 + 1 + coalesce(CAST(CASE feature WHEN 0 THEN b0 ELSE b1 END >= bin AS INTEGER), 0) AS node
+ FROM bt_n{t}_{k} a LEFT JOIN bt_c{t}_{k} c ON a.split_id = c.split_id AND a.node = c.node"""
+        out[f"bt_f{t + 1}"] = f"""SELECT a.split_id, instrument, date, role, y, pred + coalesce(v, 0) AS pred, b0, b1 FROM bt_n{t}_{depth} a
+ LEFT JOIN (SELECT split_id, node, {exact('r')} / (count(*) + {reg}) * {rate} AS v FROM bt_n{t}_{depth} WHERE used GROUP BY split_id, node) l ON a.split_id = l.split_id AND a.node = l.node"""
+    return out
+
+
+def boosted_query(on, trees, depth, subsample, **extra):
+    text = sql(f"SELECT split_id, instrument, date, round(pred, 6) AS pred FROM bt_f{trees} WHERE role = 'test'", "returns", **MODEL, **extra, **boosted_sql(on, trees, depth, subsample))
+    return re.sub(r"\b(bt_\w+|mp) AS \(", r"\1 AS MATERIALIZED (", text)
+
+
+def nine_digits(p):
+    """Features and label as the SQL of boosted trees takes them: equal values have to be equal on both sides to share a bin."""
+    return p.select("instrument", "date", *[F.round(c, 9).alias(c) for c in (*X, "LABEL")])
+
+
+@query("M3_boosted_trees", boosted_query("hplan", 5, 3, 0.8, **HOLD))
 def _(spark, sf):
     p = model_panel(spark, sf)
-    return models.fit_predict(p, hold_plan(p), X, "LABEL", "boosted", seed=1, trees=5, depth=3).select("split_id", "instrument", "date", "pred")
+    return i.rounded(models.fit_predict(nine_digits(p), hold_plan(p), X, "LABEL", "boosted", seed=1, trees=5, depth=3).select("split_id", "instrument", "date", "pred"))
+
+
+@query("M3_boosted_stumps", boosted_query("plan", 2, 1, 1, **SPLITS))
+def _(spark, sf):
+    p = model_panel(spark, sf)
+    plan = va.cpcv_splits(p.select("date").distinct(), 6, 2, 6, 60)
+    return i.rounded(models.fit_predict(nine_digits(p), plan, X, "LABEL", "boosted", trees=2, depth=1, subsample=1).select("split_id", "instrument", "date", "pred"))
 
 
 @query("M4_constant", sql("SELECT split_id, instrument, date, round(sy / n, 6) AS pred FROM (SELECT split_id, sum(sy) AS sy, sum(n) AS n FROM plan JOIN prods USING (date) WHERE role = 'train' GROUP BY split_id) JOIN plan USING (split_id) JOIN mp USING (date) WHERE role = 'test'", "returns", **MODEL, **SPLITS))

@@ -26,7 +26,7 @@ def con():
 def test_registry_is_complete():
     names, oracles = set(entry.queries()), set(entry.oracle_sql())
     assert oracles <= names and len(names) > 170
-    assert set(QUERIES) - set(ORACLES) <= {"M3_boosted_trees", "R2_recipe_sweep"} and set(QUERIES) <= names
+    assert set(QUERIES) - set(ORACLES) <= {"R2_recipe_sweep"} and set(QUERIES) <= names
 
 
 def test_flagship(spark):
