@@ -22,6 +22,8 @@ BINS = 1 << BIN_BITS
 BITS = 4
 PROBES = 6
 BUCKET_ROWS = 512
+CELLS = 1024  # quantiles at which ids are cut at most
+GROUP = 32
 FEW_WORDS = 1500  # texts with fewer words may have many empty bins; for them the occupied bins are listed first
 _VALUE = (1 << (64 - BIN_BITS)) - 1  # a value of all ones marks an empty bin
 
@@ -116,19 +118,51 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (F.lit(1.0) - differing / F.lit(float(BINS)) - F.lit(chance)) / F.lit(1.0 - chance))
 
 
+def bucket_of(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[Column, int]:
+    """(number of the bucket of ``doc_id``, ascending with it and NULL without an id; their count). Buckets hold about equally many rows.
+
+    Ids are cut at up to ``CELLS`` approximate quantiles, so far or clustered ids cost no more than others; where more buckets are
+    needed, cells are cut further at equal id width. Equal ids share a bucket.
+    """
+    n = docs.count()
+    buckets = max(1, math.ceil(min(n / bucket_rows, 4 * math.sqrt(n))))
+    cells = min(CELLS, buckets)
+    shares = ", ".join(f"{k / cells!r}D" for k in range(1, cells))
+    cuts = f"percentile_approx(CAST(doc_id AS BIGINT), array({shares}), {4 * CELLS})" if cells > 1 else "CAST(array() AS array<bigint>)"
+    found = docs.select(F.expr(cuts), F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    if found[1] is None:
+        return F.lit(None).cast("long"), buckets
+    marks = sorted(set(found[0]) - {found[1]})
+    doc_id, number = F.col("doc_id").cast("long"), lambda values: F.expr(f"array({', '.join(f'CAST({v} AS BIGINT)' for v in values)})")
+    upto = lambda values: F.size(F.filter(values, lambda m: m <= doc_id))
+    if not marks:
+        cell = F.lit(0)
+    else:
+        # two levels of comparisons: the group of marks, then the mark
+        groups = [marks[k : k + GROUP] for k in range(0, len(marks), GROUP)]
+        cell = let(upto(number([g[0] for g in groups])), lambda c: F.when(c == 0, F.lit(0)).otherwise((c - 1) * GROUP + upto(F.get(F.array(*[number(g) for g in groups]), c - 1))))
+    inner = math.ceil(buckets / cells)
+    if inner == 1:
+        return F.when(doc_id.isNotNull(), cell.cast("long")), buckets
+    bounds = F.array(*[F.lit(float(v)) for v in [found[1], *marks, found[2]]])
+
+    def inside(c: Column) -> Column:
+        low = F.get(bounds, c)
+        width = F.greatest(F.lit(1.0), (F.get(bounds, c + 1) - low) / F.lit(float(inner)))
+        return (c * inner + F.least(F.floor((doc_id.cast("double") - low) / width), F.lit(inner - 1))).cast("long")
+
+    return F.when(doc_id.isNotNull(), let(cell, inside)), buckets
+
+
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, text, print, next_text, next_print): each document beside the next by ascending doc_id, the last beside the first.
 
-    NULL ids come first; equal ids are ordered by text. Rows are dealt to buckets of equal id width, so each window is small
-    where ids are dense or hashed; a dense cluster of ids only makes its bucket larger. The last row of a bucket takes the
-    first row of the next bucket that has rows.
+    NULL ids come first, dealt to buckets by their text; equal ids are ordered by text. Rows are dealt to buckets of about equally many rows,
+    so each window is small. The last row of a bucket takes the first row of the next bucket that has rows.
     """
-    span = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    n, low, high = span[0], span[1] or 0, span[2] or 0
-    buckets = max(1, math.ceil(min(n / bucket_rows, 4 * math.sqrt(n))))
-    width = max(1.0, (float(high) - float(low) + 1) / buckets)
+    place, buckets = bucket_of(docs, bucket_rows)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    place = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(text), F.lit(buckets)) - buckets).otherwise(F.floor((F.col("doc_id").cast("double") - float(low)) / F.lit(width)))
+    place = F.coalesce(place, F.pmod(F.xxhash64(text), F.lit(buckets)) - buckets)
     place = F.coalesce(place.cast("long"), F.lit(0).cast("long"))  # never NULL, so no join adds a filter and all branches share one shuffle
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), place.alias("bucket")).withColumn("print", fingerprint(F.col("text")))
     w = Window.partitionBy("bucket").orderBy("doc_id", "text")

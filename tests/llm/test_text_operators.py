@@ -2,12 +2,15 @@
 import base64
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from panelspark.llm import byte_bpe, langid, minhash, mixing, secret_scan, separator_scan, sharding, simhash
@@ -81,6 +84,58 @@ def test_fingerprints(spark, docs, none):
     assert lone.near_next == 1.0
 
 
+def plain_print(text):
+    """A fingerprint by loops: bins, minima, densification in each bin's own order of bins, low digits."""
+    mix = lambda *xs: reduce(lambda seed, x: xxhash.xxh64_intdigest(x, seed), xs, 42)
+    words = WORD.findall(text or "")
+    one = [mix(w.encode()) for w in words]
+    wide = lambda h: struct.pack("<Q", h)
+    hashes = [mix(*map(wide, one[i : i + 5])) for i in range(len(one) - 4)] if len(words) >= 5 else [mix(" ".join(words).encode())]
+    least = {}
+    for h in hashes:
+        bin_, value = ((h + 2**63) % 2**64) >> 56, h & (2**56 - 1)
+        if value != 2**56 - 1 and (bin_ not in least or value < least[bin_] % 2**56):
+            least[bin_] = h
+    _, offset, step = minhash._probe_rule()
+    digits = []
+    for j in range(256):
+        if j in least:
+            digits.append(least[j] & 15)
+        else:
+            chosen = min(least, key=lambda b: (offset[j] + b * step[j]) % 256)
+            digits.append(mix(wide(least[chosen]), struct.pack("<i", j)) & 15)
+    return "".join(f"{d:x}" for d in digits)
+
+
+def test_fingerprint_equals_a_plain_version(spark, docs):
+    got = docs.select("text", minhash.to_hex(minhash.fingerprint(F.coalesce("text", F.lit("")))).alias("print")).collect()
+    assert all(r.print == plain_print(r.text) for r in got)
+
+
+@pytest.mark.parametrize("n,bucket_rows", [(20_000, 40), (3_000, 512)])
+def test_far_and_clustered_ids_do_not_crowd_a_bucket(spark, n, bucket_rows):
+    near = spark.range(n).select(F.col("id").alias("doc_id"))
+    dense = spark.range(n).select((F.col("id") + 10**12).alias("doc_id"))
+    far = spark.createDataFrame([(-(2**62),), (2**62,), (2**63 - 1,)], "doc_id long")
+    ids = near.union(dense).union(far)
+    place, buckets = minhash.bucket_of(ids, bucket_rows)
+    got = ids.withColumn("at", place).groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("at").collect()
+    assert len(got) > buckets / 3 and max(r.n for r in got) <= 4 * (2 * n + 3) / buckets
+    assert all(a.high < b.low for a, b in zip(got, got[1:]))
+
+
+def test_buckets_of_equal_or_missing_ids(spark):
+    for values in ([5] * 2_000, [None] * 2_000, [None, 7] * 1_000):
+        df = spark.createDataFrame([(v, f"text {i}") for i, v in enumerate(values)], "doc_id long, text string")
+        rows = minhash.with_next(df, bucket_rows=100).select("text", "next_text").collect()
+        follow = dict(map(tuple, rows))
+        seen, at = set(), "text 0"
+        while at not in seen:
+            seen.add(at)
+            at = follow[at]
+        assert len(rows) == len(values) == len(seen)  # one circle through all rows
+
+
 def test_densification_is_unbiased(spark):
     """Sets of few hashes, where nearly every bin is filled by another: the mean estimate stays at the true similarity."""
     rng = np.random.default_rng(5)
