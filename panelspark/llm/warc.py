@@ -150,6 +150,8 @@ class _Record:
         self.end += rest
         if len(self.end) > 4:
             raise Corrupt("bytes after the record")
+        if self.http_head is None and not self.is_http():
+            self.http_head = {}
         if self.http_head is None:
             self.http += body
             cut = self.http.find(b"\r\n\r\n")
@@ -163,6 +165,11 @@ class _Record:
         self.payload.update(body)
         self.payload_bytes += len(body)
 
+    def is_http(self) -> bool:
+        """Whether the block is an HTTP message; without a Content-Type that is so for responses, requests and revisits."""
+        kind = self.info.get("content-type", "").lower()
+        return kind.startswith("application/http") or (not kind and self.info.get("warc-type") in ("response", "request", "revisit"))
+
     def row(self) -> tuple:
         """A revisit has no payload of its own: its length is the HTTP header's, its digest the record's."""
         if self.info is None or self.left or self.end != b"\r\n\r\n":
@@ -193,6 +200,8 @@ def read_records(handle, step: int = STEP) -> Iterator[tuple]:
 def read_warc(files: DataFrame, *, rows_a_batch: int = 4096) -> DataFrame:
     """One row per record of the WARC files that column ``file`` names, each file by one task in order.
 
+    The payload of an HTTP message is what follows its header; the block of any other record (resource, metadata, conversion,
+    warcinfo) is its payload as it stands.
     ``payload_bytes`` and ``payload_digest`` are those of the full payload, for revisits too. ``block_ok`` and ``payload_ok``
     tell whether the stated digests hold (``payload_ok`` is NULL for revisits, whose payload is elsewhere). A file that is no
     sequence of whole records fails the job and is named; an empty file has no records.

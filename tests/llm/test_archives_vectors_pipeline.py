@@ -38,6 +38,28 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def plain_record(kind, block, content_type=None, digest=None):
+    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:x-page:9>", b"Content-Length: %d" % len(block)]
+    head += [b"Content-Type: " + content_type] if content_type else []
+    head += [b"WARC-Payload-Digest: sha1:" + digest.encode()] if digest else []
+    return gzip.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_only_http_records_have_an_http_header():
+    """Blocks of other records are their payload, also large ones without a blank line and ones that hold a blank line."""
+    large, split = b"x" * (3 << 20), b"a: 1\r\n\r\nrest"
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    cases = [
+        (b"resource", large, b"text/plain", large), (b"metadata", split, b"application/warc-fields", split), (b"conversion", b"", b"text/plain", b""), (b"resource", b"short", None, b"short"),
+        (b"warcinfo", b"software: x\r\n", b"application/warc-fields", b"software: x\r\n"), (b"response", http, b"application/http; msgtype=response", b"body"), (b"response", http, None, b"body"),
+        (b"response", b"HTTP/1.1 204 No Content\r\n", b"application/http", b""),
+    ]
+    data = b"".join(plain_record(kind, block, type_, warc.b32_sha1(payload)) for kind, block, type_, payload in cases)
+    for step in (1 << 10, 1 << 16):
+        got = list(warc.read_records(io.BytesIO(data), step))
+        assert [(r[1].encode(), r[4], r[7]) for r in got] == [(kind, len(payload), True) for kind, _, _, payload in cases]
+
+
 def test_warc_files_are_plain_gzip_members_and_damage_is_refused():
     members = [warc.record("1", "u", b"body", None), warc.record("2", "u", b"body", "1"), warc.record("3", "u", b"", None)]
     data = b"".join(members)
