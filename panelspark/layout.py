@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -37,9 +39,36 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("stage_scopes", default=())
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the stage tables that are settled inside once the block ends, also after an error.
+
+    Write the result inside the block: a DataFrame that still reads a stage table cannot be used afterwards. Tables settled in other
+    threads, or outside, stay. Scopes may be nested; a table belongs to the innermost one.
+    """
+    paths: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), paths))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+        for path in paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def settle(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write once, read many: later branches scan pruned Parquet columns instead of recomputing the lineage."""
+    """Write once, read many: later branches scan pruned Parquet columns instead of recomputing the lineage.
+
+    The table stays in the shared folder until its retention, or the end of the ``stage_scope`` around the call.
+    """
     path = fresh_path(df.sparkSession, label)
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

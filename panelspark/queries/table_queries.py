@@ -9,7 +9,7 @@ from panelspark.operators import asof, joins, panel as pn, quality, ranking, win
 from panelspark.plans import leadlag, recipes
 from panelspark.queries import inputs as i
 from panelspark.queries.registry import cdf, lagged, over, pct, query, rmean, sql, with_ppf, zsql
-from panelspark.sources import archives, tables
+from panelspark.sources import archives, parameters, tables
 
 D = lambda text: F.lit(text).cast("date")
 
@@ -53,6 +53,19 @@ def _(spark, sf):
     return joins.perp_symbols(i.dense(spark, sf).select("instrument", "date"), mapping(spark))
 
 
+NAMED = {"named": """SELECT CASE instrument WHEN 'L1' THEN 'PEPEUSDT' WHEN 'L2' THEN 'POLUSDT' ELSE instrument || 'USDT' END AS instrument, CAST(date + INTERVAL 27 YEAR AS DATE) AS date
+ FROM dense WHERE NOT (month(date) = 2 AND day(date) = 29)"""}
+
+
+@query("P3_shipped_mapping", sql("""SELECT instrument, date, CASE WHEN instrument = 'PEPEUSDT' THEN '1000PEPEUSDT' WHEN instrument <> 'POLUSDT' THEN instrument
+ WHEN date <= DATE '2024-09-10' THEN 'MATICUSDT' WHEN date >= DATE '2024-09-13' THEN 'POLUSDT' END AS perp_symbol FROM named""", "dense", **NAMED))
+def _(spark, sf):
+    """The shipped mapping on the panel moved to the years of the renaming."""
+    name = F.when(F.col("instrument") == "L1", "PEPEUSDT").when(F.col("instrument") == "L2", "POLUSDT").otherwise(F.concat("instrument", F.lit("USDT")))
+    moved = i.dense(spark, sf).filter(~((F.month("date") == 2) & (F.dayofmonth("date") == 29))).select(name.alias("instrument"), F.add_months("date", 27 * 12).alias("date"))
+    return joins.perp_symbols(moved, parameters.perp_mapping(spark))
+
+
 @query("P4_with_pit_universe", """SELECT instrument, min(position) AS position FROM (SELECT 'S' || s_suppkey AS instrument, CAST(s_suppkey + 1 AS INTEGER) AS position FROM supplier
  UNION ALL SELECT s, CAST(k + (SELECT max(s_suppkey) + 1 FROM supplier) AS INTEGER) FROM (VALUES """
     + ", ".join(f"('{s}', {k + 1})" for k, s in enumerate(recipes.PIT_ADDITIONS)) + ") t(s, k)) GROUP BY instrument")

@@ -103,3 +103,24 @@ def test_plans_are_built_without_jobs(spark):
     ag.book_walk_impact(ticks, ["instrument", "date"], ["seq"])
     assert not tracker.getJobIdsForGroup("plans")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_stage_scope_removes_its_tables_only(spark, tmp_path):
+    import os
+
+    files = lambda df: {os.path.dirname(f.removeprefix("file:")) for f in df.inputFiles()}
+    outside = layout.settle(spark.range(5))
+    with layout.stage_scope(spark):
+        first = layout.settle(spark.range(3))
+        with layout.stage_scope(spark):
+            second = layout.settle(first.withColumn("x", F.col("id") * 2))
+            second.write.parquet(f"{tmp_path}/result")
+            inner = files(second)
+        assert not any(map(os.path.exists, inner)) and first.count() == 3
+        kept = files(first)
+    assert not any(map(os.path.exists, kept)) and outside.count() == 5
+    assert spark.read.parquet(f"{tmp_path}/result").count() == 3
+    with pytest.raises(ZeroDivisionError), layout.stage_scope(spark):
+        gone = files(layout.settle(spark.range(2)))
+        1 / 0
+    assert not any(map(os.path.exists, gone))

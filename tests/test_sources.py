@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.layout import fresh_path
-from panelspark.operators import aggregates as ag
-from panelspark.sources import archives as ar, tables as tb
+from panelspark.operators import aggregates as ag, joins
+from panelspark.sources import archives as ar, parameters, tables as tb
 from panelspark.streaming import jobs
 from tests.conftest import SMALL, day, rows
 
@@ -41,7 +41,6 @@ def test_funding_mapping_does_not_bleed(spark, tmp_path):
     ms = lambda d, h: int(dt.datetime(2024, 9, d, h, tzinfo=dt.timezone.utc).timestamp() * 1000) + 5
     put(tmp_path / "f", "OLDUSDT-fundingRate-2024-09.zip", {"a.csv": head + "\n".join(f"{ms(d, h)},8,0.001" for d in (10, 11, 13) for h in (0, 8, 16))})
     put(tmp_path / "f", "NEWUSDT-fundingRate-2024-09.zip", {"a.csv": "\n".join(f"{ms(d, h)},4,0.002" for d in (10, 13) for h in (0, 4, 8, 12, 16, 20))})
-    from panelspark.operators import joins
 
     daily = ag.daily_funding(ar.read_funding(ar.archive_files(spark, str(tmp_path)))[0])
     mapping = spark.createDataFrame(
@@ -127,3 +126,14 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert sorted(map(str, twice.collect())) == sorted(map(str, once.collect())) and once.count() > 100
     every = spark.read.parquet(f"{SMALL}/events.parquet").count()
     assert 0 < once.agg(F.sum("trades")).first()[0] < every  # rows beyond the watermark are dropped, replayed ones count once
+
+
+def test_shipped_parameter_tables(spark):
+    days = [dt.date(2024, 9, d) for d in (10, 11, 12, 13)]
+    cells = spark.createDataFrame([(s, d) for s in ("POLUSDT", "PEPEUSDT", "BTCUSDT") for d in days], "instrument string, date date")
+    got = {(r.instrument, r.date): r.perp_symbol for r in joins.perp_symbols(cells, parameters.perp_mapping(spark)).collect()}
+    assert [got["POLUSDT", d] for d in days] == ["MATICUSDT", None, None, "POLUSDT"]
+    assert {got["PEPEUSDT", d] for d in days} == {"1000PEPEUSDT"} and {got["BTCUSDT", d] for d in days} == {"BTCUSDT"}
+    bars = spark.createDataFrame([("BTCUSDT", 1.0, 0.5, 0.2), ("PEPEUSDT", 3.0, 0.5, 0.4), ("XUSDT", 5.0, 0.5, 0.6)], "symbol string, impact double, fill_rate double, spread double")
+    tiers = {r.tier: r.impact for r in ag.calibrate_costs(bars, parameters.cost_tiers(spark)).collect()}
+    assert tiers == {"deep": 1.0, "thin": 3.0, "mid": 5.0, "overall": 3.0}  # an unlisted symbol is mid
