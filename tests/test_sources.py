@@ -111,6 +111,35 @@ def test_damaged_archives_give_no_rows(spark, tmp_path, monkeypatch):
     assert bad.count() == 46 and bad.filter("reason is null or reason = ''").count() == 0
 
 
+def test_packing_holds_one_archive_and_grows_with_its_lines():
+    """S7: damaged members of long texts stay about as long as the text, and archives leave the task as their lines arrive."""
+    import io
+
+    import pyarrow as pa
+
+    from panelspark.queries.fixtures import DAMAGES, packed, zip_lines
+
+    long = b"1,2.5,3\n" * 400_000
+    for damage in DAMAGES:
+        assert len(packed("a.csv", long, damage)) < 1.1 * len(long)
+    read = []
+
+    def batches():
+        for n in range(40):
+            read.append(n)
+            line = "".join(chr(33 + (n * 7919 + i * i * 31) % 90) for i in range(300_000))
+            yield pa.RecordBatch.from_pydict({"path": pa.array([f"x/A-1d-{n}.zip"] * 2), "line": pa.array([line, str(n)]), "damage": pa.array(["checksum"] * 2, pa.string())})
+
+    out, seen = [], []
+    for batch in zip_lines(batches(), "h"):
+        seen.append(len(read))
+        out += batch.to_pylist()
+    assert len(seen) > 3 and seen[0] < 15 and [r["path"] for r in out] == [f"x/A-1d-{n}.zip" for n in range(40)]
+    whole = list(zip_lines(iter([pa.RecordBatch.from_pydict({"path": ["A", "A", "B"], "line": ["1", "2", "ß"], "damage": pa.array([None] * 3, pa.string())})]), "h"))
+    texts = [zipfile.ZipFile(io.BytesIO(c)).read(zipfile.ZipFile(io.BytesIO(c)).namelist()[0]).decode() for c in whole[0].column(1).to_pylist()]
+    assert texts == ["h\n1\n2", "h\nß"]
+
+
 def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     """Stopped after three slices and started again on the others: the same table as in one go, late and replayed rows included."""
     from panelspark.queries import source_queries as sq
