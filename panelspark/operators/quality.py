@@ -22,14 +22,22 @@ def synthetic_days(panel: DataFrame) -> DataFrame:
     return gap_islands(panel.filter(F.col("close").isNull()).select("instrument", "date"))
 
 
+def missing_spans(panel: DataFrame) -> DataFrame:
+    """Gaps inside each instrument's own range as (instrument, first_day, last_day): the space between a row's day and the next one.
+
+    A gap has rows on both sides, so it is a contiguous range as it stands and its days are never expanded.
+    """
+    following = F.lead("date").over(Window.partitionBy("instrument").orderBy("date"))
+    gaps = panel.select("instrument", "date").withColumn("_next", following).filter(F.datediff("_next", "date") > 1)
+    return gaps.select("instrument", F.date_add("date", 1).alias("first_day"), F.date_sub("_next", 1).alias("last_day"))
+
+
 def missing_days(panel: DataFrame) -> DataFrame:
     """Expected days of each instrument's own range that have no row, as (instrument, date).
 
-    A gap is the space between a row and its successor, so only gaps are expanded, not the whole calendar.
+    Only gaps are expanded, not the whole calendar.
     """
-    following = F.lead("date").over(Window.partitionBy("instrument").orderBy("date"))
-    gaps = panel.select("instrument", "date").distinct().withColumn("_next", following).filter(F.datediff("_next", "date") > 1)
-    return gaps.select("instrument", F.explode(F.sequence(F.date_add("date", 1), F.date_sub("_next", 1), F.expr("INTERVAL 1 DAY"))).alias("date"))
+    return missing_spans(panel).select("instrument", F.explode(F.sequence("first_day", "last_day", F.expr("INTERVAL 1 DAY"))).alias("date"))
 
 
 def duplicate_days(panel: DataFrame) -> DataFrame:
@@ -60,7 +68,7 @@ def verify_panel(panel: DataFrame, fields: Sequence[str], fail_on_gap: bool = Fa
 
     span = lambda a, b: F.concat_ws("..", F.col(a).cast("string"), F.col(b).cast("string"))
     duplicates = duplicate_days(panel).groupBy("instrument").agg(F.count(F.lit(1)).alias("n"))
-    holes = gap_islands(missing_days(panel))
+    holes = missing_spans(panel)
     coverage = field_coverage(panel, fields)
     out = findings(duplicates, "duplicate_day", "error", F.col("n").cast("string"))
     out = out.unionByName(findings(holes, "missing_day", "error", span("first_day", "last_day")))

@@ -114,13 +114,19 @@ def cs_rank_pct(panel: DataFrame, columns: dict[str, str], by: str = "date", *,
 
 
 def gap_islands(df: DataFrame, keys: Sequence[str] = ("instrument",), pos: str = "date") -> DataFrame:
-    """Collapse distinct days to contiguous ranges (first_day, last_day, days)."""
-    numbered = df.select(*keys, pos).distinct().withColumn(
-        "_island", F.date_sub(F.col(pos), F.row_number().over(Window.partitionBy(*keys).orderBy(pos)))
-    )
-    return numbered.groupBy(*keys, "_island").agg(
-        F.min(pos).alias("first_day"), F.max(pos).alias("last_day"), F.count(F.lit(1)).alias("days")
-    ).drop("_island")
+    """Collapse distinct days to contiguous ranges (first_day, last_day, days).
+
+    Repeated days are skipped and only the first and last day of a range go on, all on one sort: no table of days or ranges is held.
+    """
+    w = Window.partitionBy(*keys).orderBy(pos)
+    before, after = F.lag(pos).over(w), F.lead(pos).over(w)
+    seen = df.select(*keys, pos).withColumns({"_before": before, "_row": F.row_number().over(w)})
+    days = seen.filter((F.col("_row") == 1) | ~F.col("_before").eqNullSafe(F.col(pos))).select(*keys, pos)
+    apart = lambda a, b: F.coalesce(F.datediff(a, b) > 1, F.lit(True))
+    edges = days.withColumns({"_starts": apart(F.col(pos), before), "_ends": apart(after, F.col(pos))}).filter("_starts or _ends")
+    spans = edges.withColumn("last_day", F.when(F.col("_ends"), F.col(pos)).otherwise(after)).filter("_starts")
+    length = F.coalesce(F.datediff("last_day", pos) + 1, F.lit(1)).cast("long")
+    return spans.select(*keys, F.col(pos).alias("first_day"), "last_day", length.alias("days"))
 
 
 def debounce(df: DataFrame, raw: str, n: int, keys: Sequence[str], out: str, pos: str = "date") -> DataFrame:

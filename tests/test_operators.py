@@ -164,6 +164,21 @@ def test_densify_and_suspension(spark):
     assert rows(quality.missing_days(sparse), "date") == [("A", day(1)), ("A", day(2))]
 
 
+def test_islands_and_missing_spans_of_repeated_days(spark):
+    """D1: spans of missing days come from their two ends; no day between them is ever a row."""
+    held = [("A", day(d)) for d in (0, 0, 1, 4, 4, 4, 9, 10, 11, 11)] + [("B", day(5)), ("C", day(2)), ("C", day(2)), ("C", day(900))]
+    random.Random(3).shuffle(held)
+    days = panel(spark, held, "instrument string, date date")
+    spans = [("A", day(2), day(3)), ("A", day(5), day(8)), ("C", day(3), day(899))]
+    assert rows(quality.missing_spans(days), "instrument", "first_day") == spans
+    assert rows(wo.gap_islands(quality.missing_days(days)).drop("days"), "instrument", "first_day") == spans
+    islands = [("A", day(0), day(1), 2), ("A", day(4), day(4), 1), ("A", day(9), day(11), 3), ("B", day(5), day(5), 1), ("C", day(2), day(2), 1), ("C", day(900), day(900), 1)]
+    assert rows(wo.gap_islands(days), "instrument", "first_day") == islands
+    findings = quality.verify_panel(days.withColumns({"close": F.lit(1.0), "volume": F.lit(1.0)}), ["close", "volume"])
+    assert {(r.instrument, r.detail) for r in findings.filter("check = 'missing_day'").collect()} == {(i, f"{a}..{b}") for i, a, b in spans}
+    assert "sequence(" not in findings._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sharpe_psr_against_numpy(spark):
     rng = np.random.default_rng(0)
     r = rng.normal(0.01, 0.05, 200)
