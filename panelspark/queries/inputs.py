@@ -7,7 +7,7 @@
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import ratio
@@ -39,13 +39,23 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def exact_sum(whole: str, factor: str) -> Column:
+    """Sum of ``whole`` x ``factor`` (to 12 decimals) in decimals: equal sums are equal whatever the order of the rows, so they tie.
+
+    Where a factor is no decimal number (NaN, a million and more) the sum is that of doubles.
+    """
+    product = F.col(whole) * F.col(factor)
+    exact = F.col(whole).cast("decimal(19,0)") * F.col(factor).try_cast("decimal(18,12)")
+    return F.when(F.count(exact) == F.count(product), F.sum(exact).cast("double")).otherwise(F.round(F.sum(product), 12))
+
+
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     canon = lambda c: F.round(c, 12)
     taker, maker = (F.sum(F.when(cond, F.col("quantity")).otherwise(0.0)) for cond in (~F.col("is_buyer_maker"), F.col("is_buyer_maker")))
     extra = [
         canon(F.sum(F.col("l_tax") - 0.04)).alias("funding"),
         (F.sum("l_partkey") + 1).cast("double").alias("oi"),
-        canon(F.sum(F.col("l_partkey") * F.col("l_discount"))).alias("oi_value"),
+        exact_sum("l_partkey", "l_discount").alias("oi_value"),
         canon(F.avg("l_discount") + 0.5).alias("ls_top"),
         canon(F.avg("l_tax")).alias("ls_global"),
         canon(ratio(taker, maker)).alias("taker_ratio"),

@@ -179,6 +179,21 @@ def test_islands_and_missing_spans_of_repeated_days(spark):
     assert "sequence(" not in findings._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_equal_open_interest_values_tie_in_any_row_order(spark):
+    """W13: the rank of oi_value must not depend on the order in which doubles are added."""
+    from panelspark.queries import inputs
+
+    total = lambda x: round(float(np.cumsum([k * d for k, d in x])[-1]), 12)  # noqa: E731, added in order
+    draw = random.Random(7)
+    there = [(draw.randint(1, 120_000), draw.randint(0, 10) / 100) for _ in range(60)]
+    other = next(x for x in (draw.sample(there, 60) for _ in range(1000)) if total(x) != total(there))
+    third = [(1, 0.5), (1, math.nan)]
+    lines = [(n, k, d) for n, x in enumerate((there, other, third)) for k, d in x]
+    ticks = spark.createDataFrame(lines, "n int, l_partkey long, l_discount double").coalesce(1)
+    got = rows(ticks.groupBy("n").agg(inputs.exact_sum("l_partkey", "l_discount").alias("v")), "n")
+    assert got[0][1] == got[1][1] == sum(k * round(d * 100) for k, d in there) / 100 and math.isnan(got[2][1])
+
+
 def test_sharpe_psr_against_numpy(spark):
     rng = np.random.default_rng(0)
     r = rng.normal(0.01, 0.05, 200)
