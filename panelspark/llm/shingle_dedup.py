@@ -1,9 +1,10 @@
 """Near-duplicates by exact similarity of word shingles.
 
-Two texts are linked where their sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Candidates come from MinHash: 28 bands
-of 6 independently seeded minima each; two texts that share a band are compared on their whole sets. A pair at similarity j shares a
-band with probability 1 - (1 - j^6)^28, which is 0.9998 at 0.8 and more above. Bits of SimHash do not find such pairs: at 0.8 two
-64-bit fingerprints differ in 10 bits on average.
+Two texts are linked where their sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Candidates come from SimHash, by
+operator 6's index of fingerprints within three bits, and each is compared with the smallest of its SimHash class on the whole sets. At 0.8
+two 64-bit fingerprints differ in 10 bits on average, so further candidates are needed for the rest: 28 bands of 6 independently seeded
+minima each (MinHash), compared in the same way. A pair at similarity j shares a band with probability 1 - (1 - j^6)^28, which is 0.9998
+at 0.8 and more above.
 """
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelspark.layout import settle
 from panelspark.llm.common import block_roots, connected_components, pair_blocks, small_batches, sorted_groups
-from panelspark.llm.simhash import SEED, keep_best, row_hash, shingle_hashes
+from panelspark.llm.simhash import SEED, fingerprint_of, keep_best, links, row_hash, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -47,20 +48,22 @@ def band_keys(values: np.ndarray) -> list[int]:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, node, keys): hash of id and text, hash of the shingle set (equal sets are one node), and the set's bands."""
+    """(doc_id, row, node, fp, keys): hash of id and text, hash of the shingle set (equal sets are one node), the set's SimHash and its bands."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
-            nodes, keys = [], []
+            nodes, prints, keys = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 values = shingle_set(text)
                 nodes.append(xxh64_intdigest(values.tobytes(), SEED))
+                prints.append(fingerprint_of(values))
                 keys.append(band_keys(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "node", "keys"])
+            node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), node, fp, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "node", "fp", "keys"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash().alias("row"))
-    return named.mapInArrow(run, "doc_id long, row long, node long, keys array<long>")
+    return named.mapInArrow(run, "doc_id long, row long, node long, fp long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -106,18 +109,29 @@ def block_links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     return blocks.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2").select("key", "c1", "c2", "node", "set").mapInArrow(run, "a long, b long")
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b, row_a, row_b): each node (node, fp, row) of a SimHash class beside the class's smallest; as many pairs as members."""
+    prints = settle(nodes.select("node", "fp", "row"), "shingle-prints")
+    roots = connected_components(links(prints.select("fp").distinct()), "simhash-links").withColumnRenamed("node", "_fp")
+    named = prints.join(roots, F.col("fp") == F.col("_fp"), "left").select(F.coalesce("root", "fp").alias("root"), "node", "row")
+    centres = named.groupBy("root").agg(F.min(F.struct("node", "row")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "c")
+    return named.join(centres, "root").filter("node <> c.node").select(F.col("node").alias("a"), F.col("c.node").alias("b"), F.col("row").alias("row_a"), F.col("c.row").alias("row_b"))
+
+
 def classes(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """(node, root) of the nodes that are linked to another one.
 
-    First every member of a bucket is compared with the bucket's smallest node, as many pairs as members. That settles buckets of
+    First every member of a SimHash class or bucket of bands is compared with its smallest node, as many pairs as members. That settles buckets of
     two and groups of near copies; only buckets of three and more members in different components are then compared pair by pair.
     """
-    nodes = marked.groupBy("node").agg(F.any_value("keys").alias("keys"), F.min("row").alias("row"))
+    nodes = marked.groupBy("node").agg(F.any_value("keys").alias("keys"), F.any_value("fp").alias("fp"), F.min("row").alias("row"))
+    near = settle(simhash_pairs(nodes), "shingle-simhash")
+    ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("row_a").alias("row")), F.struct(F.col("b").alias("node"), F.col("row_b").alias("row")))).alias("e")).select("e.*")
     every = settle(nodes.select(F.explode("keys").alias("key"), "node", "row"), "shingle-keys")
     centres = settle(every.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "shingle-centres")
     buckets = settle(every.join(centres, "key"), "shingle-buckets")
-    sets = settle(sets_of(docs, buckets.select("node", "row").distinct()), "shingle-sets")
-    pairs = settle(buckets.filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "shingle-pairs")
+    sets = settle(sets_of(docs, buckets.select("node", "row").unionByName(ends).distinct()), "shingle-sets")
+    pairs = settle(buckets.filter("node <> b").select(F.col("node").alias("a"), "b").unionByName(near.select("a", "b")).distinct(), "shingle-pairs")
     stars = settle(similar(pairs, sets), "shingle-stars")
     first = connected_components(stars, "shingle-links")
     named = buckets.filter("n > 2").join(first.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))

@@ -45,8 +45,12 @@ def shingle_hashes(text: str | bytes, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of a UTF-8 text: a bit is set if it is set in over half the XXH64 hashes of its word shingles."""
-    hashes = shingle_hashes(text, shingle)
+    """SimHash of a UTF-8 text from the XXH64 hashes of its word shingles."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of 64-bit hashes: a bit is set if it is set in over half of them; of none it is 0."""
     if not len(hashes):
         return 0
     octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)

@@ -40,3 +40,14 @@ def test_stage_links_every_pair_at_four_fifths(spark, monkeypatch, block):
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_simhash_gives_candidates(spark, monkeypatch):
+    """The stage's named method: with the bands of minima switched off, pairs within three bits of SimHash still find each other."""
+    monkeypatch.setattr(shingle_dedup, "band_keys", lambda values: [])
+    words = [f"w{x}" for x in range(4000)]
+    near = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join([*words, "more"])]
+    rows = list(enumerate([*near, " ".join(words[:2000]), None, "", "a b c"]))
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 3, 4, 6] == survivors(rows)[0]
