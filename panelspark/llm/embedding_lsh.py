@@ -91,7 +91,7 @@ def near_links(nodes: DataFrame, *, cosine: float = COSINE, tables: int = TABLES
     keyed = settle(nodes.select("node", "label", "vec", "copies").mapInArrow(keys, "node long, label int, dim int, vec array<double>, copies long, keys array<long>"), "lsh-nodes")
     entries = keyed.select("node", "label", "dim", F.posexplode("keys").alias("t", "key"))
     blocks = pair_blocks(entries, ["label", "dim", "t", "key"], "node", BLOCK_ROWS)
-    full = blocks.join(keyed.select("node", "vec", "copies", "keys"), "node")
+    full = blocks.hint("merge").join(keyed.select("node", "vec", "copies", "keys"), "node")  # blocks are exploded, as in pair_blocks
     order = ["label", "dim", "t", "key", "c1", "c2"]
     # vectors of one node come in one order, so sums and roots do not depend on the order of arrival
     return full.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(compare, "node long, partners long, root long")

@@ -317,6 +317,15 @@ def test_links_over_blocks_of_a_dense_bucket(spark, monkeypatch):
         assert {roots.get(m, m) for m in members} == {min(members)}
 
 
+def test_exploded_keys_are_never_broadcast(spark):
+    """Spark gives 64 keys a fingerprint the size of the fingerprints; by that size it once broadcast all of them."""
+    fps = spark.range(3000).select(F.xxhash64("id").alias("fp")).union(spark.createDataFrame([(1,), (3,)], "fp long"))
+    found = simhash.links(fps)
+    assert {1, 3} in [{r.a, r.b} for r in found.collect()]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (300, 299), (299, 300)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
