@@ -105,7 +105,8 @@ def block_links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
             if len(far):
                 yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[root[far]])], ["a", "b"])
 
-    blocks = pair_blocks(buckets, ["key"], "node", BLOCK_ROWS).select("node", "key", "c1", "c2").join(sets, "node")
+    # a row stands in as many blocks as its bucket has chunks, which Spark's size of the blocks leaves out: they are never broadcast
+    blocks = pair_blocks(buckets, ["key"], "node", BLOCK_ROWS).select("node", "key", "c1", "c2").hint("merge").join(sets, "node")
     return blocks.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2").select("key", "c1", "c2", "node", "set").mapInArrow(run, "a long, b long")
 
 

@@ -51,3 +51,14 @@ def test_simhash_gives_candidates(spark, monkeypatch):
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in got.collect()) == [0, 3, 4, 6] == survivors(rows)[0]
+
+
+def test_blocks_are_never_broadcast(spark, monkeypatch):
+    """A row of a large bucket stands in many blocks, which Spark's size of the blocks leaves out."""
+    monkeypatch.setattr(shingle_dedup, "BLOCK_ROWS", 4)
+    buckets = spark.createDataFrame([(key, node) for key in (1, 2) for node in range(40)], "key long, node long")
+    sets = spark.createDataFrame([(node, [node // 2 * 10 + i for i in range(5)]) for node in range(40)], "node long, set array<long>")
+    found = shingle_dedup.block_links(buckets, sets)
+    assert {(r.a, r.b) for r in found.collect()} == {(i + 1, i) for i in range(0, 40, 2)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
